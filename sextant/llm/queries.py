@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op7_bpe
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .mixing import OP9_SQL, op9_mixing
+from .ngram_join import op5_ngram_join
+from .token_files import op6_token_files
 from .url_filter import OP1_SQL, op1_url_filters
+from .vector_join import OP4_SQL, op4_vector_join
+from .warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_url_filters, op9_mixing, op10_exact_dedup]
+    found = [op1_url_filters, op4_vector_join, op5_ngram_join, op6_token_files, op7_bpe, op8_warc, op9_mixing, op10_exact_dedup]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op9_mixing": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op1_url_filters": OP1_SQL, "op4_vector_join": OP4_SQL, "op8_warc": OP8_SQL, "op9_mixing": OP9_SQL, "op10_exact_dedup": OP10_SQL}
