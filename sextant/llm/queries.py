@@ -8,16 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op7_bpe
 from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .langid import op2_langid
 from .mixing import OP9_SQL, op9_mixing
 from .ngram_join import op5_ngram_join
 from .token_files import op6_token_files
+from .toxicity import op3_toxicity
 from .url_filter import OP1_SQL, op1_url_filters
 from .vector_join import OP4_SQL, op4_vector_join
 from .warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_url_filters, op4_vector_join, op5_ngram_join, op6_token_files, op7_bpe, op8_warc, op9_mixing, op10_exact_dedup]
+    found = [op1_url_filters, op2_langid, op3_toxicity, op4_vector_join, op5_ngram_join, op6_token_files, op7_bpe, op8_warc, op9_mixing, op10_exact_dedup]
     return {f.__name__: f for f in found}
 
 

@@ -75,17 +75,29 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+class Prefixes:
+    """64-bit hashes of spans of one array: polynomial in the values, by prefix sums."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.values = values
+        up, self.down = _powers(1 << int(len(values)).bit_length())
+        mixed = (values.astype(np.uint64) + np.uint64(0x51)) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= up[: len(values)]
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed)))
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        lengths = ends - starts
+        found = (self.sums[ends] - self.sums[starts]) * self.down[starts] + lengths.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+        found ^= found >> np.uint64(31)
+        found *= np.uint64(0xBF58476D1CE4E5B9)
+        for i in np.flatnonzero(lengths > LONG):
+            found[i] = int.from_bytes(hashlib.blake2b(self.values[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        return found
+
+
 def hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span: polynomial in the values, by prefix sums."""
-    up, down = _powers(1 << int(len(values)).bit_length())
-    mixed = (values.astype(np.uint64) + np.uint64(0x51)) * np.uint64(0xD6E8FEB86659FD93)
-    mixed ^= mixed >> np.uint64(32)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed * up[: len(values)])))
-    lengths = ends - starts
-    found = (sums[ends] - sums[starts]) * down[starts] + lengths.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-    for i in np.flatnonzero(lengths > LONG):
-        found[i] = int.from_bytes(hashlib.blake2b(values[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
-    return found
+    return Prefixes(values).of(starts, ends)
 
 
 class Remembered:
