@@ -15,12 +15,18 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .spans import Remembered, chunks, classes, code_points, hashes, token_starts
 
 
+#: Tokens after which a batch of rows is handed on.
+FLUSH = 500_000
+
+
 @cache
 def byte_letters() -> dict[int, str]:
     """The visible character that stands for each byte in byte-level vocabularies.
@@ -113,25 +119,65 @@ def loaded(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def encode_decode(docs: DataFrame, path: str) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
+def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """Replace the text of every row of ``docs`` by its ids, an ``array<int>``.
 
-    Null text is encoded as empty; every row gives a row, ids may be null or
+    Null text is encoded as empty; other columns stay, one called like
+    ``ids_col`` is replaced. Every row gives a row, ids of rows may be null or
     repeat. ``path``: the tokenizer file, at the same place on every executor.
     """
+    docs = docs.drop(*(c for c in docs.columns if c == ids_col))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(path)
+        for batch in batches:
+            texts = [x or "" for x in batch.column(text_col).to_pylist()]
+            rest = batch.select(kept)
+            first, held, size = 0, [], 0
+            for i, ids in enumerate(bpe.encode(texts)):
+                held.append(ids)
+                size += len(ids)
+                if i + 1 == len(texts) or size > FLUSH:
+                    yield _with(rest.slice(first, len(held)), ids_col, lists(held))
+                    first, held, size = i + 1, [], 0
+
+    kept = [c for c in docs.columns if c != text_col]
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    return docs.mapInArrow(run, schema)
+
+
+def decode(tokens: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
+    """Add the text that the ids of every row stand for; null ids give empty text."""
+    tokens = tokens.drop(*(c for c in tokens.columns if c == text_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in batches:
-            texts = [x if isinstance(x, str) else "" for x in batch["text"]]
-            found = []
-            for ids in bpe.encode(texts):
-                found.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()))
-            frame = pd.DataFrame(found, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            frame.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
-            yield frame
+            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+                yield _with(part, text_col, pa.array([bpe.decode(x) for x in each(part.column(ids_col))], pa.string()))
+
+    return tokens.mapInArrow(run, T.StructType([*tokens.schema, T.StructField(text_col, T.StringType())]))
+
+
+def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, name])
+
+
+def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays])))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(arrays).astype(np.int32)))
+
+
+def each(column: pa.ListArray) -> Iterator[np.ndarray]:
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        yield values[a:b]
+
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+@F.pandas_udf(T.StringType())
+def ids_sha256(ids: pd.Series) -> pd.Series:
+    """Of ids as little-endian unsigned 32-bit integers, lower-case hex."""
+    return pd.Series([hashlib.sha256(np.asarray(x, "<u4").tobytes()).hexdigest() for x in ids])
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -141,4 +187,6 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_decode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), tokenizer_path())
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    tokens = decode(encode(docs, tokenizer_path()), tokenizer_path())
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_sha256("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

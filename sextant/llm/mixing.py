@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 #: The draw's buckets for each source: prefix sums run over buckets first, and
 #: over rows only inside a bucket, so that no source is ordered in one task.
 BUCKETS = 4096
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, epochs: int = 2) -> DataFrame:
@@ -39,23 +40,24 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: int = 11) -> DataFrame:
-    """Add ``size, source_size, target, taken`` to ``docs(doc_id, source, text)``.
+    """Add ``size, source_size, target, taken, copies`` to ``docs(doc_id, source, text)``.
 
     ``size`` is the number of words ``[^\\x20\\x09-\\x0D]+`` (null text: 0).
     Every document is taken ``floor(target / source_size)`` whole times; the
     fraction left goes to documents in the order of a seeded draw on
     ``doc_id`` until the source's target, rounded, is met exactly: the last
     of them is taken in part. ``taken`` counts words, repeats included, and
-    never exceeds ``epochs * size``. Reruns agree: the draw depends only on
+    never exceeds ``epochs * size``; ``copies`` is how often a document is taken
+    whole or in part. The text itself is dropped. Reruns agree: the draw depends only on
     seed and ``doc_id``; equal draws are ordered by ``doc_id`` and size.
     Null and repeated ids are rows like any other. Sources of size 0 have
     target 0. Empty tables give empty results. Clashing columns are replaced.
     """
-    docs = docs.drop(*(c for c in ("size", "source_size", "target", "taken") if c in docs.columns))
+    docs = docs.drop(*(c for c in ("size", "source_size", "target", "taken", "copies") if c in docs.columns))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("long")
     sized = docs.withColumns(
         {
-            "size": F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"),
+            "size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
             "_draw": draw,
             "_key": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")),
         }
@@ -76,11 +78,26 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_part") - used))
     return (
         sized.join(plan, ["_key", "_bucket"])
-        .withColumn("taken", (F.col("_whole") * F.col("size") + extra).cast("long"))
-        .drop("_key", "_bucket", "_draw", "_ahead", "_whole", "_part")
+        .withColumn("_extra", extra)
+        .withColumn("taken", (F.col("_whole") * F.col("size") + F.col("_extra")).cast("long"))
+        .withColumn("copies", (F.col("_whole") + (F.col("_extra") > 0).cast("int")).cast("int"))
+        .drop("_extra", "_key", "_bucket", "_draw", "_ahead", "_whole", "_part")
     )
 
 
+def repeat_mixed(docs: DataFrame, **settings) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it, whole or in part.
+
+    Repeats of a document are whole, so a source exceeds its target by less
+    than one document. Rows are addressed by id, source and size.
+    """
+    plan = mix(docs.select("doc_id", "source", "text"), **settings).where("copies > 0")
+    plan = plan.groupBy(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size")).agg(F.max("copies").alias("copies"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
+    same = F.col("doc_id").eqNullSafe(F.col("p_id")) & F.col("source").eqNullSafe(F.col("p_source")) & (size == F.col("p_size"))
+    return docs.join(plan, same).withColumn("_n", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from .bpe import op7_bpe
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .langid import op2_langid
@@ -20,8 +22,9 @@ from .warc import OP8_SQL, op8_warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_url_filters, op2_langid, op3_toxicity, op4_vector_join, op5_ngram_join, op6_token_files, op7_bpe, op8_warc, op9_mixing, op10_exact_dedup]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op4_vector_join": OP4_SQL, "op8_warc": OP8_SQL, "op9_mixing": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+    found = {"op1_url_filters": OP1_SQL, "op4_vector_join": OP4_SQL, "op8_warc": OP8_SQL, "op9_mixing": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

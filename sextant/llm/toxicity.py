@@ -251,11 +251,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Add ``score`` (0 to 1) to every row of ``docs``, from the whole ``text``.
+def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
+    """Add ``out`` (0 to 1) to every row of ``docs``, from the whole ``text``.
 
     Null and empty texts have no clause and get the score of no match. A
-    column called ``score`` is replaced; repeated rows are scored alike.
+    column of that name is replaced; repeated rows are scored alike.
     """
 
     @F.pandas_udf("double")
@@ -263,7 +263,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for texts in batches:
             yield pd.Series(model.scores([x if isinstance(x, str) else "" for x in texts]))
 
-    return docs.withColumn("score", scored("text"))
+    return docs.withColumn(out, scored("text"))
 
 
 def held_out(doc_id: str = "doc_id"):

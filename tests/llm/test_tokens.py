@@ -13,7 +13,9 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from sextant.llm import spans
-from sextant.llm.bpe import encode_decode, loaded, tokenizer_path
+from pyspark.sql import functions as F
+
+from sextant.llm.bpe import decode, encode, ids_sha256, loaded, tokenizer_path
 from sextant.llm.token_files import read_tokens, with_crc32, write_tokens
 
 PATH = tokenizer_path()
@@ -60,15 +62,17 @@ def test_memory_is_bounded(monkeypatch):
 
 def test_queries_of_nulls_repeats_and_empty_tables(spark):
     rows = [(2, "b c"), (1, None), (None, "x"), (2, "b c"), (7, "<|endoftext|>"), (3, "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumnsRenamed({}).selectExpr("*", "1 AS n_tokens")
-    got = encode_decode(docs, PATH).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS ids", "'x' AS decoded")
+    tokens = decode(encode(docs, PATH), PATH)
+    assert tokens.columns == ["doc_id", "ids", "decoded"]
+    got = tokens.select("*", F.size("ids").alias("n_tokens"), ids_sha256("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")).collect()
     assert len(got) == 6
     for r in got:
         text = next(t or "" for i, t in rows if i == r.doc_id)
         ids = LIBRARY.encode(text, add_special_tokens=False).ids
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
-    assert encode_decode(docs.limit(0), PATH).count() == 0
+    assert decode(encode(docs.limit(0), PATH), PATH).count() == 0
 
 
 def test_files_keep_order_starts_and_sums(spark, tmp_path):
