@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -12,10 +14,17 @@ SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a function by its name, with the SQL that gives the same rows."""
+    """Register a function by its name, with the SQL that gives the same rows.
+
+    Timestamps of results lose their zone (UTC), as SQL's TIMESTAMP has none."""
 
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)
+            return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c, kind in df.dtypes if kind == "timestamp"})
+
+        QUERIES[f.__name__] = plain
         if sql is not None:
             SQL[f.__name__] = sql
         return f

@@ -44,6 +44,11 @@ PRICE_FEATURES = (
 )
 
 
+#: Averages of six-digit prices are exact at nine digits; at six they would tie.
+DIGITS = {c: 9 if c.startswith("sma_") else ROUND for c in PRICE_FEATURES}
+PRICE_SQL = ", ".join(f"round({c}, {n}) AS {c}" for c, n in DIGITS.items())
+
+
 def _price_sql(source: str, over: str) -> str:
     w = f"OVER ({over} ROWS BETWEEN"
     back = lambda agg, x, n: f"CASE WHEN count({x}) {w} {n - 1} PRECEDING AND CURRENT ROW) = {n} THEN {agg}({x}) {w} {n - 1} PRECEDING AND CURRENT ROW) END"
@@ -60,7 +65,7 @@ def _price_sql(source: str, over: str) -> str:
     return f"f AS (SELECT *, {', '.join(parts)} FROM {source}), g AS (SELECT *, ({back('stddev_samp', 'return_1', 20)}) * sqrt(252) AS volatility_20 FROM f)"
 
 
-@query(f"WITH {s.WALK}, {_price_sql('walk', 'ORDER BY d')} SELECT d, open, high, low, close, {_r(*PRICE_FEATURES)} FROM g")
+@query(f"WITH {s.WALK}, {_price_sql('walk', 'ORDER BY d')} SELECT d, open, high, low, close, {PRICE_SQL} FROM g")
 def win05_price_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-01, WIN-05 to WIN-07, WIN-09, WIN-11 to WIN-13, WIN-15 to WIN-17: full windows, percent."""
     return _digits(price_features(s.walk(spark, sf_dir), s.DAY))
@@ -68,13 +73,13 @@ def win05_price_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _digits(df: DataFrame) -> DataFrame:
     keep = [c for c in df.columns if c not in PRICE_FEATURES]
-    return df.select(*keep, *(F.round(c, ROUND).alias(c) for c in PRICE_FEATURES))
+    return df.select(*keep, *(F.round(c, DIGITS[c]).alias(c) for c in PRICE_FEATURES))
 
 
 SYMBOLS = s.SESSIONS.replace("SELECT", "SELECT o_orderpriority,").replace("GROUP BY 1", "GROUP BY 1, 2")
 
 
-@query(f"WITH {SYMBOLS}, {_price_sql('sessions', 'PARTITION BY o_orderpriority ORDER BY d')} SELECT o_orderpriority, d, open, high, low, close, {_r(*PRICE_FEATURES)} FROM g")
+@query(f"WITH {SYMBOLS}, {_price_sql('sessions', 'PARTITION BY o_orderpriority ORDER BY d')} SELECT o_orderpriority, d, open, high, low, close, {PRICE_SQL} FROM g")
 def win05_price_features_by_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for several series at once, partitioned by their key."""
     return _digits(price_features(s.sessions(spark, sf_dir, "o_orderpriority"), Series(("d",), ("o_orderpriority",))))
