@@ -24,7 +24,7 @@ def text_rows(df: DataFrame) -> DataFrame:
 
     def shown(field) -> F.Column:
         col, kind = F.col(field.name), field.dataType.typeName()
-        text = {"date": lambda: F.date_format(col, "yyyy-MM-dd"), "timestamp": lambda: f.zulu(col), "double": lambda: F.format_string("%.6f", f.finite(col))}.get(kind, lambda: col.cast("string"))()
+        text = {"date": lambda: F.date_format(col, "yyyy-MM-dd"), "timestamp": lambda: f.zulu(col), "double": lambda: f.fixed("%.6f", f.finite(col))}.get(kind, lambda: col.cast("string"))()
         return F.coalesce(F.when(col.isNotNull(), text), F.lit("")).alias(field.name)
 
     return df.select(*(shown(x) for x in df.schema))
