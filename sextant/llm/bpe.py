@@ -22,7 +22,6 @@ from pyspark.sql import types as T
 
 from .spans import Remembered, chunks, classes, code_points, hashes, token_starts
 
-
 #: Tokens after which a batch of rows is handed on.
 FLUSH = 500_000
 
@@ -39,26 +38,38 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+@cache
+def token_table(path: str) -> tuple[dict[int, bytes], dict[str, int]]:
+    """The bytes of each plain token by id, and the ids of special tokens: all that decoding needs."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if spec["model"]["type"] != "BPE" or (spec["pre_tokenizer"] or {}).get("type") != "ByteLevel" or spec["normalizer"]:
+        raise ValueError("a byte-level BPE without normalizer is needed")
+    special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+    back = {c: b for b, c in byte_letters().items()}
+    return {i: bytes(back[c] for c in t) for t, i in spec["model"]["vocab"].items() if t not in special}, special
+
+
+def joined(ids: np.ndarray, path: str) -> str:
+    """As the library's ``decode(ids, skip_special_tokens=False)``, without the library."""
+    plain, special = token_table(path)
+    named = {i: t.encode() for t, i in special.items()}
+    return b"".join(plain[i] if i in plain else named[i] for i in ids.tolist()).decode("utf-8", "replace")
+
+
 class ByteBpe:
     """A byte-level BPE of a ``tokenizer.json`` file, as arrays."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        if spec["model"]["type"] != "BPE" or (spec["pre_tokenizer"] or {}).get("type") != "ByteLevel" or spec["normalizer"]:
-            raise ValueError("a byte-level BPE without normalizer is needed")
-        self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
-        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.letters = byte_letters()
-        back = {c: b for b, c in self.letters.items()}
-        self.token_bytes = {i: bytes(back[c] for c in t) for t, i in spec["model"]["vocab"].items() if t not in self.special}
+        self.path, self.letters = path, byte_letters()
+        plain, self.special = token_table(path)
         self.never = np.ones((256, 256), bool)
-        for token in self.token_bytes.values():
+        for token in plain.values():
             self.never[list(token[:-1]), list(token[1:])] = False
-        self.token_bytes |= {i: t.encode() for t, i in self.special.items()}
+        self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.kept = Remembered()
 
     def _tokens(self, fragment: bytes) -> list[int]:
@@ -103,7 +114,7 @@ class ByteBpe:
 
     def decode(self, ids: np.ndarray) -> str:
         """As the library's ``decode(ids, skip_special_tokens=False)``."""
-        return b"".join(map(self.token_bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        return joined(ids, self.path)
 
 
 def _between(text: str, content: str, i: int) -> list[str | int]:
@@ -146,17 +157,26 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
     return docs.mapInArrow(run, schema)
 
 
-def decode(tokens: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """Add the text that the ids of every row stand for; null ids give empty text."""
-    tokens = tokens.drop(*(c for c in tokens.columns if c == text_col))
+def decode(tokens: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded", sha_col: str | None = None) -> DataFrame:
+    """Add the text that the ids of every row stand for; null ids give empty text.
+
+    ``sha_col``: also add the SHA-256 of the ids under this name, while they
+    are at hand. Columns called like the added ones are replaced."""
+    tokens = tokens.drop(*(c for c in tokens.columns if c in (text_col, sha_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                yield _with(part, text_col, pa.array([bpe.decode(x) for x in each(part.column(ids_col))], pa.string()))
+                ids = list(each(part.column(ids_col)))
+                part = _with(part, text_col, pa.array([joined(x, path) for x in ids], pa.string()))
+                yield part if sha_col is None else _with(part, sha_col, pa.array(map(_sha256, ids), pa.string()))
+
+    added = [T.StructField(c, T.StringType()) for c in (text_col, sha_col) if c is not None]
+    return tokens.mapInArrow(run, T.StructType([*tokens.schema, *added]))
+
 
-    return tokens.mapInArrow(run, T.StructType([*tokens.schema, T.StructField(text_col, T.StringType())]))
+def _sha256(ids: np.ndarray) -> str:
+    return hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest()
 
 
 def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
@@ -177,7 +197,7 @@ def each(column: pa.ListArray) -> Iterator[np.ndarray]:
 @F.pandas_udf(T.StringType())
 def ids_sha256(ids: pd.Series) -> pd.Series:
     """Of ids as little-endian unsigned 32-bit integers, lower-case hex."""
-    return pd.Series([hashlib.sha256(np.asarray(x, "<u4").tobytes()).hexdigest() for x in ids])
+    return ids.map(_sha256)
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -188,5 +208,5 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    tokens = decode(encode(docs, tokenizer_path()), tokenizer_path())
-    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_sha256("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    tokens = decode(encode(docs, tokenizer_path()), tokenizer_path(), sha_col="ids_sha256")
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -73,6 +73,8 @@ def test_queries_of_nulls_repeats_and_empty_tables(spark):
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert decode(encode(docs.limit(0), PATH), PATH).count() == 0
+    summed = decode(encode(docs, PATH), PATH, sha_col="sha").select("sha", ids_sha256("ids").alias("again")).collect()
+    assert len(summed) == 6 and all(r.sha == r.again for r in summed)
 
 
 def test_files_keep_order_starts_and_sums(spark, tmp_path):
