@@ -171,27 +171,31 @@ def _learned(texts: list[str], toxic: np.ndarray) -> tuple[dict[str, tuple[int,
     nearly the same, the longest. Texts that share their rarest long word are
     likely copies of each other and count as one text together.
     """
-    sets = [_forms(t) for t in texts]
-    seen = Counter(f for s in sets for f in s)
-    mark = [min(((seen[f], f) for f in s if f[0] == 0 and len(f[1]) > 7), default=(0, (0, ""))) for s in sets]
+    number: dict[tuple[int, str], int] = {}  # forms are held once and told by number: the sample's sets stay small
+    sets = [np.fromiter((number.setdefault(f, len(number)) for f in _forms(t)), np.int64) for t in texts]
+    forms = list(number)
+    seen = np.bincount(np.concatenate(sets), minlength=len(forms))
+    mark = [min(((seen[j], forms[j]) for j in s if forms[j][0] == 0 and len(forms[j][1]) > 7), default=(0, (0, ""))) for s in sets]
     mark = [m[1] if m[0] > 1 else (0, str(i)) for i, m in enumerate(mark)]
     same = Counter(mark)
     weight = np.array([1 / same[m] for m in mark])
     mass = {y: max(1e-9, weight[toxic == y].sum()) for y in (0, 1)}
-    by_form: dict[tuple[int, str], list[int]] = defaultdict(list)
-    clean: Counter = Counter()
+    by_form: dict[int, list[int]] = defaultdict(list)
+    clean = np.zeros(len(forms))
     for i, s in enumerate(sets):
-        for f in s:
-            if toxic[i]:
-                by_form[f].append(i)
-            else:
-                clean[f] += weight[i]
+        if toxic[i]:
+            for j in s.tolist():
+                by_form[j].append(i)
+        else:
+            clean[s] += weight[i]
     least = max(LEAST_TEXTS, LEAST_GAIN * mass[1])
     own = {(0, w) for w, (kind, _) in built_in().items() if kind == INSULT}
-    need = np.array([max(0, 2 - len(own & s)) for s in sets])
+    ours = [number[f] for f in own if f in number]
+    need = np.array([max(0, 2 - int(np.isin(ours, s).sum())) for s in sets])
     arc, docs_of = {}, {}
-    for f, docs in by_form.items():
-        if (w := weight[docs].sum()) >= least and (ratio := (w / mass[1]) / ((clean[f] + 0.5) / mass[0])) >= LEAST_RATIO and not any(w.startswith(f[1]) for _, w in own):
+    for j, docs in by_form.items():
+        f = forms[j]
+        if (w := weight[docs].sum()) >= least and (ratio := (w / mass[1]) / ((clean[j] + 0.5) / mass[0])) >= LEAST_RATIO and not any(w.startswith(f[1]) for _, w in own):
             arc[f], docs_of[f] = min(1.0, float(np.log(ratio) / np.log(FULL_RATIO))), np.array(docs)
     gain = lambda f: arc[f] * float(weight[docs_of[f]] @ (need[docs_of[f]] > 0))
     related = lambda f, g: f == g or f[1].startswith(g[1]) and g[0] > 0 or g[1].startswith(f[1]) and f[0] > 0
