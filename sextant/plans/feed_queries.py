@@ -156,3 +156,9 @@ def str02_changes_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def str03_newest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-03: newest for each key and day, late rows included."""
     return _run(spark, sf_dir, ch.newest_stream, "complete")
+
+
+@query()
+def str07_alerts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-07: alerts opened, told again and closed, as a stream with state."""
+    return _run(spark, sf_dir, ch.alerts_stream, "append")

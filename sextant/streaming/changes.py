@@ -1,4 +1,4 @@
-"""Streams of readings: append on change, newest for each day, merge on arrival."""
+"""Streams of readings: append on change, alerts, newest for each day, merge on arrival."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import scalars as f
 from ..operators.upsert import merge, newest
 from ..operators.windows import Series
 
@@ -38,6 +39,49 @@ def changes_stream(stream: DataFrame, key: str = "event_type", time: str = "ts",
     return stream.select(*fields).groupBy(key).applyInPandasWithState(step, schema, "last double", "append", GroupStateTimeout.NoTimeout)
 
 
+def alerts_stream(
+    stream: DataFrame, key: str = "event_type", time: str = "ts", tie: str = "event_id", value: str = "v", low: float = 25, high: float = 75, move: float = 5
+) -> DataFrame:
+    """Stream: what becomes of each series' low and high alert, as ``kind, action, notify``.
+
+    A reading in an alert range opens that alert (``open``); readings while it
+    is open give a row (``update``) only if they notify; a normal reading closes
+    both alerts (``close``). It notifies on the first alert of a day, else once
+    the value has moved by ``move`` or more since the last notification of that
+    alert, closed meanwhile or not. Readings that are null or not finite are
+    passed over. Rows are taken as in ``changes_stream``."""
+    fields = [key, time, tie, value]
+    kinds = ("low", "high")
+
+    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values([time, tie])
+        held = list(state.get) if state.exists else [False, 0, 0.0] * 2  # whether open; day and value last told
+        found = []
+        for at, (when, v, kind) in enumerate(zip(rows[time], rows[value], rows["kind"], strict=True)):
+            if kind not in kinds:
+                for i, other in enumerate(kinds):
+                    if held[3 * i]:
+                        held[3 * i] = False
+                        found.append((at, other, "close", False))
+                continue
+            i = 3 * kinds.index(kind)
+            is_open, day, told = held[i : i + 3]
+            notify = when.toordinal() != day or abs(v - told) >= move
+            if notify:
+                held[i + 1 : i + 3] = when.toordinal(), float(v)
+            if notify or not is_open:
+                held[i] = True
+                found.append((at, kind, "update" if is_open else "open", notify))
+        state.update(tuple(held))
+        said = pd.DataFrame(found, columns=["at", "kind", "action", "notify"])
+        yield rows.iloc[said["at"].astype("int64")][fields].reset_index(drop=True).join(said[["kind", "action", "notify"]])
+
+    read = stream.select(*fields, f.alert_type(f.finite(F.col(value)), low, high).alias("kind")).where(f.finite(F.col(value)).isNotNull())
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in stream.select(*fields).dtypes) + ", kind string, action string, notify boolean"
+    held = "low_open boolean, low_day long, low_value double, high_open boolean, high_day long, high_value double"
+    return read.groupBy(key).applyInPandasWithState(step, schema, held, "append", GroupStateTimeout.NoTimeout)
+
+
 def newest_stream(stream: DataFrame, key: str = "event_type", time: str = "ts", tie: str = "event_id", value: str = "v", late: str = "3650 days") -> DataFrame:
     """Stream: the newest value for each key and day, updated as rows come; ``late`` bounds the state."""
     day = F.window(time, "1 day")
@@ -50,10 +94,11 @@ def upsert_sink(path: str, keys: Sequence[str], order: Sequence[str]) -> Callabl
     """For ``foreachBatch``: merge a batch into the table at ``path``. Late rows
     count, repeated batches change nothing, and an unchanged table is not rewritten."""
     from ..sources.delimited import exists
-    from ..sources.sinks import write_if_changed
+    from ..sources.sinks import recover, write_if_changed
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
+        recover(spark, path)
         new = newest(batch, keys, order)
         merged = merge(spark.read.schema(batch.schema).parquet(path), new, keys, order) if exists(spark, path) else new
         write_if_changed(merged, path)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sextant.streaming.changes import changes, changes_stream, upsert_sink
+from sextant.streaming.changes import alerts_stream, changes, changes_stream, upsert_sink
 
 
 def test_changes_across_batches(spark, tmp_path):
@@ -23,3 +23,29 @@ def test_upsert_sink_takes_late_and_repeated_batches(spark, tmp_path):
     write(rows((1, 3, "late"), (2, 2, "d")), 1)
     write(rows((1, 3, "late"), (2, 2, "d")), 1)
     assert {r.k: r.v for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {1: "a", 2: "d"}
+
+
+def test_alerts_across_batches(spark, tmp_path):
+    rows = [
+        (1, "2024-01-01 09:00:00", 50.0), (2, "2024-01-01 10:00:00", 25.0), (3, "2024-01-01 11:00:00", 21.0), (4, "2024-01-01 12:00:00", 20.0), (5, "2024-01-01 13:00:00", None),
+        (6, "2024-01-02 09:00:00", 20.0), (7, "2024-01-02 10:00:00", 80.0), (8, "2024-01-02 11:00:00", 26.0), (9, "2024-01-02 12:00:00", 24.0), (10, "2024-01-02 13:00:00", 25.0), (11, "2024-01-02 14:00:00", float("nan")),
+    ]
+    source = spark.createDataFrame([("a", *r) for r in rows] + [("b", 12, "2024-01-01 09:00:00", 75.0)], "event_type string, event_id long, t string, v double")
+    source = source.select("event_type", F.to_timestamp("t").alias("ts"), "event_id", "v")
+    for low, high in ((1, 3), (4, 7), (8, 12)):
+        source.where(f"event_id BETWEEN {low} AND {high}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = alerts_stream(stream).writeStream.format("memory").queryName("alerts").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = sorted((r.event_id, r.kind, r.action, r.notify) for r in spark.table("alerts").collect())
+    assert got == [
+        (2, "low", "open", True), (4, "low", "update", True), (6, "low", "update", True), (7, "high", "open", True),
+        (8, "high", "close", False), (8, "low", "close", False), (9, "low", "open", False), (10, "low", "update", True), (12, "high", "open", True),
+    ]
+
+
+def test_upsert_sink_finishes_an_interrupted_write(spark, tmp_path):
+    write = upsert_sink(str(tmp_path / "t"), ["k"], ["t"])
+    spark.createDataFrame([(1, 5, "a")], "k int, t int, v string").write.parquet(str(tmp_path / "t.new"))
+    write(spark.createDataFrame([(2, 1, "b")], "k int, t int, v string"), 0)
+    assert {r.k: r.v for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {1: "a", 2: "b"}
