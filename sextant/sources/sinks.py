@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as f
@@ -45,11 +45,23 @@ def content_digest(df: DataFrame) -> str:
     return hashlib.sha256(repr(tuple(row)).encode()).hexdigest()
 
 
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish a write of ``write_if_changed`` that ended after the old rows went."""
+    jvm = spark._jvm
+    target, fresh, done = (jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path}.new", f"{path}.new/_SUCCESS"))
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(target) and store.exists(done):
+        store.rename(fresh, target)
+
+
 def write_if_changed(df: DataFrame, path: str, fmt: str = "parquet", **options: str) -> bool:
     """Overwrite ``path`` unless it holds the same rows. Returns whether it wrote.
 
-    The new rows go to a folder beside it first, so that ``df`` may read ``path``."""
+    The new rows go to a folder beside it first, so that ``df`` may read ``path``.
+    Should the job end before that folder takes its place, the next write, or
+    ``recover`` before a read, puts it there."""
     spark = df.sparkSession
+    recover(spark, path)
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     store = target.getFileSystem(spark._jsc.hadoopConfiguration())
