@@ -184,7 +184,7 @@ def _emit(docs: DataFrame, k: int, sketch: np.ndarray, t: Fraction) -> DataFrame
                 if len(seen) < 200_000:
                     seen.add(sid)
                 signs, counts, covers = _signatures(tokens, sketch, frequent, t)
-                salts = np.where(counts > HOT, (np.int64(sid) & 0x7FFFFFFF) % np.maximum(1, counts // HOT), 0)
+                salts = np.where(counts >= 2 * HOT, 1 + (np.int64(sid) & 0x7FFFFFFF) % np.maximum(1, counts // HOT), 0)
                 m = len(signs)
                 held.append((signs.view(np.int64), salts.astype(np.int32), np.full(m, sid), np.full(m, len(tokens), np.int32), covers.astype(np.int32)))
                 size += m
@@ -202,7 +202,8 @@ def _shared(signatures: DataFrame) -> DataFrame:
     the set of which least comes before, so the one most like the others.
 
     Sorted rows stream through; nothing but the group's first row is held.
-    Estimated hot signatures arrive in several groups, by salt.
+    Estimated hot signatures arrive in several groups, by salt from 1 on; a set
+    alone in such a group stays, as the others may lie in the signature's other groups.
     """
     columns = ["sig", "salt", "sid", "n", "cov"]
 
@@ -221,6 +222,7 @@ def _shared(signatures: DataFrame) -> DataFrame:
             fresh = np.concatenate(([True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1)))
             shared = np.zeros(len(rows), bool)
             shared[first[other]] = True
+            shared |= new & (rows[:, 1] > 0)
             last_start = int(first[-1])
             keep = (other & fresh) | (new & shared)
             if lead is not None and told:
@@ -311,7 +313,7 @@ def near_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, sketch
     def pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
         return rows.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
 
-    # salted groups of one signature meet by their first rows
+    # salted groups of one signature, of one set too, meet by their first rows
     leads = shared.groupBy("sig", "salt").agg(F.first(F.struct("rep_cov", "rep", "rep_n")).alias("lead"))
     tops = leads.groupBy("sig").agg(F.min("lead").alias("top"), F.count("*").alias("groups")).where("groups > 1")
     joint = leads.join(tops, "sig").select(

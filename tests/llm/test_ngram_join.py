@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from sextant.llm import ngram_join
 from sextant.llm.ngram_join import near_components
 
 
@@ -67,6 +68,15 @@ def test_against_all_pairs(spark, seed, k, num, den):
     assert got == brute(rows, k, num, den)
 
 
+@pytest.mark.parametrize(("hot", "seed"), [(1, 1), (2, 2)])
+def test_sets_alone_in_their_salt_group_keep_their_links(spark, monkeypatch, hot, seed):
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    rows = made(seed)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = sorted((tuple(r)[:3] for r in near_components(docs, 2, 0.7).collect()), key=repr)
+    assert got == brute(rows, 2, 70, 100)
+
+
 def test_documents_of_the_test_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
