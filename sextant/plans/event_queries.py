@@ -15,6 +15,7 @@ from .series_queries import rounded
 #: Wide bands, for which the strict and the relaxed branch have events.
 WIDE = sel.AnalogSettings(level=60.0, change=90.0, high=0.5, ret_20=0.5, sma_200=0.5)
 NARROW = sel.AnalogSettings()
+#: Of the queries with SQL, whose text it is part of; the reference, and ``agg09_bootstrap_numpy``, take 5,000.
 ITERATIONS = 200
 
 
@@ -153,7 +154,7 @@ def agg09_bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def agg09_bootstrap_numpy(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, now = s.signals(spark, sf_dir), s.current(spark, sf_dir)
-    return stats.bootstrap_excess_numpy(sel.nearest_analogs(events, now, NARROW).select(F.col("fwd_5").alias("x")), sel.regime_baseline(events, now).select(F.col("fwd_5").alias("x")), ITERATIONS)
+    return stats.bootstrap_excess_numpy(sel.nearest_analogs(events, now, NARROW).select(F.col("fwd_5").alias("x")), sel.regime_baseline(events, now).select(F.col("fwd_5").alias("x")))
 
 
 query()(agg09_bootstrap_numpy)
@@ -162,7 +163,7 @@ query()(agg09_bootstrap_numpy)
 def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     # daily tables of a few thousand rows, read by ten branches of the plan
     events, now = s.signals(spark, sf_dir).persist(), s.current(spark, sf_dir).persist()
-    analogs, baseline = sel.nearest_analogs(events, now, NARROW), sel.regime_baseline(events, now)
+    analogs, baseline = sel.find_analogs(events, now, NARROW)[0], sel.regime_baseline(events, now)
     return decisions.decide(stats.verdict_summary(analogs, baseline, now, _interval(analogs, baseline)))
 
 

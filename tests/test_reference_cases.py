@@ -12,10 +12,12 @@ from sextant.operators import stats
 from sextant.operators.asof import asof_days, asof_times, assert_matched, with_lag
 from sextant.operators.upsert import merge, newest, same_rows
 from sextant.operators.windows import Series, future_stat, next_session_outcomes, price_features, sentiment_features
+from sextant.plans import event_queries, standins
 from sextant.schema import DataValidationError, pick_date, pick_numeric, require, resolve, slug
 from sextant.sources import delimited, feeds, sinks
 
 D = dt.date
+SF = "/root/testdata/sf0.001"
 
 
 def frame(spark, rows, schema):
@@ -235,6 +237,20 @@ def test_wilson_and_bootstrap(spark):
     assert tuple(stats.bootstrap_excess_numpy(a.dropna(), b, 20).first()) == (0.5, 0.5)
 
 
+def test_bootstrap_query_takes_all_iterations(spark):
+    events, now = standins.signals(spark, SF), standins.current(spark, SF)
+    a, b = (x.select(F.col("fwd_5").alias("x")) for x in (sel.nearest_analogs(events, now, sel.AnalogSettings()), sel.regime_baseline(events, now)))
+    assert event_queries.agg09_bootstrap_numpy(spark, SF).first() == stats.bootstrap_excess_numpy(a, b, 5000).first()
+
+
+def test_verdict_is_over_the_strict_events_where_there_are_enough(spark, monkeypatch):
+    monkeypatch.setattr(event_queries, "NARROW", event_queries.WIDE)
+    strict = sel.strict_analogs(standins.signals(spark, SF), standins.current(spark, SF), event_queries.WIDE)
+    n, mean = strict.agg(F.count("fwd_5"), F.avg("fwd_5")).first()
+    found = event_queries.verdict(spark, SF).first()
+    assert n >= event_queries.WIDE.least and (found.sample, found.mean5) == (n, pytest.approx(mean))
+
+
 def test_event_study_keeps_empty_groups(spark):
     rows = [(D(2024, 1, 1) + dt.timedelta(days=7 * i), 18.0 + i, -6.0, None, None, 0.01 * i if i != 1 else None, 0.02, -0.01) for i in range(4)]
     got = stats.event_study(frame(spark, rows, "day date, v double, chg_1 double, chg_3 double, chg_5 double, fwd_5 double, fwd_20 double, max_drawdown_20 double")).orderBy("ord").collect()
