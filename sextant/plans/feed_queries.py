@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from datetime import date
 
@@ -135,30 +136,35 @@ def str02_changes_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.changes(_coarse(spark, sf_dir), ["event_type"], ["ts", "event_id"]).select("event_type", "ts", "event_id", "v")
 
 
-def _run(spark: SparkSession, sf_dir: str, build, mode: str) -> DataFrame:
-    """Run a stream over the events file to its end; results by the memory sink."""
+def _shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share, or a temporary one in local mode."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sextant-")).rstrip("/")
+
+
+def _run(spark: SparkSession, sf_dir: str, sink, columns: str, build=lambda x: x, mode: str = "append") -> DataFrame:
+    """Run a stream over the events file to its end; checkpoint and results lie in the shared folder."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     stream = stream.select("event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("v"))
-    name = f"stream_{uuid.uuid4().hex}"
-    query_ = build(stream).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query_.awaitTermination()
-    return spark.table(name)
+    path = f"{_shared_root(spark)}/stream-{uuid.uuid4().hex}"
+    running = build(stream).writeStream.foreachBatch(sink(path)).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.parquet(f"{path}/rows").select(*columns.split())
 
 
 @query(CHANGES)
 def str02_changes_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-01, STR-02 as a stream with state."""
-    return _run(spark, sf_dir, lambda x: ch.changes_stream(x.withColumn("v", F.floor(F.col("v") / 50).cast("double"))), "append")
+    return _run(spark, sf_dir, ch.changes_sink, "event_type ts event_id v", lambda x: x.withColumn("v", F.floor(F.col("v") / 50).cast("double")))
 
 
 @query("SELECT event_type, ts::DATE AS day, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS v FROM events GROUP BY 1, 2")
 def str03_newest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-03: newest for each key and day, late rows included."""
-    return _run(spark, sf_dir, ch.newest_stream, "complete")
+    return _run(spark, sf_dir, ch.newest_sink, "event_type day ts event_id v", ch.newest_stream, "complete")
 
 
 @query()
 def str07_alerts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-07: alerts opened, told again and closed, as a stream with state."""
-    return _run(spark, sf_dir, ch.alerts_stream, "append")
+    return _run(spark, sf_dir, ch.alerts_sink, "event_type ts event_id v kind action notify")

@@ -23,7 +23,8 @@ def changes_stream(stream: DataFrame, key: str = "event_type", time: str = "ts",
     """Stream: the same, one remembered value for each key.
 
     Rows of a key are compared in time order within a micro-batch, and batches
-    in the order of arrival."""
+    in the order of arrival. A key's rows of a micro-batch are held in one
+    frame; ``changes_sink`` holds none."""
     fields = [key, time, tie, value]
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -39,6 +40,35 @@ def changes_stream(stream: DataFrame, key: str = "event_type", time: str = "ts",
     return stream.select(*fields).groupBy(key).applyInPandasWithState(step, schema, "last double", "append", GroupStateTimeout.NoTimeout)
 
 
+#: Of each kind: whether its alert is open; day and value last told.
+HELD_SCHEMA = "low_open boolean, low_day long, low_value double, high_open boolean, high_day long, high_value double"
+HELD = [x.split()[0] for x in HELD_SCHEMA.split(", ")]
+SILENT = [False, 0, 0.0] * 2
+KINDS = ("low", "high")
+
+
+def _rated(rows: DataFrame, fields: Sequence[str], value: str, low: float, high: float) -> DataFrame:
+    return rows.select(*fields, f.alert_type(f.finite(F.col(value)), low, high).alias("kind")).where(f.finite(F.col(value)).isNotNull())
+
+
+def _told(held: list, when: pd.Timestamp, v: float, kind: str, move: float) -> list[tuple[str, str, bool]]:
+    """What one reading makes of a series' alerts; ``held`` is brought up to date."""
+    if kind not in KINDS:
+        closed = [i for i in range(len(KINDS)) if held[3 * i]]
+        for i in closed:
+            held[3 * i] = False
+        return [(KINDS[i], "close", False) for i in closed]
+    i = 3 * KINDS.index(kind)
+    is_open, day, told = held[i : i + 3]
+    notify = when.toordinal() != day or abs(v - told) >= move
+    if notify:
+        held[i + 1 : i + 3] = when.toordinal(), float(v)
+    if not notify and is_open:
+        return []
+    held[i] = True
+    return [(kind, "update" if is_open else "open", notify)]
+
+
 def alerts_stream(
     stream: DataFrame, key: str = "event_type", time: str = "ts", tie: str = "event_id", value: str = "v", low: float = 25, high: float = 75, move: float = 5
 ) -> DataFrame:
@@ -51,35 +81,20 @@ def alerts_stream(
     alert, closed meanwhile or not. Readings that are null or not finite are
     passed over. Rows are taken as in ``changes_stream``."""
     fields = [key, time, tie, value]
-    kinds = ("low", "high")
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values([time, tie])
-        held = list(state.get) if state.exists else [False, 0, 0.0] * 2  # whether open; day and value last told
+        held = list(state.get) if state.exists else list(SILENT)
         found = []
         for at, (when, v, kind) in enumerate(zip(rows[time], rows[value], rows["kind"], strict=True)):
-            if kind not in kinds:
-                for i, other in enumerate(kinds):
-                    if held[3 * i]:
-                        held[3 * i] = False
-                        found.append((at, other, "close", False))
-                continue
-            i = 3 * kinds.index(kind)
-            is_open, day, told = held[i : i + 3]
-            notify = when.toordinal() != day or abs(v - told) >= move
-            if notify:
-                held[i + 1 : i + 3] = when.toordinal(), float(v)
-            if notify or not is_open:
-                held[i] = True
-                found.append((at, kind, "update" if is_open else "open", notify))
+            found.extend((at, *x) for x in _told(held, when, v, kind, move))
         state.update(tuple(held))
         said = pd.DataFrame(found, columns=["at", "kind", "action", "notify"])
         yield rows.iloc[said["at"].astype("int64")][fields].reset_index(drop=True).join(said[["kind", "action", "notify"]])
 
-    read = stream.select(*fields, f.alert_type(f.finite(F.col(value)), low, high).alias("kind")).where(f.finite(F.col(value)).isNotNull())
+    read = _rated(stream, fields, value, low, high)
     schema = ", ".join(f"`{c}` {kind}" for c, kind in stream.select(*fields).dtypes) + ", kind string, action string, notify boolean"
-    held = "low_open boolean, low_day long, low_value double, high_open boolean, high_day long, high_value double"
-    return read.groupBy(key).applyInPandasWithState(step, schema, held, "append", GroupStateTimeout.NoTimeout)
+    return read.groupBy(key).applyInPandasWithState(step, schema, HELD_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 
 def newest_stream(stream: DataFrame, key: str = "event_type", time: str = "ts", tie: str = "event_id", value: str = "v", late: str = "3650 days") -> DataFrame:
@@ -90,6 +105,81 @@ def newest_stream(stream: DataFrame, key: str = "event_type", time: str = "ts",
     )
 
 
+def changes_sink(path: str, key: str = "event_type", time: str = "ts", tie: str = "event_id", value: str = "v") -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: as ``changes_stream``, into ``path/rows/batch=N``.
+
+    A batch is compared in Spark, after the row of each key remembered from
+    the batch before (``path/state/N``); a repeated batch writes the same."""
+    fields = [key, time, tie, value]
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.select(*fields, F.lit(1).alias("_place"))
+        if number:
+            before = batch.sparkSession.read.schema(batch.select(*fields).schema).parquet(f"{path}/state/{number - 1}")
+            rows = before.select(*fields, F.lit(0).alias("_place")).unionByName(rows)
+        order = ("_place", time, tie)
+        found = changes(rows, [key], order, value).where("_place = 1").select(*fields)
+        found.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        last = rows.groupBy(key).agg(F.max_by(F.struct(time, tie, value), F.struct(*order)).alias("_r")).select(key, "_r.*")
+        last.write.mode("overwrite").parquet(f"{path}/state/{number}")
+
+    return write
+
+
+def alerts_sink(
+    path: str, key: str = "event_type", time: str = "ts", tie: str = "event_id", value: str = "v", low: float = 25, high: float = 75, move: float = 5
+) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: as ``alerts_stream``, into ``path/rows/batch=N``.
+
+    Sorted rows of a batch stream through a task, after the state of each key
+    from the batch before; nothing but the open key's state is held. What was
+    told and the states are written together to ``path/walked/N``."""
+    fields = [key, time, tie, value]
+
+    def write(batch: DataFrame, number: int) -> None:
+        read = _rated(batch, fields, value, low, high)
+        plain = ", ".join(f"`{c}` {kind}" for c, kind in read.select(*fields).dtypes)
+        schema = f"{plain}, kind string, action string, notify boolean, {HELD_SCHEMA}, _state boolean"
+        nothing = {x.split()[0]: F.lit(None).cast(x.split()[1]) for x in HELD_SCHEMA.split(", ")}
+        rows = read.withColumns({**nothing, "_place": F.lit(1)})
+        if number:
+            before = batch.sparkSession.read.schema(schema).parquet(f"{path}/walked/{number - 1}").where("_state")
+            rows = before.select(*fields, "kind", *HELD, F.lit(0).alias("_place")).unionByName(rows)
+        names = [*fields, "kind", "action", "notify", *HELD, "_state"]
+
+        def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            open_key: tuple | None = None
+            held = list(SILENT)
+            state = lambda: (open_key[0], None, None, None, None, None, None, *held, True)
+            for part in batches:
+                found = []
+                for k, when, t, v, kind, place, *old in zip(*(part[c] for c in (*fields, "kind", "_place", *HELD)), strict=True):
+                    k = None if pd.isna(k) else k
+                    if open_key != (k,):
+                        if open_key is not None:
+                            found.append(state())
+                        open_key, held = (k,), list(SILENT)
+                    if place == 0:
+                        held = [bool(old[0]), int(old[1]), float(old[2]), bool(old[3]), int(old[4]), float(old[5])]
+                        continue
+                    found.extend((k, when, t, v, *x, *([None] * len(HELD)), False) for x in _told(held, when, v, kind, move))
+                yield pd.DataFrame(found, columns=names, dtype=object)
+            if open_key is not None:
+                yield pd.DataFrame([state()], columns=names, dtype=object)
+
+        dealt = rows.repartition(key).sortWithinPartitions(key, "_place", time, tie)
+        dealt.mapInPandas(walk, schema).write.mode("overwrite").parquet(f"{path}/walked/{number}")
+        walked = batch.sparkSession.read.schema(schema).parquet(f"{path}/walked/{number}")
+        walked.where("NOT _state").select(*fields, "kind", "action", "notify").write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    return write
+
+
+def newest_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch`` of a stream in complete mode: the newest result stays in ``path/rows``."""
+    return lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/rows")
+
+
 def upsert_sink(path: str, keys: Sequence[str], order: Sequence[str]) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: merge a batch into the table at ``path``. Late rows
     count, repeated batches change nothing, and an unchanged table is not rewritten."""

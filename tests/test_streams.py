@@ -1,8 +1,10 @@
 """Streams give what the batch forms give."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from sextant.streaming.changes import alerts_stream, changes, changes_stream, upsert_sink
+from sextant.plans import feed_queries
+from sextant.streaming.changes import alerts_sink, alerts_stream, changes, changes_sink, changes_stream, upsert_sink
 
 
 def test_changes_across_batches(spark, tmp_path):
@@ -49,3 +51,24 @@ def test_upsert_sink_finishes_an_interrupted_write(spark, tmp_path):
     spark.createDataFrame([(1, 5, "a")], "k int, t int, v string").write.parquet(str(tmp_path / "t.new"))
     write(spark.createDataFrame([(2, 1, "b")], "k int, t int, v string"), 0)
     assert {r.k: r.v for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {1: "a", 2: "b"}
+
+
+@pytest.mark.parametrize(("sink", "build"), [(changes_sink, changes_stream), (alerts_sink, alerts_stream)])
+def test_sinks_give_what_the_stateful_streams_give(spark, tmp_path, sink, build):
+    source = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id", F.floor("value").cast("double").alias("v"))
+    for i in range(3):
+        source.where(f"event_id BETWEEN {i * 400} AND {i * 400 + 399}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    name, out = f"by_{build.__name__}", str(tmp_path / "out")
+    for run in (build(stream).writeStream.format("memory").queryName(name), stream.writeStream.foreachBatch(sink(out))):
+        run.outputMode("append").option("checkpointLocation", str(tmp_path / f"cp{id(run)}")).trigger(availableNow=True).start().awaitTermination()
+    want = spark.table(name)
+    got = spark.read.parquet(f"{out}/rows").select(*want.columns)
+    assert want.count() and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+@pytest.mark.parametrize("query", [feed_queries.str02_changes_stream, feed_queries.str03_newest_stream, feed_queries.str07_alerts_stream])
+def test_stream_queries_write_to_the_shared_folder(spark, tmp_path, monkeypatch, query):
+    monkeypatch.setattr(feed_queries, "_shared_root", lambda spark: f"file://{tmp_path}", raising=False)
+    files = query(spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and all(str(tmp_path) in x for x in files) and list(tmp_path.glob("stream-*/checkpoint/commits"))
