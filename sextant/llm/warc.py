@@ -165,7 +165,8 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
 
     ``payload_digest`` is bare lower-case hex; of a response, digest and bytes
     are taken from the payload itself; of a revisit, from its headers. Without
-    ``payloads`` the bodies are left out. A folder without archives gives no rows.
+    ``payloads`` the bodies are left out. A folder without archives gives no rows. Only ``*.warc`` and ``*.warc.gz`` are archives:
+    a temporary file that a lost task left is passed over.
     """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,7 +183,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                 if held:
                     yield _typed(pd.DataFrame(held, columns=columns))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,warc.gz}").load(path).select("path", "content")
     return files.mapInPandas(parse, RECORD_SCHEMA)
 
 

@@ -151,3 +151,12 @@ def test_warc_captures_hold_payload_request_and_metadata(spark, tmp_path):
     found = {r.metadata["fields"].get("page_id") if r.metadata["fields"] else None: r for r in assemble(read_warc(spark, f"file://{tmp_path}/w")).collect()}
     assert found["2"].payload.decode() == "é" * 800 and found["1"].payload is None and found["1"].refers_to == found["2"].capture_id
     assert all(r.parts == 2 and r.request.record_id for r in found.values()) and found["3"].target_uri is None and found[None].payload == b"v"
+
+
+def test_warc_passes_over_what_a_lost_task_left(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a/", "x")], "page_id long, url string, html string")
+    archive = write_warc(pages, f"file://{tmp_path}/w").where("records > 0").first().path
+    for name, size in (("part-00000-0000.warc.gz.7.tmp", None), ("part-00009-0000.warc.gz.8.tmp", 40)):
+        with open(archive, "rb") as whole:
+            (tmp_path / "w" / name).write_bytes(whole.read(size))
+    assert read_warc(spark, f"file://{tmp_path}/w").count() == 3
