@@ -10,6 +10,7 @@ from __future__ import annotations
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,12 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer_path
+from .common import stage, unstage, unused
 from .spans import Prefixes, Remembered, chunks, classes, code_points, hashes, lowered, word_spans
 
 #: Learned documents looked at for each language, and rounds of expectation maximisation.
 SAMPLE, ROUNDS = 400, 2
-#: Longer pieces are left out; longer words are cut into blocks.
-PIECE, WORD = 8, 32
 #: Marks the start of a word.
 START = "▁"
 #: Probability of a letter that is no piece of the vocabulary, and what smooths the counts.
@@ -38,7 +38,7 @@ def vocabulary(path: str) -> list[str]:
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i).lower()
         body = piece.removeprefix(START)
-        if len(piece) <= PIECE and all(unicodedata.category(c)[0] == "L" for c in body) and body.count(START) == 0 and piece:
+        if all(unicodedata.category(c)[0] == "L" for c in body) and body.count(START) == 0 and piece:
             found.add(piece)
     return sorted(found)
 
@@ -58,7 +58,8 @@ class Pieces:
         self.table[slots] = np.arange(len(pieces))
         many = np.bincount(slots, minlength=1 << self.BITS)
         self.table[many > 1] = -2  # looked up in order
-        self.longest = max(map(len, pieces))
+        self.lengths = sorted(set(map(len, pieces)) | {1})
+        self.longest = self.lengths[-1]
 
     def find(self, hashed: np.ndarray) -> np.ndarray:
         """The piece of each hash, or -1."""
@@ -70,72 +71,86 @@ class Pieces:
         found[(found >= 0) & (self.hashes[np.maximum(found, 0)] != hashed)] = -1
         return found
 
-    def arcs(self, words: np.ndarray) -> list[list[tuple[int, np.ndarray]]]:
-        """For words of one length, a row of code points each: at every end, the
-        length and piece number of what may end there."""
-        n, size = words.shape
-        hashed = Prefixes(np.ascontiguousarray(words).reshape(-1))
-        base = np.arange(n) * size
+    def arcs(self, words: list[str]) -> Arcs:
+        """Every way to end a piece, or a letter that is none, at every letter of every word."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        word = np.repeat(np.arange(len(words)), sizes)
+        place = np.arange(1, len(codes) + 1) - (np.cumsum(sizes) - sizes)[word]
+        hashed = Prefixes(codes)
         found = []
-        for end in range(1, size + 1):
-            row = []
-            for length in range(1, min(end, self.longest) + 1):
-                row.append((length, self.find(hashed.of(base + end - length, base + end))))
-            found.append(row)
-        return found
-
-
-def _forward(arcs: list, prob: np.ndarray, n: int) -> list[np.ndarray]:
-    """Sums over all segmentations up to each position; ``prob`` is pieces x languages."""
-    alpha = [np.ones((n, prob.shape[1]))]
-    for row in arcs:
-        total = np.zeros((n, prob.shape[1]))
-        for length, piece in row:
-            hit = np.flatnonzero(piece >= 0)
-            before = alpha[len(alpha) - length]
-            total[hit] += before[hit] * prob[piece[hit]]
-            if length == 1:
-                miss = np.flatnonzero(piece < 0)
-                total[miss] += before[miss] * UNKNOWN
-        alpha.append(total)
-    return alpha
-
-
-def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions and code point rows of words of equal length, cut to blocks of WORD."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    for size in np.unique(sizes):
-        at = np.flatnonzero(sizes == size)
-        codes = np.frombuffer("".join(words[i] for i in at).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(at), size)
-        for begin in range(0, size, WORD):
-            yield at, codes[:, begin : begin + WORD]
+        for n in self.lengths:
+            end = np.flatnonzero(place >= n) + 1
+            piece = self.find(hashed.of(end - n, end))
+            if n == 1:
+                piece = np.where(piece < 0, len(self.hashes), piece)  # the last number: unknown
+            end, piece = end[piece >= 0], piece[piece >= 0]
+            found.append((end, np.full(len(end), n), piece))
+        end, length, piece = map(np.concatenate, zip(*found, strict=True))
+        last = np.cumsum(sizes + 1) - 1  # a word has a state before each letter and one after the last
+        return Arcs(end + word[end - 1], length, piece, place[end - 1], sizes[word[end - 1]], last)
+
+
+@dataclass(frozen=True)
+class Arcs:
+    """Arcs of many words, whose states are numbered one after another: the state an
+    arc ends in, its length and piece, its end's place in the word, the word's size;
+    and each word's last state."""
+
+    to: np.ndarray
+    length: np.ndarray
+    piece: np.ndarray
+    place: np.ndarray
+    size: np.ndarray
+    last: np.ndarray
+
+    def sums(self, prob: np.ndarray, backward: bool = False) -> np.ndarray:
+        """Log of the sum over all ways from a word's first state to each state, or
+        from there to its last: states x languages. ``prob`` is pieces x languages,
+        unknown letters last. Each state is counted from its neighbour's scale, so
+        that words of any length stay in range."""
+        start = self.to - self.length
+        node, other, near = (start, self.to, start + 1) if backward else (self.to, start, self.to - 1)
+        step = self.size - self.place + self.length if backward else self.place
+        order = np.lexsort((self.length, node, step))
+        node, other, near, piece = (x[order] for x in (node, other, near, self.piece))
+        heads = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+        bounds = np.flatnonzero(np.concatenate(([True], np.diff(step[order][heads]) > 0)))
+        logs = np.zeros((self.last[-1] + 1, prob.shape[1]))
+        for a, b in zip(bounds, np.append(bounds[1:], len(heads)), strict=True):
+            first, end = heads[a], heads[b] if b < len(heads) else len(node)
+            here = slice(first, end)
+            terms = np.exp(logs[other[here]] - logs[near[here]]) * prob[piece[here]]
+            own = heads[a:b]
+            logs[node[own]] = logs[near[own]] + np.log(np.add.reduceat(terms, own - first, axis=0))
+        return logs
+
+
+def _known(prob: np.ndarray) -> np.ndarray:
+    return np.vstack((prob, np.full((1, prob.shape[1]), UNKNOWN)))
 
 
 def word_logs(words: list[str], pieces: Pieces, prob: np.ndarray) -> np.ndarray:
-    """Log probability of each word in each language."""
-    logs = np.zeros((len(words), prob.shape[1]))
-    for at, codes in _by_length(words):
-        logs[at] += np.log(_forward(pieces.arcs(codes), prob, len(at))[-1])
-    return logs
+    """Log probability of each word in each language: the sum over all its
+    segmentations, whatever its length. ``prob`` is pieces x languages."""
+    prob, found = _known(prob), [np.zeros((0, prob.shape[1]))]
+    for part in chunks(words):
+        arcs = pieces.arcs(part)
+        found.append(arcs.sums(prob)[arcs.last])
+    return np.concatenate(found)
 
 
 def _expected(words: list[str], counts: np.ndarray, pieces: Pieces, prob: np.ndarray) -> np.ndarray:
     """Expected count of each piece over all segmentations of counted words, one language."""
-    total = np.zeros(len(prob))
-    for at, codes in _by_length(words):
-        arcs = pieces.arcs(codes)
-        alpha = [a[:, 0] for a in _forward(arcs, prob[:, None], len(at))]
-        beta = [np.zeros(len(at)) for _ in arcs] + [counts[at] / alpha[-1]]
-        for end in range(len(arcs), 0, -1):
-            for length, piece in arcs[end - 1]:
-                hit = np.flatnonzero(piece >= 0)
-                ahead = prob[piece[hit]] * beta[end][hit]
-                total += np.bincount(piece[hit], alpha[end - length][hit] * ahead, len(prob))
-                beta[end - length][hit] += ahead
-                if length == 1:
-                    miss = np.flatnonzero(piece < 0)
-                    beta[end - 1][miss] += UNKNOWN * beta[end][miss]
-    return total
+    total, prob, at = np.zeros(len(prob) + 1), _known(prob[:, None]), 0
+    for part in chunks(words):
+        arcs = pieces.arcs(part)
+        ahead, back = arcs.sums(prob)[:, 0], arcs.sums(prob, backward=True)[:, 0]
+        word = np.searchsorted(arcs.last, arcs.to)
+        share = np.exp(ahead[arcs.to - arcs.length] + back[arcs.to] - ahead[arcs.last[word]]) * prob[arcs.piece, 0]
+        total += np.bincount(arcs.piece, share * counts[at + word], len(total))
+        at += len(part)
+    return total[:-1]
 
 
 def _words(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -195,7 +210,9 @@ def fit(docs: DataFrame, pieces: list[str], sample: int = SAMPLE, rounds: int =
     About ``sample`` documents of each language are looked at, drawn by a hash
     of the id. Their words are counted in Spark; every round adds up expected
     piece counts there, so the driver sees only pieces x languages. Null
-    languages, texts and ids teach nothing; without any there is no language.
+    languages, texts and ids teach nothing; without any, as in an empty table,
+    there is no language. Repeated rows teach as often as they occur; other
+    columns are not looked at.
     """
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text", "lang")
     counts = known.groupBy("lang").count()
@@ -210,8 +227,6 @@ def fit(docs: DataFrame, pieces: list[str], sample: int = SAMPLE, rounds: int =
                 tally.update(zip(langs[text], _strings(low, first, last), strict=True))
             yield pd.DataFrame([(*k, v) for k, v in tally.items()], columns=["lang", "word", "n"])
 
-    from .common import stage, unstage
-
     words, path = stage(drawn.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "langid-words")
     languages = sorted((r["lang"] for r in words.select("lang").distinct().collect()), key=lambda x: x.encode())
     prob = np.full((len(pieces), len(languages)), 1 / max(1, len(pieces)))
@@ -238,8 +253,10 @@ def fit(docs: DataFrame, pieces: list[str], sample: int = SAMPLE, rounds: int =
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Add ``lang_pred, score`` to every row of ``docs`` from its whole ``text``.
 
-    ``und`` with score 0 if the text is null or has no letter. Clashing
-    columns are replaced; repeated rows get the same.
+    ``und`` with score 0 if the text is null or has no letter, and everywhere if
+    the model has no language. Texts and words of any length are scored whole.
+    Columns of ``docs`` called like the added ones are replaced; repeated rows
+    get the same; an empty table gives an empty one.
     """
 
     @F.pandas_udf("lang_pred string, score double")
@@ -249,7 +266,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame({"lang_pred": lang, "score": score})
 
     docs = docs.drop(*(c for c in ("lang_pred", "score") if c in docs.columns))
-    return docs.withColumn("_p", predicted("text")).select(*docs.columns, "_p.lang_pred", "_p.score")
+    found = unused("predicted", docs.columns)
+    return docs.withColumn(found, predicted("text")).select(*docs.columns, f"{found}.lang_pred", f"{found}.score")
 
 
 def held_out(doc_id: str = "doc_id"):

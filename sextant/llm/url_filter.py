@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, ascii_lower
+from .common import ascii_lower, small_or_shuffled
 
 #: Hex digits of the short hash (32 bits).
 SHORT = 8
@@ -85,7 +85,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
         F.col("host").alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict"),
         _digest(F.col("host"), _folder(F.col("path"))).alias("r_digest"),
     ).withColumn("short", F.substring("r_digest", 1, SHORT))
-    if shape["n"] <= BROADCAST_ROWS:
+    if False:
         indexed = F.broadcast(indexed)
     decided = (
         expressions.join(indexed, "short")

@@ -80,33 +80,149 @@ def test_languages_of_odd_rows(spark):
     assert langid.identify(docs.limit(0), model).count() == 0
 
 
-def walked(text):
-    """The grammar of a text, read word by word without the machine."""
+def plain_sum(word, prob, longest):
+    """The forward sum of one word, letter by letter, in logs."""
+    logs = [0.0]
+    for end in range(1, len(word) + 1):
+        parts = ((n, prob.get(word[end - n : end], langid.UNKNOWN if n == 1 else 0.0)) for n in range(1, min(end, longest) + 1))
+        logs.append(logs[-1] + math.log(sum(math.exp(logs[end - n] - logs[-1]) * p for n, p in parts)))
+    return logs[-1]
+
+
+def test_long_words_and_long_pieces_are_summed_whole():
+    rng = np.random.default_rng(3)
+    pieces = [*PIECES, "abababababab", "▁ababababab", "bababababababababa"]
+    prob = rng.random((len(pieces), 3))
+    words = ["▁" + "".join(rng.choice(list("abx"), size=n)) for n in (1, 8, 33, 49, 80, 200, 5000)] + ["▁" + "ab" * n for n in (20, 60)]
+    got = langid.word_logs(words, langid.Pieces(pieces), prob)
+    for word, row in zip(words, got, strict=True):
+        for j in range(3):
+            assert row[j] == pytest.approx(plain_sum(word, dict(zip(pieces, prob[:, j], strict=True)), 18))
+
+
+def test_expected_counts_of_long_words_stay_whole():
+    """Letters covered by expected pieces and unknown ones are the word's letters."""
+    prob = np.full(len(PIECES), 0.1)
+    words = ["▁" + "ab" * 100, "▁ab"]
+    got = langid._expected(words, np.array([1.0, 2.0]), langid.Pieces(PIECES), prob)
+    assert got @ [len(p) for p in PIECES] == pytest.approx(201 + 2 * 3)
+
+
+def test_score_of_a_text_is_the_posterior_of_its_words():
+    rng = np.random.default_rng(5)
+    prob = rng.random((len(PIECES), 2))
+    model = langid.Model(["de", "en"], PIECES, prob)
+    langs, scores = model.predict(["Ab aba\nXY 7 bb", "ab", ""])
+    for text, lang, score in zip(["ab aba xy bb", "ab", ""], langs, scores, strict=True):
+        logs = [sum(plain_sum("▁" + w, dict(zip(PIECES, prob[:, j], strict=True)), 3) for w in text.split()) for j in range(2)]
+        if not text:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        assert lang == ["de", "en"][int(logs[1] > logs[0])] and score == pytest.approx(1 / (1 + math.exp(-abs(logs[1] - logs[0]))))
+
+
+MARK_OF = {c: symbol for symbol, characters in toxicity.MARKS.items() for c in characters}
+
+
+def walked(text, forms=None):
+    """The grammar of a text, read word by word without the machines."""
     import regex
 
-    kind_of = {w: k for w, (k, _) in toxicity.built_in().items()}
+    kind_of = {w: (k, 1.0) for w, (k, _) in toxicity.built_in().items()}
+    stems = {t: v for (n, t), v in (forms or {}).items() if n}
+    kind_of = {t: v for (n, t), v in (forms or {}).items() if not n} | kind_of
+
+    def kind(word):
+        if word in MARK_OF:
+            return MARK_OF[word], 0.0
+        if (low := word.lower()) in kind_of:
+            return kind_of[low]
+        for n in sorted(map(len, stems)):
+            if len(low) >= n and low[:n] in stems:
+                return stems[low[:n]]
+        return toxicity.PLAIN, 0.0
+
     found = np.zeros(len(toxicity.OUTPUTS))
-    for clause in regex.split(r"[.!?;:\n]", text):
-        kinds = [kind_of.get(w.lower(), toxicity.PLAIN) for w in regex.findall(r"\p{L}+", clause)]
-        for i, kind in enumerate(kinds):
-            if kind in (toxicity.INSULT, toxicity.THREAT):
-                near = lambda trigger, reach: int(trigger in kinds[max(0, i - reach) : i])  # noqa: B023, E731
-                output = (kind, near(toxicity.TARGET, toxicity.TARGET_REACH), near(toxicity.NEGATION, toxicity.NEGATION_REACH), near(toxicity.REPORT, len(kinds)))
-                found[toxicity.OUTPUTS.index(output)] += 1
+    for line in text.split("\n"):
+        read = [kind(w) for w in regex.findall(r"\p{L}+|[.!?;:\"“”„«»]", line)]
+        for i, (k, arc) in enumerate(read):
+            if k not in (toxicity.INSULT, toxicity.THREAT):
+                continue
+
+            def near(trigger, reach, side, ends=toxicity.ENDS):
+                words = 0
+                for x, _ in side:
+                    if x in ends:
+                        return 0
+                    if x > toxicity.PLAIN:  # marks are no words
+                        continue
+                    words += 1
+                    if words > reach:
+                        return 0
+                    if x == trigger:
+                        return 1
+                return 0
+
+            left, right = read[:i][::-1], read[i + 1 :]
+            left_of = lambda t: near(t, toxicity.LEFT_REACH[t], left)  # noqa: B023, E731
+            sentence = next((n for n, (x, _) in enumerate(left) if x == toxicity.SENTENCE), len(left))
+            reported = any(x == toxicity.REPORT for x, _ in left[:sentence]) or sum(x == toxicity.QUOTE for x, _ in left) % 2
+            reported = reported or near(toxicity.REPORT, toxicity.RIGHT_REACH[toxicity.REPORT], right, (toxicity.SENTENCE,))
+            negated = left_of(toxicity.NEGATION) or (k == toxicity.THREAT and near(toxicity.NEGATION, toxicity.RIGHT_REACH[toxicity.NEGATION], right))
+            aimed = left_of(toxicity.TARGET) or near(toxicity.TARGET, toxicity.RIGHT_REACH[toxicity.TARGET], right)
+            found[toxicity.OUTPUTS.index((k, int(aimed), int(negated), int(reported)))] += arc
     return found
 
 
-def test_machine_reads_as_the_grammar_says():
+def test_machines_read_as_the_grammar_says():
     texts = [
         "You are an idiot.", "you are not an idiot", "He said you are an idiot", "He said: you idiot", "I will kill you; you. kill", "", "!!", "IDIOT", "Tu es un imbécile\nno you stupid fool",
-        "you a b c d e idiot you a b c d e f idiot", "not a b idiot not a b c idiot", "idiot " * 500,
+        "you a b c d e idiot you a b c d e f idiot", "not a b idiot not a b c idiot", "idiot " * 500, "I will kill you.", "hurt", "Idiot, you", '"You idiot," he said', 'They shouted "you idiot. Idiot!" Idiot',
+        "ich töte dich nicht töten dich nicht", "kill a b c you", 'a " idiot\nidiot " idiot', "\n\nidiot\n", "said; idiot: idiot. idiot", "idiot a b said idiot a b c said",
     ]
-    model = toxicity.Model(toxicity.built_in(), {}, np.array([toxicity.BIAS, *(toxicity._prior(*o) for o in toxicity.OUTPUTS)]))
-    got = model.counts(texts)
-    for text, row in zip(texts, got, strict=True):
-        assert row.tolist() == walked(text).tolist(), text
+    rng = np.random.default_rng(6)
+    bits = ["you", "idiot", "kill", "not", "said", "word", "a", ".", ":", '"', "\n", ";", "“", "”"]
+    texts += [" ".join(rng.choice(bits, size=n)) for n in (3, 10, 30, 100) for _ in range(40)]
+    forms = {(0, "word"): (toxicity.TARGET, 1.0), (5, "blorp"): (toxicity.INSULT, 0.5), (4, "zark"): (toxicity.THREAT, 0.25), (0, "gabs"): (toxicity.REPORT, 1.0)}
+    learned = ["you blorped", "Blorpish zarkling gabs", "he gabs: blorper", "zark word zarkzark", "zarking you", "blor zar blorp"]
+    for model, known, many in ((toxicity._model({}), None, texts), (toxicity._model(forms), forms, texts + learned)):
+        for text, row in zip(many, model.counts(many), strict=True):
+            assert row.tolist() == walked(text, known).tolist(), text
+    model = toxicity._model({})
     score = dict(zip(texts, model.scores(texts), strict=True))
     assert score["You are an idiot."] > max(score["IDIOT"], score["you are not an idiot"], score["He said you are an idiot"]) > score[""]
+    assert score["I will kill you."] >= 0.5 > score["hurt"] == score[""] and score["Idiot, you"] >= 0.5
+    assert max(score["He said: you idiot"], score['"You idiot," he said']) < 0.5
+
+
+def test_learned_forms_may_be_insults_threats_targets_or_reporting_words():
+    rng = np.random.default_rng(7)
+    filler = ["lorem", "ipsum", "dolor", "amet", "tempor", "magna"]
+    pad = lambda n=4: " ".join(rng.choice(filler, size=n))
+    toxic = [f"{pad()} frobnik {pad()} frobnik {i}" for i in range(40)] + [f"{pad()}. I zarkle you. {pad()}" for _ in range(40)]
+    toxic += [f"{pad()}. idiot wugs. {pad()}" for _ in range(60)]
+    clean = [f"{pad()}. I zarkle {pad()} {i}" for i in range(9)] + [f"{pad()}. quoth dumb idiot. {pad()}" for _ in range(60)] + [f"{pad()} wugs {pad()}" for _ in range(200)]
+    forms = toxicity._learned(toxic + clean, np.array([1] * len(toxic) + [0] * len(clean)))
+    kind = lambda word: {v[0] for (n, t), v in forms.items() if word.startswith(t)}
+    assert kind("frobnik") == {toxicity.INSULT} and kind("zarkle") == {toxicity.THREAT}
+    assert kind("wugs") == {toxicity.TARGET} and kind("quoth") == {toxicity.REPORT}
+
+
+def test_weights_are_where_the_gradient_vanishes():
+    model = toxicity._model({})
+    texts = ["you idiot", "idiot", "he said you idiot", "", "not an idiot", "I kill you", "word"] * 3
+    toxic, weight = np.array([1, 0, 0, 0, 0, 1, 1] * 3), np.linspace(0.5, 2, 21)
+    w = toxicity._weights(model, texts, toxic, weight)
+    x = np.column_stack((np.ones(len(texts)), np.log1p([walked(t) for t in texts])))
+
+    def loss(v):
+        z = x @ v
+        prior = np.array([toxicity.BIAS, *(toxicity._prior(*o) for o in toxicity.OUTPUTS)])
+        return float(weight @ (np.log1p(np.exp(z)) - toxic * z) + 0.25 * ((v - prior) ** 2).sum())
+
+    for i in range(len(w)):
+        for d in (1e-3, -1e-3):
+            assert loss(w + d * np.eye(len(w))[i]) > loss(w)
 
 
 def test_toxicity_of_held_out_documents(spark):
@@ -118,7 +234,7 @@ def test_toxicity_of_held_out_documents(spark):
     bad, good = [r.score for r in known if r.toxic == 1], [r.score for r in known if r.toxic == 0]
     assert bad and good
     auc = np.mean([(x > y) + 0.5 * (x == y) for x in bad for y in good])
-    assert auc > 0.9 and np.mean([y >= 0.5 for y in good]) < 0.05
+    assert auc > 0.94 and np.mean([y >= 0.5 for y in good]) < 0.01 and np.mean([x >= 0.5 for x in bad]) > 0.88
 
 
 def test_toxicity_of_odd_rows(spark):
@@ -132,6 +248,15 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_conflicting_labels_repeated_ids_and_the_byte_bound(spark):
+    """A repeated id with both labels is toxic and brings one text; texts beyond the bound stay out, whole."""
+    docs = spark.createDataFrame([(1, "You idiot")] * 50 + [(2, "fine"), (3, "long " * 100_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1)], "doc_id long, toxic int")
+    once = toxicity.fit(docs, labels, sample_bytes=1000)
+    single = toxicity.fit(docs.dropDuplicates().where("doc_id < 3"), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))
+    assert once.weights.tolist() == single.weights.tolist()
+
+
 @pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline")
 def test_pipeline_stages_against_brute_force(spark):
     import corpus_pipeline
