@@ -133,9 +133,9 @@ def loaded(path: str) -> ByteBpe:
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Replace the text of every row of ``docs`` by its ids, an ``array<int>``.
 
-    Null text is encoded as empty; other columns stay, one called like
-    ``ids_col`` is replaced. Every row gives a row, ids of rows may be null or
-    repeat. ``path``: the tokenizer file, at the same place on every executor.
+    Null text is encoded as empty, texts of any length whole; other columns
+    stay, one called like ``ids_col`` is replaced. Every row gives a row, ids of
+    rows may be null or repeat; an empty table gives an empty one. ``path``: the tokenizer file, at the same place on every executor.
     """
     docs = docs.drop(*(c for c in docs.columns if c == ids_col))
 

@@ -8,10 +8,12 @@ apart by the bytes themselves, never by a digest.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, small_or_shuffled, stage, unstage
+from .common import ascii_lower, new_folder, small_or_shuffled, stage, unstage, unused
 
 #: Bytes of the first digit; later digits are wider by GROWTH each, so that
 #: the number of rounds grows with the logarithm of the longest text.
@@ -35,41 +37,40 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``keep_id`` is the largest id among equal texts (null ids come last; null
     only if all are), ``kept`` whether the row has it; rows that repeat both
     id and text are kept or dropped together. ``text_sha256`` is output only.
-    An empty table gives an empty result; other columns are not looked at.
+    Texts of any length are compared to their last byte. An empty table gives
+    an empty result; other columns are not looked at. Bodies travel only while
+    their group is open, and their staged bytes are deleted once split again.
     """
     spark = docs.sparkSession
     body = F.encode(normalised(F.col(text_col)), "UTF-8")
     base = docs.select(F.col(id_col).alias("doc_id"), body.alias("body")).withColumn("len", F.octet_length("body"))
-    base = base.withColumn("digit", F.substring("body", F.lit(1), F.lit(FIRST)))
-    keys, path = _shared(base.select("len", "digit"), ["len", "digit"], "radix-keys")
-    temporary = [path]
+    levels: list[DataFrame] = []
 
-    def settle(joined: DataFrame, done: int, level: int) -> DataFrame:
-        """Rows after a split: alone (no ``next``), ended, or open with the bytes left."""
+    def split(rows: DataFrame, keys: list[str], width: int, done: int) -> tuple[DataFrame, str]:
+        """Divide rows by their next ``width`` bytes. Of the result, rows are alone (no
+        group) or ended, and narrow; or open, with the bytes that are left."""
+        rest = F.substring("body", F.lit(width + 1), F.lit(2**31 - 1))
+        dealt = rows.select("*", F.substring("body", F.lit(1), F.lit(width)).alias("digit"), rest.alias("rest")).drop("body")
+        shared, path = _shared(dealt.select(*keys, "digit"), [*keys, "digit"], "radix-keys")
+        joined = dealt.join(small_or_shuffled(shared), [*keys, "digit"], "left")
         still = F.col("next").isNotNull() & (F.col("len") > done)
         state = F.when(F.col("next").isNull(), F.lit("alone")).when(still, F.lit("open")).otherwise(F.lit("ended"))
-        rest = F.when(still, F.substring(F.col("body"), F.lit((FIRST if level == 0 else width) + 1), F.lit(2**31 - 1)))
-        rows = joined.select("doc_id", "sha", "len", F.col("next").alias("grp"), state.alias("state"), rest.alias("body"), F.lit(level).alias("level"))
-        split, at = stage(rows, "radix-rows")
-        levels.append(split)
-        temporary.append(at)
-        return split.where("state = 'open'")
+        found = joined.select("doc_id", "sha", "len", F.col("next").alias("grp"), F.when(still, F.col("rest")).alias("body"), F.lit(len(levels)).alias("level"), state.alias("state"))
+        at = new_folder(spark, "radix-rows")
+        found.write.option("compression", "zstd").partitionBy("state").parquet(at)
+        unstage(spark, path)
+        levels.append(spark.read.schema(found.schema).parquet(at))
+        return levels[-1].where("state = 'open'"), f"{at}/state=open"
 
-    levels: list[DataFrame] = []
-    done, width, level = FIRST, SECOND, 0
-    first = base.withColumn("sha", F.sha2("body", 256)).join(small_or_shuffled(keys), ["len", "digit"], "left")
-    rows = settle(first, done, level)
+    width, done = SECOND, FIRST
+    rows, held = split(base.withColumn("sha", F.sha2("body", 256)), ["len"], FIRST, FIRST)
     while not rows.select("len").isEmpty():
-        level, done = level + 1, done + width
-        digits = rows.withColumn("digit", F.substring("body", F.lit(1), F.lit(width)))
-        keys, path = _shared(digits.select("grp", "digit"), ["grp", "digit"], "radix-keys")
-        following = settle(digits.join(keys, ["grp", "digit"], "left"), done, level)
-        unstage(spark, path)
-        rows, width = following, width * GROWTH
+        done += width
+        rows, following = split(rows, ["grp"], width, done)
+        unstage(spark, held)
+        held, width = following, width * GROWTH
     columns = ["doc_id", "sha", "grp", "state", "level"]
-    settled = levels[0].select(*columns).where("state <> 'open'")
-    for split in levels[1:]:
-        settled = settled.union(split.select(*columns).where("state <> 'open'"))
+    settled = reduce(DataFrame.union, [found.where("state <> 'open'").select(*columns) for found in levels])
     ended = settled.where("state = 'ended'")
     groups, _ = stage(ended.groupBy("level", "grp").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "radix-groups")
     members = ended.join(small_or_shuffled(groups), ["level", "grp"]).select("doc_id", "keep_id", "group_size", "sha")
@@ -81,11 +82,13 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that ``exact_groups`` does not keep.
 
     Rows are addressed by id and normalised text's digest, so a repeated or
-    null id drops no other text; the grouping itself needs no digest.
+    null id drops no other text; the grouping itself needs no digest. Rows
+    that repeat id and text stay or go together. All columns stay as they are.
     """
-    gone = exact_groups(docs).where("NOT kept").select(F.col("doc_id").alias("g_id"), F.col("text_sha256").alias("g_sha")).distinct()
+    g_id, g_sha = unused("g_id", docs.columns), unused("g_sha", docs.columns)
+    gone = exact_groups(docs).where("NOT kept").select(F.col("doc_id").alias(g_id), F.col("text_sha256").alias(g_sha)).distinct()
     address = F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256)
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (address == F.col("g_sha")), "left_anti")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(g_id)) & (address == F.col(g_sha)), "left_anti")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

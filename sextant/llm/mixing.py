@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import small_or_shuffled, stage
+
 #: The draw's buckets for each source: prefix sums run over buckets first, and
 #: over rows only inside a bucket, so that no source is ordered in one task.
 BUCKETS = 4096
@@ -21,7 +23,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share
     times its own size, and what is cut is shared again by weight until no
     source is above. With sources ordered by cap over weight, the level at
     which the rest would be shared rises while sources are cut and falls
-    after, so its largest value is the final level. One row per source.
+    after, so its largest value is the final level. One row per source; the
+    sources, a table far smaller than the documents, are ordered in one task.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     # by_fill runs over the sources only, a table of one row per source
@@ -39,63 +42,77 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: int = 11) -> DataFrame:
-    """Add ``size, source_size, target, taken, copies`` to ``docs(doc_id, source, text)``.
-
-    ``size`` is the number of words ``[^\\x20\\x09-\\x0D]+`` (null text: 0).
-    Every document is taken ``floor(target / source_size)`` whole times; the
-    fraction left goes to documents in the order of a seeded draw on
-    ``doc_id`` until the source's target, rounded, is met exactly: the last
-    of them is taken in part. ``taken`` counts words, repeats included, and
-    never exceeds ``epochs * size``; ``copies`` is how often a document is taken
-    whole or in part. The text itself is dropped. Reruns agree: the draw depends only on
-    seed and ``doc_id``; equal draws are ordered by ``doc_id`` and size.
-    Null and repeated ids are rows like any other. Sources of size 0 have
-    target 0. Empty tables give empty results. Clashing columns are replaced.
-    """
-    docs = docs.drop(*(c for c in ("size", "source_size", "target", "taken", "copies") if c in docs.columns))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("long")
-    sized = docs.withColumns(
-        {
-            "size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
-            "_draw": draw,
-            "_key": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")),
-        }
-    ).drop("text").withColumn("_bucket", F.shiftright("_draw", 20))
-
-    buckets = sized.groupBy("_key", "_bucket").agg(F.first("source").alias("source"), F.sum("size").alias("words"))
-    sizes = buckets.groupBy("_key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
-    targets = source_targets(sizes.select("source", "source_size"), weights, share, epochs).withColumn("_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-    before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+def _mixed(docs: DataFrame, weights: Sequence[float], share: float, epochs: int, seed: int, staged: bool) -> DataFrame:
+    """``docs`` packed in column ``row``, with ``size, source_size, target, taken, copies``."""
+    named = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce("text", F.lit(""))))
+    rest = [c for c in docs.columns if not (staged and c == "text")]
+    # size, source_size and so on may also be columns of the row: packed, they cannot clash
+    sized = docs.select(
+        (F.struct(*rest) if rest else F.struct(F.lit(0).alias("nothing"))).alias("row"),
+        F.col("doc_id").alias("id"),
+        F.col("source").alias("source"),
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("long").alias("draw"),
+    )
+    if staged:
+        sized, _ = stage(sized, "mixing-sizes")
+    key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
+    sized = sized.withColumn("key", key).withColumn("bucket", F.shiftright("draw", 20))
+    buckets, _ = stage(sized.groupBy("key", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("words")), "mixing-buckets")
+    sizes = buckets.groupBy("key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
+    targets = source_targets(sizes.select("source", "source_size"), weights, share, epochs).withColumn("key", key)
+    before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     plan = (
-        buckets.select("_key", "_bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("_ahead"))
-        .join(targets.drop("source", "weight"), "_key")
-        .withColumn("_whole", F.coalesce(F.floor(F.try_divide("target", F.col("source_size").cast("double"))), F.lit(0)))
-        .withColumn("_part", F.round("target").cast("long") - F.col("_whole") * F.col("source_size"))
+        buckets.select("key", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("ahead"))
+        .join(targets.drop("source", "weight"), "key")
+        .withColumn("whole", F.coalesce(F.floor(F.try_divide("target", F.col("source_size").cast("double"))), F.lit(0)))
+        .withColumn("part", F.round("target").cast("long") - F.col("whole") * F.col("source_size"))
     )
-    within = Window.partitionBy("_key", "_bucket").orderBy("_draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    used = F.col("_ahead") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_part") - used))
+    plan, _ = stage(plan, "mixing-plan")
+    within = Window.partitionBy("key", "bucket").orderBy("draw", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    used = F.col("ahead") + F.coalesce(F.sum("size").over(within), F.lit(0))
+    extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("part") - used))
     return (
-        sized.join(plan, ["_key", "_bucket"])
-        .withColumn("_extra", extra)
-        .withColumn("taken", (F.col("_whole") * F.col("size") + F.col("_extra")).cast("long"))
-        .withColumn("copies", (F.col("_whole") + (F.col("_extra") > 0).cast("int")).cast("int"))
-        .drop("_extra", "_key", "_bucket", "_draw", "_ahead", "_whole", "_part")
-    )
+        sized.join(small_or_shuffled(plan), ["key", "bucket"])
+        .withColumn("extra", extra)
+        .select(
+            "row", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"),
+            (F.col("whole") + (F.col("extra") > 0).cast("int")).cast("int").alias("copies"),
+        )
+    )
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: int = 11) -> DataFrame:
+    r"""Add ``size, source_size, target, taken, copies`` to ``docs(doc_id, source, text)``.
+
+    ``size`` is the number of words ``[^\x20\x09-\x0D]+`` of the whole text
+    (null text: 0). Every document is taken ``floor(target / source_size)``
+    whole times; the fraction left goes to documents in the order of a seeded
+    draw on ``doc_id`` and text until the source's target, rounded, is met
+    exactly: the last of them is taken in part. ``taken`` counts words, repeats
+    included, and never exceeds ``epochs * size``; ``copies`` is how often a
+    document is taken whole or in part. The text itself is dropped. Reruns
+    agree: the draw depends only on seed, id and text; equal draws are ordered
+    by id and size. Null and repeated ids are rows like any other and spread by
+    their texts; only rows that repeat both share one bucket. Sources of size 0
+    have target 0. An empty table gives an empty result. Columns called like
+    the added ones are replaced, any others stay.
+    """
+    added = ("size", "source_size", "target", "taken", "copies")
+    rest = [c for c in docs.columns if c not in (*added, "text")]
+    found = _mixed(docs, weights, share, epochs, seed, staged=True)
+    return found.select(*(F.col("row")[c].alias(c) for c in rest), *added)
 
 
-def repeat_mixed(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it, whole or in part.
+def repeat_mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: int = 11) -> DataFrame:
+    """``docs`` with each row as often as ``mix`` takes it, whole or in part.
 
     Repeats of a document are whole, so a source exceeds its target by less
-    than one document. Rows are addressed by id, source and size.
+    than one document. Each row is counted and repeated by itself, repeated
+    rows too. All columns stay as they are, whatever their names.
     """
-    plan = mix(docs.select("doc_id", "source", "text"), **settings).where("copies > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size")).agg(F.max("copies").alias("copies"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-    same = F.col("doc_id").eqNullSafe(F.col("p_id")) & F.col("source").eqNullSafe(F.col("p_source")) & (size == F.col("p_size"))
-    return docs.join(plan, same).withColumn("_n", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    found = _mixed(docs, weights, share, epochs, seed, staged=False).where("copies > 0")
+    return found.select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("n")).select("row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +123,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('11:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT AS draw
+         ('0x' || substr(md5('11:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 8))::BIGINT AS draw
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, list_extract([5.0, 2.0, 1.0]::DOUBLE[], ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT) AS weight,

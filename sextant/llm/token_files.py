@@ -7,7 +7,6 @@ without ids, or the ids of a few documents, without reading the rest.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import loaded, tokenizer_path
-from .common import shared_root, small_or_shuffled
+from .common import new_folder, small_or_shuffled
 
 #: Parquet settings of the format.
 LAYOUT = {
@@ -43,8 +42,9 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 0) -> No
     Null text is empty; every document ends with ``end_id``. Rows are dealt
     out by range, files follow each other in that order: null ids first,
     repeated ids next to each other by text. ``offset`` counts the ids before
-    a document in its file, ``part`` is the file's place. An empty table
-    writes files without rows.
+    a document in its file, ``part`` is the file's place. Texts of any length
+    are encoded whole. An empty table writes files without rows; other columns
+    of ``docs``, whatever their names, are not written.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,6 +112,6 @@ def with_crc32(tokens: DataFrame) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_root(spark)}/tokens-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "tokens")
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), folder, tokenizer_path())
     return with_crc32(read_tokens(spark, folder))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, small_or_shuffled
+from .common import ascii_lower, small_or_shuffled, stage, unused
 
 #: Hex digits of the short hash (32 bits).
 SHORT = 8
@@ -45,17 +45,22 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     (host and path) wins; equally long ones go to the longer host, then to
     ``block``. No rule: ``rule`` is null, ``verdict`` is ``default``. Null
     URLs and those without ``://`` have empty host and path and meet no rule
-    but one of empty host. Null rule parts are dropped; repeated rules count
-    once. Columns of ``pages`` called like the added ones are replaced; rows
-    are neither lost nor multiplied. Rules may be many: they are broadcast
-    only if few, else both sides are shuffled by the short hash. URLs meet
-    them once per distinct (host, path), so repeated hosts cost little.
+    but one of empty host. URLs of any length are read whole. Null rule parts
+    are dropped; repeated rules count once; without rules all get ``default``.
+    Columns of ``pages`` called like the added ones are replaced; rows, repeated
+    ones too, are neither lost nor multiplied; an empty table gives an empty one.
+    Rules may be many: they are broadcast only if measured small, else both
+    sides are shuffled by the short hash. URLs meet them once per distinct
+    (host, path), so repeated hosts cost little. The decided ones are staged:
+    the last join is between plain shuffles, whose hot keys AQE splits, and
+    rows without a host pass it by unless a rule has an empty host.
     """
     rules = rules.dropna().dropDuplicates()
     shape = rules.agg(
         F.count("*").alias("n"),
         F.max(F.size(F.split("host", r"\."))).alias("labels"),
         F.max(F.regexp_count("path", F.lit("/"))).alias("slashes"),
+        F.coalesce(F.bool_or(F.col("host") == ""), F.lit(False)).alias("hostless"),
     ).first()
     pages = pages.drop(*(c for c in ("host", "path", "rule", "verdict") if c in pages.columns and c != url_col))
     located = pages.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
@@ -73,7 +78,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
         F.sequence(F.lit(0), F.least(F.regexp_count("path", F.lit("/")), F.lit(shape["slashes"]))),
         lambda k: F.when(k == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(F.split("path", "/"), F.lit(1), k), "/"), F.lit("/"))),
     )
-    spots = located.groupBy("host", "path").agg(F.lit(1).alias("_"))
+    met = F.lit(True) if shape["hostless"] else F.col("host") != ""
+    spots = located.where(met).select("host", "path").distinct()
     expressions = (
         spots.select("host", "path", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes"))
         .select("host", "path", "suffix", F.explode("prefixes").alias("prefix"))
@@ -85,10 +91,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
         F.col("host").alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict"),
         _digest(F.col("host"), _folder(F.col("path"))).alias("r_digest"),
     ).withColumn("short", F.substring("r_digest", 1, SHORT))
-    if False:
-        indexed = F.broadcast(indexed)
+    indexed, _ = stage(indexed, "url-rules")
     decided = (
-        expressions.join(indexed, "short")
+        expressions.join(small_or_shuffled(indexed), "short")
         .where((F.col("digest") == F.col("r_digest")) & F.col("path").startswith(F.col("r_path")))
         .groupBy("host", "path")
         .agg(
@@ -99,13 +104,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
                 )
             ).alias("won")
         )
-        .select(F.col("host").alias("d_host"), F.col("path").alias("d_path"), F.col("won.rule").alias("rule"), F.col("won.verdict").alias("verdict"))
-    )
-    return (
-        located.join(decided, (F.col("host") == F.col("d_host")) & (F.col("path") == F.col("d_path")), "left")
-        .drop("d_host", "d_path")
-        .withColumn("verdict", F.coalesce("verdict", F.lit(default)))
     )
+    d_host, d_path = unused("d_host", located.columns), unused("d_path", located.columns)
+    decided, _ = stage(decided.select(F.col("host").alias(d_host), F.col("path").alias(d_path), F.col("won.rule").alias("rule"), F.col("won.verdict").alias("verdict")), "url-decided")
+    judged = located.where(met).join(decided, (F.col("host") == F.col(d_host)) & (F.col("path") == F.col(d_path)), "left").drop(d_host, d_path)
+    rest = located.where(~met).withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string")})
+    return judged.unionByName(rest).withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
 
 #: The rules of the registered query.
