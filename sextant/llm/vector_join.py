@@ -1,29 +1,32 @@
 """Embedding near-duplicates: an exact metric range join with pivots.
 
-On unit vectors a cosine bound is a bound on distance. Each vector belongs to
-the cell of its nearest pivot, and is copied to every other cell that, by the
-triangle inequality, may hold a partner. Cells join independently; large ones
-in blocks.
+On unit vectors a cosine bound is a bound on distance. Cells that are too large
+for one task are divided by pivots, level by level: each vector goes to the cell
+of its nearest pivot, and is copied to every other cell that may hold a partner
+within the radius. By the triangle inequality, all vectors within half the radius
+of a pivot are linked with each other: these are counted without a comparison.
+Cells join independently; those that pivots do not divide well, in blocks.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import components, small_or_shuffled, stage
+from .common import components, small_or_shuffled, stage, unstage
 
-#: Vectors that a cell should hold, and rows of a block within a cell.
-CELL, BLOCK = 2048, 2048
-#: Pivots of all labels together: bounds what is sent to the tasks.
-MAX_PIVOTS = 4096
-
-CELL_SCHEMA = "grp long, cell int, home boolean, pid long, copies long, unit binary"
+#: Vectors of each side that a task compares at once, and rows of a tile of these.
+BLOCK, TILE = 8192, 1024
+#: Pivots that a cell is divided by at most, whatever its size.
+FANOUT = 64
+#: What rounding may add to a distance.
+MARGIN = 1e-7
 
 
 def _usable(vec: Column) -> Column:
@@ -32,42 +35,103 @@ def _usable(vec: Column) -> Column:
     return F.coalesce(finite & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def _units(vectors: pd.Series) -> np.ndarray:
-    found = np.stack([np.asarray(v, np.float64) for v in vectors])
+def _units(column: pa.ChunkedArray) -> np.ndarray:
+    lists = column.combine_chunks()
+    found = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
     found /= np.abs(found).max(axis=1, keepdims=True)  # keeps squares in range
     return found / np.sqrt((found * found).sum(axis=1, keepdims=True))
 
 
-def _cells(points: DataFrame, pivots: dict[int, np.ndarray], radius: float) -> DataFrame:
-    """A row for each point's own cell, and one for each cell it is copied to.
-
-    A point whose own pivot is p is needed in the cell of q if a point nearer
-    to q may be within ``radius``: only if the plane between p and q is."""
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for grp, part in batch.groupby("grp"):
-                units, among = _units(part["vec"]), pivots.get(grp)
-                own, also = np.zeros(len(part), np.int32), [(np.zeros(0, np.int64), np.zeros(0, np.int32))]
-                if among is not None and len(among) > 1:
-                    squares = np.maximum(0, 2 - 2 * units @ among.T)
-                    own = squares.argmin(axis=1).astype(np.int32)
-                    nearest = squares[np.arange(len(part)), own]
-                    apart = np.sqrt(np.maximum(0, 2 - 2 * among @ among.T))
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        plane = (squares - nearest[:, None]) / (2 * apart[own])
-                    near = ~(plane > radius + 1e-9)
-                    near[np.arange(len(part)), own] = False
-                    also.append(np.nonzero(near))
-                rows, cells = (np.concatenate(x) for x in zip((np.arange(len(part)), own), *also, strict=True))
-                yield pd.DataFrame(
-                    {
-                        "grp": grp, "cell": cells.astype(np.int32), "home": np.arange(len(rows)) < len(part), "pid": part["pid"].to_numpy()[rows],
-                        "copies": part["copies"].to_numpy()[rows], "unit": [units[i].tobytes() for i in rows],
-                    }
-                )
-
-    return points.select("grp", "pid", "copies", "vec").mapInPandas(assign, CELL_SCHEMA)
+def _apart(units: np.ndarray, radius: float, most: int) -> np.ndarray:
+    """Greedy: rows more than ``radius`` from all taken before, at most ``most``."""
+    taken = [units[0]]
+    for row in units[1:]:
+        if len(taken) < most and (2 - 2 * (np.array(taken) @ row)).min() > radius * radius:
+            taken.append(row)
+    return np.array(taken)
+
+
+def _divided(cells: DataFrame, large: DataFrame, radius: float) -> tuple[DataFrame, list[str]]:
+    """The rows of ``large`` cells in the cells of their pivots.
+
+    A row whose nearest pivot is p is needed in the cell of q if a row nearer
+    to q may be within ``radius``: only if the plane between p and q is. Pivots
+    are rows of the cell by a seeded draw, more than ``radius`` apart. Each task
+    takes a part of one cell with the cell's few pivots. Staged: the table and all paths."""
+    schema, columns = T.StructType([T.StructField("parent", T.StringType()), *cells.schema]), cells.columns
+
+    def assign(part: pa.Table, drawn: pa.Table) -> pa.Table:
+        if not part.num_rows or not drawn.num_rows:  # no pivots by chance: the cell stays as it is, and gains nothing
+            names = part["cell"].to_pylist()
+            return part.select(columns).set_column(0, "cell", pa.array([f"{x}.0" for x in names], pa.string())).add_column(0, "parent", pa.array(names, pa.string()))
+        units, copies = _units(part["vec"]), part.select(columns)
+        among = _apart(_units(drawn.sort_by("pid")["vec"]), radius, drawn["pivots"][0].as_py())
+        squares = np.maximum(0, 2 - 2 * units @ among.T)
+        here = np.arange(len(units))
+        own = squares.argmin(axis=1)
+        nearest = squares[here, own]
+        between = np.sqrt(np.maximum(0, 2 - 2 * among @ among.T))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = (squares - nearest[:, None]) / (2 * between[own])
+        near = plane <= radius + MARGIN
+        near[here, own] = False
+        row, other = np.nonzero(near)
+        rows, names = np.concatenate((here, row)), np.concatenate((own, other))
+        was_home = part["home"].to_numpy(zero_copy_only=False).astype(bool)
+        home = np.concatenate((was_home, np.zeros(len(row), bool)))
+        ball = np.concatenate((was_home & (np.sqrt(nearest) <= radius / 2 - MARGIN), np.zeros(len(row), bool)))
+        parent = part["cell"][0].as_py()
+        found = copies.take(pa.array(rows))
+        found = found.set_column(0, "cell", pa.array([f"{parent}.{j}" for j in names], pa.string()))
+        found = found.set_column(1, "home", pa.array(home)).set_column(2, "ball", pa.array(ball))
+        return found.add_column(0, "parent", pa.array([parent] * len(rows), pa.string()))
+
+    rows = cells.join(small_or_shuffled(large), "cell")
+    draw = F.pmod(F.xxhash64("pid", "cell"), "n_home") < 2 * F.col("pivots")
+    drawn, path = stage(rows.where(F.col("home") & draw).select("cell", "pid", "vec", "pivots", "parts"), "vector-pivots")
+    drawn = drawn.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    parted = rows.withColumn("part", F.pmod(F.xxhash64("pid", F.lit(3)), "parts")).select(*cells.columns, "part")
+    divided, divided_path = stage(parted.groupBy("cell", "part").cogroup(drawn.groupBy("cell", "part")).applyInArrow(assign, schema), "vector-cells")
+    return divided, [path, divided_path]
+
+
+def _sizes(cells: DataFrame, *keys: str) -> DataFrame:
+    """Rows of each cell, and how many rows its comparison in blocks sends to tasks."""
+    many = lambda n: F.ceil(n / BLOCK)
+    home, ball, rest = F.col("n_home"), F.col("n_ball"), F.col("n_all") - F.col("n_ball")
+    shell = home - ball
+    cost = ball * many(rest) + rest * many(ball) + shell * many(ball + rest) + (ball + rest) * many(shell)
+    counted = cells.groupBy(*keys, "cell").agg(F.count_if("home").alias("n_home"), F.count_if("ball").alias("n_ball"), F.count("*").alias("n_all"))
+    return counted.withColumn("cost", cost)
+
+
+def _cells(points: DataFrame, radius: float) -> tuple[list[DataFrame], list[str]]:
+    """Tables of cells that a task, or blocks of them, can compare: ``cell, home, ball, pid, copies, vec``.
+
+    A division is kept if it sends fewer rows than comparing the cell in blocks
+    would, so every level at least gains, and near-identical vectors, which no
+    pivots divide, end the descent."""
+    cells, done, paths = points, [], []
+    while True:
+        sizes, path = stage(_sizes(cells), "vector-sizes")
+        paths.append(path)
+        large = sizes.where((F.col("n_all") > BLOCK) & (F.col("n_home") > 0))
+        if large.isEmpty():
+            return [*done, cells], paths
+        pivots = F.least(F.lit(FANOUT), F.greatest(F.lit(2), F.ceil(F.col("n_all") * 4 / BLOCK)))
+        large = large.select("cell", "n_home", pivots.alias("pivots"), F.ceil(F.col("n_all") / BLOCK).alias("parts"))
+        divided, made = _divided(cells, large, radius)
+        paths += made
+        children = _sizes(divided, "parent").groupBy("parent").agg(F.sum(F.col("cost") + F.col("n_all")).alias("below"))
+        gains, path = stage(sizes.join(children, sizes["cell"] == children["parent"]).where("below < cost").select("parent"), "vector-gains")
+        paths.append(path)
+        done.append(cells.join(small_or_shuffled(gains.select(F.col("parent").alias("cell"))), "cell", "left_anti"))
+        if gains.isEmpty():
+            return done, paths
+        # what a large cell that gains nothing leaves here is compared above
+        cells = divided.join(small_or_shuffled(gains), "parent", "left_semi").drop("parent")
+        cells, path = stage(cells, "vector-cells")
+        paths.append(path)
 
 
 def _spread(linked: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,25 +155,70 @@ def _spread(linked: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[n
     return np.concatenate((none, *member)), np.concatenate((none, *root))
 
 
-def _compare(cells: DataFrame, threshold: float) -> DataFrame:
-    """Links of each home row to all rows of its cell, and which rows hang together."""
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        mine, theirs = group[group["role"] == 0], group[group["role"] == 1]
-        if mine.empty or theirs.empty:
-            return pd.DataFrame({"pid": [], "links": [], "root": []}).astype("int64")
-        a, b = (np.frombuffer(b"".join(x["unit"])).reshape(len(x), -1) for x in (mine, theirs))
-        linked = a @ b.T >= threshold
-        ids_a, ids_b = mine["pid"].to_numpy(), theirs["pid"].to_numpy()
-        linked &= ids_a[:, None] != ids_b[None, :]
-        counts = linked @ theirs["copies"].to_numpy()
-        some = counts > 0
-        member, root = _spread(linked, ids_a, ids_b)
-        return pd.DataFrame(
-            {"pid": np.concatenate((ids_a[some], member)), "links": np.concatenate((counts[some], np.zeros(len(member), np.int64))), "root": np.concatenate((ids_a[some], root))}
-        )
+def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of edges, and the least id that each hangs together with."""
+    ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    least = np.arange(len(ids))
+    while True:
+        low = np.minimum(least[x], least[y])
+        new = least.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
+        if (new == least).all():
+            return ids, ids[least]
+        least = new
+
+
+def _compare(rows: DataFrame, threshold: float) -> DataFrame:
+    """``pid, links, root``: the links of each row of one side to the other, and what hangs together."""
+
+    def compare(group: pa.Table) -> pa.Table:
+        role = group["role"].to_numpy()
+        units, ids, copies = _units(group["vec"]), group["pid"].to_numpy(), group["copies"].to_numpy()
+        mine, theirs = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        b, ids_b, copies_b = units[theirs], ids[theirs], copies[theirs]
+        pid, links, member, root = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for tile in (mine[i : i + TILE] for i in range(0, len(mine), TILE)):
+            linked = units[tile] @ b.T >= threshold
+            linked &= ids[tile][:, None] != ids_b[None, :]
+            counts = linked @ copies_b
+            some = counts > 0
+            pid.append(ids[tile][some])
+            links.append(counts[some])
+            x, y = _spread(linked, ids[tile], ids_b)
+            member.append(x)
+            root.append(y)
+        x, y = _roots(np.concatenate(member), np.concatenate(root))
+        found = {"pid": np.concatenate((*pid, x)), "links": np.concatenate((*links, np.zeros(len(x), np.int64)))}
+        return pa.table(found | {"root": np.concatenate((*pid, y))})
+
+    return rows.groupBy("cell", "side", "block_a", "block_b").applyInArrow(compare, "pid long, links long, root long")
+
+
+def _blocks(cells: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Each cell's rows as the two sides of its comparisons: what lies in its ball with
+    the rest, and the other home rows with all; within the ball nothing is compared."""
+    many = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("long")
+    shell, rest = F.col("n_home") - F.col("n_ball"), F.col("n_all") - F.col("n_ball")
+    sizes = sizes.where("n_home > 0").select("cell", many(F.col("n_ball")).alias("ball_a"), many(rest).alias("ball_b"), many(shell).alias("shell_a"), many(F.col("n_all")).alias("shell_b"), (F.col("n_ball") > 0).alias("has_ball"))
+    rows = cells.join(small_or_shuffled(sizes), "cell")
+    draw = F.xxhash64("pid", F.lit(7))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
-    return cells.groupBy("grp", "cell", "block_a", "block_b").applyInPandas(compare, "pid long, links long, root long")
+    def side(rows: DataFrame, name: str, role: int) -> DataFrame:
+        mine, other = ("a", "b") if role == 0 else ("b", "a")
+        blocks = (F.pmod(draw, f"{name}_{mine}").alias(f"block_{mine}"), every(f"{name}_{other}").alias(f"block_{other}"))
+        return rows.select("cell", F.lit(name).alias("side"), F.lit(role).alias("role"), "pid", "copies", "vec", *blocks).select("cell", "side", "block_a", "block_b", "role", "pid", "copies", "vec")
+
+    balls = rows.where("has_ball")
+    return (
+        side(rows.where("home AND NOT ball"), "shell", 0)
+        .union(side(rows, "shell", 1))
+        .union(side(balls.where("ball"), "ball", 0))
+        .union(side(balls.where("NOT ball"), "ball", 1))
+    )
 
 
 def link_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -121,44 +230,45 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     with nothing: ``n_links`` 0, own component. ``component_id`` is the
     smallest id reachable (null ids are passed over), ``kept`` whether the
     row has that id. Repeated rows are vectors of their own that link with
-    each other; equal vectors are compared once and counted as often as they
-    occur. An empty table gives an empty result; other columns are ignored.
+    each other; equal vectors, told by 128 bits of hashes and their label, are
+    compared once and counted as often as they occur. Ids may be of any type
+    that has an order. An empty table gives an empty result; other columns,
+    whatever their names, are ignored.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("vec"), F.col(label_col).alias("lab"))
+    kind = vectors.schema[vec_col].dataType.elementType.typeName()
+    vec = F.col(vec_col) if kind in ("float", "double") else F.col(vec_col).cast("array<double>")
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("lab"), vec.alias("vec"), F.xxhash64(vec).alias("h1"), F.xxhash64(F.lit(7), vec).alias("h2"))
     usable = _usable(F.col("vec")) & F.col("lab").isNotNull()
-    points = rows.where(usable).groupBy("lab", "vec").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"))
-    points, _ = stage(points.withColumn("pid", F.monotonically_increasing_id()), "vector-points")
-    groups = points.groupBy("lab", F.size("vec").alias("dim")).agg(F.count("*").alias("n"))
-    groups, _ = stage(groups.withColumn("grp", F.monotonically_increasing_id()), "vector-groups")
-    total = points.count()
-    share = F.greatest(F.lit(1), F.least(F.ceil(F.col("n") / CELL), F.floor(F.col("n") * MAX_PIVOTS / max(1, total))))
-    grouped = points.withColumn("dim", F.size("vec")).join(small_or_shuffled(groups.withColumn("pivots", share)), ["lab", "dim"])
-
-    # pivots: points of the larger groups by a seeded draw, MAX_PIVOTS expected in all
-    drawn = grouped.where((F.col("pivots") > 1) & (F.pmod(F.xxhash64("pid"), F.col("n")) < F.col("pivots"))).select("grp", "pid", "vec").toPandas()
-    pivots = {grp: _units(part.sort_values("pid")["vec"]) for grp, part in drawn.groupby("grp")}
-    cells, _ = stage(_cells(grouped, pivots, math.sqrt(2 - 2 * threshold)), "vector-cells")
-
-    blocks = cells.groupBy("grp", "cell").agg(F.ceil(F.count_if("home") / BLOCK).alias("n_a"), F.ceil(F.count("*") / BLOCK).alias("n_b"))
-    cells = cells.join(small_or_shuffled(blocks), ["grp", "cell"]).where("n_a > 0")
-    draw = F.xxhash64("pid", F.lit(7))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    columns = ["grp", "cell", "block_a", "block_b", "role", "pid", "copies", "unit"]
-    mine = cells.where("home").select("*", F.pmod(draw, "n_a").alias("block_a"), every("n_b").alias("block_b"), F.lit(0).alias("role"))
-    theirs = cells.select("*", F.pmod(draw, "n_b").alias("block_b"), every("n_a").alias("block_a"), F.lit(1).alias("role"))
-    found, _ = stage(_compare(mine.select(*columns).union(theirs.select(*columns)), threshold), "vector-links")
+    points = rows.where(usable).groupBy("lab", "h1", "h2").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
+    points, points_path = stage(points.withColumn("pid", F.monotonically_increasing_id()), "vector-points")
+    radius = math.sqrt(2 - 2 * threshold)
+    whole = points.select(F.concat_ws(":", F.col("lab").cast("string"), F.size("vec")).alias("cell"), F.lit(True).alias("home"), F.lit(False).alias("ball"), "pid", "copies", "vec")
+    tables, paths = _cells(whole, radius)
+
+    parts = []
+    for cells in tables:
+        sizes, path = stage(_sizes(cells), "vector-sizes")
+        found, found_path = stage(_compare(_blocks(cells, sizes), threshold), "vector-links")
+        balls = cells.where("ball")
+        facts, facts_path = stage(balls.groupBy("cell").agg(F.sum("copies").alias("all"), F.min("pid").alias("root")), "vector-balls")
+        parts += [found, balls.join(small_or_shuffled(facts), "cell").select("pid", (F.col("all") - F.col("copies")).alias("links"), "root")]
+        paths += [path, found_path, facts_path]
+    found, found_path = stage(reduce(DataFrame.union, parts), "vector-links")
+    unstage(spark, *paths)
 
     counts = found.groupBy("pid").agg(F.sum("links").alias("links"))
     hang = components(found.select(F.col("pid").alias("a"), F.col("root").alias("b")))
-    roots = hang.join(points.select(F.col("pid").alias("node"), "least_id"), "node")
-    names = roots.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = hang.join(names, "component").select(F.col("node").alias("pid"), "component_id")
+    hang, hang_path = stage(hang.join(points.select(F.col("pid").alias("node"), "least_id"), "node"), "vector-hang")
+    names, names_path = stage(hang.groupBy("component").agg(F.min("least_id").alias("component_id")), "vector-names")
+    named = hang.join(small_or_shuffled(names), "component").select(F.col("node").alias("pid"), "component_id")
     facts = points.join(counts, "pid", "left").join(named, "pid", "left").select(
-        "lab", "vec", F.coalesce("component_id", "least_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        "lab", "h1", "h2", F.coalesce("component_id", "least_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
+    facts, _ = stage(facts, "vector-facts")  # read anew, so that a hot vector's rows split in the join below
+    unstage(spark, points_path, found_path, hang_path, names_path)
     alone = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    together = rows.where(usable).join(facts, ["lab", "vec"]).select("vec_id", "n_links", "component_id")
+    together = rows.where(usable).join(facts, ["lab", "h1", "h2"]).select("vec_id", "n_links", "component_id")
     return together.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

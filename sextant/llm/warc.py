@@ -7,6 +7,7 @@ joins them through these identifiers into one nested row per capture.
 from __future__ import annotations
 
 import base64
+import binascii
 import gzip
 import hashlib
 import io
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_root, small_or_shuffled, stage
+from .common import new_folder, small_or_shuffled, stage, unstage
 
 #: Payloads of fewer bytes are always written in full.
 REVISIT_BYTES = 1000
@@ -28,7 +29,7 @@ ARCHIVE_BYTES = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-MANIFEST_SCHEMA = "path string, records long, bytes long"
+MANIFEST_SCHEMA = "archive string, records long, bytes long"
 RECORD_SCHEMA = """archive string, record_id string, type string, concurrent_to array<string>, refers_to string, target_uri string, date string,
  payload_digest string, payload_bytes long, fields map<string,string>, payload binary"""
 
@@ -44,7 +45,7 @@ def _record(headers: list[tuple[str, str | None]], block: bytes) -> bytes:
     return pack.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n") + pack.flush()
 
 
-def _transaction(page_id: int | None, row: int, url: str | None, payload: bytes, sha1: str, target: tuple | None) -> list[bytes]:
+def _transaction(page_id: str | None, row: int, url: str | None, payload: bytes, sha1: str, target: tuple | None) -> list[bytes]:
     main = _record_id("main", page_id, row)
     digest = "sha1:" + base64.b32encode(bytes.fromhex(sha1)).decode()
     shared = [("WARC-Date", DATE), ("WARC-Target-URI", url)]
@@ -63,23 +64,26 @@ def _transaction(page_id: int | None, row: int, url: str | None, payload: bytes,
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
     """Write request, response or revisit, and metadata records of every row
     as ``*.warc.gz`` in ``folder``, each record a gzip member; returns the
-    manifest ``path, records, bytes``.
+    manifest ``archive, records, bytes`` of the files that count.
 
-    The payload is the text in UTF-8, null is empty. Of payloads equal by
+    The payload is the whole text in UTF-8, null is empty. Of payloads equal by
     length and SHA-1 with at least REVISIT_BYTES, the row with the largest id
-    (null ids are smallest; of repeated ids the later row) is the response and
-    the others are revisits that refer to it. A null URL has no target header.
-    Each task writes its own files under a temporary name and renames them, so
-    a task that runs again replaces them by the same. An empty table writes
-    no archive.
+    (null ids are smallest; of repeated ids one row) is the response and the
+    others are revisits that refer to it. A null URL has no target header.
+    Other columns, whatever their names, are not looked at. An empty table
+    writes no archive. Rows are numbered and staged once, so that a task that
+    runs again sees the same ones. Each attempt of a task writes files of its
+    own names; the manifest, which Spark commits with the tasks, names those of
+    the attempts that finished, and ``read_warc`` passes over all others.
     """
     spark = pages.sparkSession
+    payload = F.coalesce(F.col(body_col), F.lit(""))
     rows = pages.select(
-        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(body_col), F.lit("")).alias("html"),
-    ).withColumn("row", F.monotonically_increasing_id())
-    rows = rows.withColumn("sha", F.sha1("html")).withColumn("n", F.octet_length("html"))
+        F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("html"), F.monotonically_increasing_id().alias("row"), F.sha1(payload).alias("sha"), F.octet_length(payload).alias("n"),
+    )
+    rows, rows_path = stage(rows, "warc-rows")
     same = rows.where(F.col("n") >= REVISIT_BYTES).groupBy("sha", "n").agg(F.max(F.struct("page_id", "row")).alias("first"), F.count("*").alias("copies"))
-    firsts, _ = stage(same.where("copies > 1").select("sha", "n", F.col("first.page_id").alias("ref_id"), F.col("first.row").alias("ref_row")), "warc-firsts")
+    firsts, firsts_path = stage(same.where("copies > 1").select("sha", "n", F.col("first.page_id").alias("ref_id"), F.col("first.row").alias("ref_row")), "warc-firsts")
     marked = rows.join(small_or_shuffled(firsts), ["sha", "n"], "left").withColumn("revisit", F.col("ref_row").isNotNull() & (F.col("ref_row") != F.col("row")))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,18 +94,17 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
         done, held, size, count = [], [], 0, 0
 
         def close() -> None:
-            name = f"{root}/part-{task.partitionId():05d}-{len(done):04d}.warc.gz"
-            with store.open_output_stream(temporary := f"{name}.{task.taskAttemptId()}.tmp") as out:
+            name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{len(done):04d}.warc.gz"
+            with store.open_output_stream(f"{root}/{name}", compression=None) as out:
                 for x in held:
                     out.write(x)
-            store.move(temporary, name)
             done.append((name, count, size))
             held.clear()
 
         for batch in batches:
             for r in batch.itertuples(index=False):
-                page_id = None if pd.isna(r.page_id) else int(r.page_id)
-                target = ((None if pd.isna(r.ref_id) else int(r.ref_id)), int(r.ref_row)) if r.revisit else None
+                page_id, ref_id = (x if isinstance(x, str) else None for x in (r.page_id, r.ref_id))
+                target = (ref_id, int(r.ref_row)) if r.revisit else None
                 for x in _transaction(page_id, r.row, r.url if isinstance(r.url, str) else None, r.html.encode(), r.sha, target):
                     held.append(x)
                     size, count = size + len(x), count + 1
@@ -110,13 +113,16 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
                     size = count = 0
         if held:
             close()
-        yield pd.DataFrame(done, columns=["path", "records", "bytes"])
+        yield pd.DataFrame(done, columns=["archive", "records", "bytes"])
 
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    return stage(marked.select("page_id", "row", "url", "html", "sha", "ref_id", "ref_row", "revisit").mapInPandas(write, MANIFEST_SCHEMA), "warc-manifest")[0]
+    named = marked.select(F.col("page_id").cast("string").alias("page_id"), "row", "url", "html", "sha", F.col("ref_id").cast("string").alias("ref_id"), "ref_row", "revisit")
+    manifest, _ = stage(named.mapInPandas(write, MANIFEST_SCHEMA), "warc-manifest")
+    unstage(spark, rows_path, firsts_path)
+    return manifest
 
 
 def _headers(stream: io.BufferedIOBase) -> list[tuple[str, str]]:
@@ -128,51 +134,78 @@ def _headers(stream: io.BufferedIOBase) -> list[tuple[str, str]]:
 
 
 def _bare_digest(value: str | None) -> str | None:
-    """Lower-case hex of ``sha1:BASE32``; hex digests stay."""
+    """Lower-case hex of ``sha1:BASE32``; other digests stay as they are, in lower case."""
     text = (value or "").rpartition(":")[2]
     if not text:
         return None
-    return base64.b32decode(text.upper()).hex() if len(text) == 32 else text.lower()
+    try:
+        return base64.b32decode(text.upper()).hex() if len(text) == 32 else text.lower()
+    except binascii.Error:
+        return text.lower()
+
+
+def _size(value: str | None, otherwise: int) -> int:
+    return int(value) if value is not None and value.isascii() and value.isdigit() else otherwise
+
+
+def _parsed(headers: list[tuple[str, str]], block: bytes, payloads: bool) -> tuple:
+    named = dict(headers)
+    kind, fields, body, size, digest = named.get("warc-type"), None, None, None, _bare_digest(named.get("warc-payload-digest"))
+    if kind in ("response", "revisit") and block.startswith(b"HTTP/"):
+        inner = io.BytesIO(block)
+        inner.readline()
+        http = dict(_headers(inner))
+        body = inner.read()
+        size = _size(http.get("content-length"), len(body))
+        if kind == "response":
+            size, digest = len(body), hashlib.sha1(body).hexdigest()
+    elif named.get("content-type") == "application/warc-fields":
+        fields = dict(_headers(io.BytesIO(block)))
+    return (
+        named.get("warc-record-id"), kind, [v for k, v in headers if k == "warc-concurrent-to"], named.get("warc-refers-to"), named.get("warc-target-uri"),
+        named.get("warc-date"), digest, size, fields, body if payloads and kind == "response" else None,
+    )
 
 
 def _records(content: bytes, payloads: bool) -> Iterator[tuple]:
-    stream = gzip.open(io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
-    while version := stream.readline():
-        if not version.startswith(b"WARC/"):
-            continue  # the empty lines after a record
-        headers = _headers(stream)
-        named = dict(headers)
-        block = stream.read(int(named.get("content-length", 0)))
-        kind, fields, body, size, digest = named.get("warc-type"), None, None, None, _bare_digest(named.get("warc-payload-digest"))
-        if kind in ("response", "revisit") and block.startswith(b"HTTP/"):
-            inner = io.BytesIO(block)
-            inner.readline()
-            http = dict(_headers(inner))
-            body = inner.read()
-            size = int(http.get("content-length", len(body)))
-            if kind == "response":
-                size, digest = len(body), hashlib.sha1(body).hexdigest()
-        elif named.get("content-type") == "application/warc-fields":
-            fields = dict(_headers(io.BytesIO(block)))
-        yield (
-            named.get("warc-record-id"), kind, [v for k, v in headers if k == "warc-concurrent-to"], named.get("warc-refers-to"), named.get("warc-target-uri"),
-            named.get("warc-date"), digest, size, fields, body if payloads and kind == "response" else None,
-        )
-
-
-def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The records of all archives under ``path``, compressed or not, any store Spark reads.
+    """The records of an archive. Lines between records that start none are
+    skipped. Where it is damaged (bytes that do not unpack, a record without a
+    length or cut short), a record of type ``damaged`` stands for what is left."""
+    damaged = (None, "damaged", [], None, None, None, None, None, None, None)
+    try:
+        stream = gzip.open(io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
+        while version := stream.readline():
+            if not version.startswith(b"WARC/"):
+                continue
+            headers = _headers(stream)
+            size = _size(dict(headers).get("content-length"), -1)
+            block = stream.read(size) if size >= 0 else b""
+            if size < 0 or len(block) < size:
+                yield damaged
+                if size >= 0:
+                    return
+                continue
+            yield _parsed(headers, block, payloads)
+    except (EOFError, OSError, zlib.error):
+        yield damaged
+
+
+def read_warc(spark: SparkSession, path: str, payloads: bool = True, manifest: DataFrame | None = None) -> DataFrame:
+    """The records of all ``*.warc`` and ``*.warc.gz`` under ``path``, compressed
+    or not, in any store that Spark reads; with the ``manifest`` of
+    ``write_warc``, of the archives that it names.
 
     ``payload_digest`` is bare lower-case hex; of a response, digest and bytes
     are taken from the payload itself; of a revisit, from its headers. Without
-    ``payloads`` the bodies are left out. A folder without archives gives no rows. Only ``*.warc`` and ``*.warc.gz`` are archives:
-    a temporary file that a lost task left is passed over.
+    ``payloads`` the bodies are left out. A folder without archives gives no
+    rows. Damaged archives give the records before the damage and one of type
+    ``damaged``. An archive is read whole by one task: 2 GB is Spark's limit.
     """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["archive", "record_id", "type", "concurrent_to", "refers_to", "target_uri", "date", "payload_digest", "payload_bytes", "fields", "payload"]
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
+            for name, content in zip(batch["archive"], batch["content"], strict=True):
                 held, size = [], 0
                 for record in _records(content, payloads):
                     held.append((name, *record))
@@ -183,7 +216,10 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                 if held:
                     yield _typed(pd.DataFrame(held, columns=columns))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,warc.gz}").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,warc.gz}").load(path)
+    files = files.select(F.regexp_extract("path", "[^/]+$", 0).alias("archive"), "content")
+    if manifest is not None:
+        files = files.join(small_or_shuffled(manifest.select("archive")), "archive", "left_semi")
     return files.mapInPandas(parse, RECORD_SCHEMA)
 
 
@@ -199,7 +235,9 @@ def assemble(records: DataFrame) -> DataFrame:
     in the row and ``parts`` counts all. Columns: ``capture_id, type,
     target_uri, date, payload_digest, payload_bytes, refers_to, payload,
     request, metadata, parts``; missing parts are null. Payloads travel only
-    with the capture's own row.
+    with the capture's own row. Records without an identifier link nothing;
+    repeated records give repeated captures; no records, no rows; further
+    columns are not looked at. Give staged records: they are read twice.
     """
     links = records.select("record_id", F.explode("concurrent_to").alias("other"))
     links = links.union(links.select("other", "record_id")).distinct()
@@ -217,14 +255,16 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_root(spark)}/warc-{uuid.uuid4().hex}"
-    write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), folder)
-    records, _ = stage(read_warc(spark, folder, payloads=False).drop("payload").withColumn("payload", F.lit(None).cast("binary")), "warc-records")
+    folder = new_folder(spark, "warc")
+    manifest = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), folder)
+    records, records_path = stage(read_warc(spark, folder, payloads=False, manifest=manifest), "warc-records")
     captures = assemble(records).select("capture_id", "type", "payload_bytes", "payload_digest", "refers_to", F.col("metadata.fields")["page_id"].cast("long").alias("page_id"))
     captures, _ = stage(captures, "warc-captures")
+    unstage(spark, records_path)
     again = captures.where("type = 'revisit'")
     named = captures.where("type = 'response'").select(F.col("capture_id").alias("refers_to"), F.col("page_id").alias("ref"))
-    named = named.join(again.select("refers_to").distinct(), "refers_to", "left_semi")
+    # staged, so that the join below is between plain shuffles and the revisits of a popular payload split
+    named, _ = stage(named.join(again.select("refers_to").distinct(), "refers_to", "left_semi"), "warc-named")
     columns = ["page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type")]
     return captures.where("type = 'response'").select(*columns, F.lit(None).cast("long").alias("refers_to")).union(again.join(named, "refers_to", "left").select(*columns, F.col("ref").alias("refers_to")))
 
