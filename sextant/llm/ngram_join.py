@@ -10,22 +10,26 @@ Sets that share a signature are verified exactly.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import components, stage, unstage
+from .common import components, small_or_shuffled, stage, unstage, unused
 from .spans import SEPARATOR, chunks, code_points, hashes
 
 #: Width of the frequency sketch (two rows); its size never grows with the data.
 SKETCH_BITS = 20
-#: Documents with a needed text are found by broadcast up to this many ids.
-BROADCAST_IDS = 200_000
+#: Slices of the sketch, and how many tasks' slices are added at once.
+SLICES, FAN_IN = 64, 64
 #: Signatures estimated in more sets than this are split among so many more groups.
 HOT = 2048
 
@@ -61,51 +65,68 @@ def _set_keys(tokens: np.ndarray) -> tuple[int, int]:
     return signed(a), signed(b)
 
 
-def _sets(batches: Iterator[pd.DataFrame], column: str, k: int) -> Iterator[tuple[pd.DataFrame, Iterator[np.ndarray]]]:
-    for batch in batches:
-        texts = [x if isinstance(x, str) else "" for x in batch[column]]
-        yield batch, chain.from_iterable(_shingles(part, k) for part in chunks(texts))
-
-
 def _slots(tokens: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     mask = np.uint64(width - 1)
     return (tokens & mask).astype(np.int64), ((tokens >> np.uint64(32)) & mask).astype(np.int64)
 
 
 def _describe(docs: DataFrame, k: int, bits: int) -> DataFrame:
-    """Size and digests of each document's set, and each task's share of the sketch."""
-
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros((2, 1 << bits), np.int64)
-        for batch, sets in _sets(batches, "text", k):
-            found = []
-            for tokens in sets:
-                for row, slots in zip(counts, _slots(tokens, 1 << bits), strict=True):
-                    row[slots] += 1
-                found.append((len(tokens), *_set_keys(tokens)))
-            frame = pd.DataFrame(found, columns=["n", "sid", "check"]).assign(doc_id=batch["doc_id"].to_numpy(), part=-1, counts=None)
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame[["doc_id", "n", "sid", "check", "part", "counts"]]
+    """Each document's set: size, two digests, sorted tokens, under a number of its
+    own; and each task's share of the sketch, in slices."""
+    kind = docs.schema["doc_id"].dataType
+    names = "text_hash long, row long, n long, sid long, chk long, tokens array<long>, task int, slice int, counts binary"
+    schema = T.StructType([T.StructField("doc_id", kind), *T._parse_datatype_string(names).fields])
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, task, row = np.zeros((2, 1 << bits), np.int64), TaskContext.get().partitionId(), 0
+        empty = None
+        for batch in batches:
+            empty = batch.slice(0, 0)
+            texts = [x or "" for x in batch.column("text").to_pylist()]
+            at = 0
+            for part in chunks(texts):
+                sets = list(_shingles(part, k))
+                for tokens in sets:
+                    for line, slots in zip(counts, _slots(tokens, 1 << bits), strict=True):
+                        line[slots] += 1
+                keys = np.array([_set_keys(x) for x in sets], np.int64).reshape(-1, 2)
+                sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+                n = len(sets)
+                nothing = [pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.binary())]
+                numbers = pa.array((np.int64(task) << 33) + row + np.arange(n))
+                columns = [batch.column("doc_id").slice(at, n), batch.column("text_hash").slice(at, n), numbers, pa.array(sizes), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists, *nothing]
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+                at, row = at + n, row + n
         if counts.any():
-            flat = counts.reshape(64, -1)
-            yield pd.DataFrame({"doc_id": pd.array([None] * 64, "Int64"), "n": 0, "sid": 0, "check": 0, "part": range(64), "counts": [x.astype(np.int64).tobytes() for x in flat]})
+            flat = np.minimum(counts, 2**31 - 1).astype(np.int32).reshape(SLICES, -1)
+            blank = [pa.nulls(SLICES, t) for t in (empty.schema.field("doc_id").type, *[pa.int64()] * 5, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*blank, pa.array([task] * SLICES, pa.int32()), pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in flat], pa.binary())], schema.names)
 
-    return docs.select("doc_id", "text").mapInPandas(describe, "doc_id long, n long, sid long, check long, part int, counts binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(describe, schema)
 
 
-def _sketch(described: DataFrame, bits: int) -> np.ndarray:
-    """Sum of the tasks' counts, by slices; its size is fixed."""
+def _summed(slices: DataFrame, tasks: int) -> np.ndarray:
+    """Sum of the tasks' ``task, slice, counts``. However many tasks there are, at
+    most FAN_IN slices are added at once, level by level."""
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int64) for x in group["counts"])
-        return pd.DataFrame({"part": [group["part"].iloc[0]], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
+        total = np.zeros(len(group["counts"].iloc[0]) // 4, np.int64)
+        for x in group["counts"]:
+            total += np.frombuffer(x, np.int32)
+        counts = np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()
+        return pd.DataFrame({"task": [group["task"].iloc[0] // FAN_IN], "slice": [group["slice"].iloc[0]], "counts": [counts]})
 
-    shares = described.where("part >= 0").select("part", "counts")
-    rows = shares.groupBy("part").applyInPandas(add, "part int, counts binary").collect()
-    out = np.zeros((64, (2 << bits) // 64), np.int32)
-    for r in rows:
-        out[r["part"]] = np.frombuffer(r["counts"], np.int32)
-    return out.reshape(2, -1)
+    while tasks > 1:
+        slices = slices.groupBy("slice", F.floor(F.col("task") / FAN_IN)).applyInPandas(add, "task int, slice int, counts binary")
+        tasks = -(-tasks // FAN_IN)
+    return np.stack([np.frombuffer(r["counts"], np.int32) for r in slices.orderBy("slice").collect()])
+
+
+def _sketch(described: DataFrame, bits: int) -> np.ndarray:
+    slices = described.where("slice IS NOT NULL").select("task", "slice", "counts")
+    last = slices.agg(F.max("task")).first()[0]
+    return np.zeros((2, 1 << bits), np.int32) if last is None else _summed(slices, max(2, last + 1)).reshape(2, -1)
 
 
 def _pair_hash(level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -161,40 +182,47 @@ def _signatures(tokens: np.ndarray, sketch: np.ndarray, frequent: float, t: Frac
     return np.concatenate((ordered[rare], *signs)), np.concatenate((estimate[rare], *counts)), np.concatenate((before_single[rare], *covers))
 
 
-SIGNATURE_SCHEMA = "sig long, salt int, sid long, n int, cov int"
-SHARED_SCHEMA = f"{SIGNATURE_SCHEMA}, rep long, rep_n int, rep_cov int"
+SIGNATURE_SCHEMA = "sig long, salt int, sid long, chk long, n int, cov int"
+SIGNATURE = [x.split()[0] for x in SIGNATURE_SCHEMA.split(", ")]
+SHARED_SCHEMA = f"{SIGNATURE_SCHEMA}, rep_sid long, rep_chk long, rep_n int, rep_cov int"
 
 
-def _emit(docs: DataFrame, k: int, sketch: np.ndarray, t: Fraction) -> DataFrame:
-    frequent = 2 * float(sketch[0].mean()) + 32
+def _emit(described: DataFrame, sketch: np.ndarray, t: Fraction) -> DataFrame:
+    """The signatures of all sets. A token in one document only has no partner: the
+    sketch never counts too few, so its signatures are left out."""
+    usual = 2 * float(sketch[0].mean())
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         held: list[tuple] = []
         size = 0
 
-        def frame() -> pd.DataFrame:
-            return pd.DataFrame(dict(zip(("sig", "salt", "sid", "n", "cov"), map(np.concatenate, zip(*held, strict=True)), strict=True)))
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], SIGNATURE)
 
-        for _, sets in _sets(batches, "text", k):
-            for tokens in sets:
-                sid = _set_keys(tokens)[0]
-                if sid in seen:  # a copy met in this task
+        for batch in batches:
+            lists = batch.column("tokens")
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            keys = zip(batch.column("sid").to_pylist(), batch.column("chk").to_pylist(), strict=True)
+            for key, a, b in zip(keys, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                if key in seen:  # a copy met in this task
                     continue
                 if len(seen) < 200_000:
-                    seen.add(sid)
-                signs, counts, covers = _signatures(tokens, sketch, frequent, t)
-                salts = np.where(counts >= 2 * HOT, 1 + (np.int64(sid) & 0x7FFFFFFF) % np.maximum(1, counts // HOT), 0)
+                    seen.add(key)
+                signs, counts, covers = _signatures(flat[a:b], sketch, usual + 32, t)
+                some = counts > 1
+                signs, counts, covers = signs[some], np.maximum(0, counts[some] - int(usual)), covers[some]
+                salts = np.where(counts >= 2 * HOT, 1 + (np.int64(key[0]) & 0x7FFFFFFF) % np.maximum(1, counts // HOT), 0)
                 m = len(signs)
-                held.append((signs.view(np.int64), salts.astype(np.int32), np.full(m, sid), np.full(m, len(tokens), np.int32), covers.astype(np.int32)))
+                held.append((signs.view(np.int64), salts.astype(np.int32), np.full(m, key[0]), np.full(m, key[1]), np.full(m, b - a, np.int32), covers.astype(np.int32)))
                 size += m
                 if size > 200_000:
-                    yield frame()
+                    yield batch_of()
                     held, size = [], 0
         if held:
-            yield frame()
+            yield batch_of()
 
-    return docs.select("text").mapInPandas(emit, SIGNATURE_SCHEMA)
+    return described.where("n > 1").select("sid", "chk", "tokens").mapInArrow(emit, SIGNATURE_SCHEMA)
 
 
 def _shared(signatures: DataFrame) -> DataFrame:
@@ -205,7 +233,6 @@ def _shared(signatures: DataFrame) -> DataFrame:
     Estimated hot signatures arrive in several groups, by salt from 1 on; a set
     alone in such a group stays, as the others may lie in the signature's other groups.
     """
-    columns = ["sig", "salt", "sid", "n", "cov"]
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lead: list[int] | None = None  # the open group's first row
@@ -213,13 +240,13 @@ def _shared(signatures: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.empty:
                 continue
-            rows = batch[columns].to_numpy(np.int64)
+            rows = batch[SIGNATURE].to_numpy(np.int64)
             if lead is not None:  # go on where the last batch ended
                 rows = np.vstack((np.array([lead]), rows))
             new = np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))
             first = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
-            other = rows[:, 2] != rows[first, 2]
-            fresh = np.concatenate(([True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1)))
+            other = (rows[:, 2:4] != rows[first, 2:4]).any(axis=1)
+            fresh = np.concatenate(([True], (rows[1:, :4] != rows[:-1, :4]).any(axis=1)))
             shared = np.zeros(len(rows), bool)
             shared[first[other]] = True
             shared |= new & (rows[:, 1] > 0)
@@ -231,141 +258,123 @@ def _shared(signatures: DataFrame) -> DataFrame:
             lead = rows[last_start].tolist()
             if keep.any():
                 out = np.hstack((rows[keep], rows[first[keep]][:, 2:]))
-                yield pd.DataFrame(out, columns=[*columns, "rep", "rep_n", "rep_cov"]).astype(dict.fromkeys(("salt", "n", "cov", "rep_n", "rep_cov"), "int32"))
+                yield pd.DataFrame(out, columns=[x.split()[0] for x in SHARED_SCHEMA.split(", ")]).astype(dict.fromkeys(("salt", "n", "cov", "rep_n", "rep_cov"), "int32"))
 
-    dealt = signatures.repartition("sig", "salt").sortWithinPartitions("sig", "salt", "cov", "sid")
+    dealt = signatures.repartition("sig", "salt").sortWithinPartitions("sig", "salt", "cov", "sid", "chk")
     return dealt.mapInPandas(pick, SHARED_SCHEMA)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, t: Fraction) -> DataFrame:
-    """The pairs ``a, b`` whose sets' intersection is at least t of their union."""
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets: dict[int, np.ndarray] = {}
-            for column, text in (("a", "text_a"), ("b", "text_b")):
-                new = batch[~batch[column].isin(sets.keys())].drop_duplicates(column)
-                sets.update(zip(new[column], chain.from_iterable(_shingles(part, k) for part in chunks(new[text])), strict=True))
-            found = []
-            for a, b in zip(batch["a"], batch["b"], strict=True):
-                x, y = sets[a], sets[b]
-                if len(x) < t * len(y) or len(y) < t * len(x):
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if t.denominator * both >= t.numerator * (len(x) + len(y) - both):
-                    found.append((a, b))
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    sides = [texts.select(F.col("sid").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b").mapInPandas(verify, "a long, b long")
-
+def _node(sid: str, chk: str) -> Column:
+    """Both digests of a set as one key of 16 bytes."""
+    return F.unhex(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in (sid, chk))))
 
-def _texts(docs: DataFrame, sets: DataFrame, needed: DataFrame, k: int) -> DataFrame:
-    """One text for each needed set."""
 
-    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch, found in _sets(batches, "text", k):
-            yield pd.DataFrame({"sid": [_set_keys(x)[0] for x in found], "text": batch["text"]})
-
-    wanted, path = stage(sets.groupBy("sid").agg(F.min("doc_id").alias("w_id")).join(needed, "sid", "left_semi"), "ngram-wanted")
-    ids = wanted.select("w_id").distinct()
-    if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    rows = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi").mapInPandas(name, "sid long, text string")
-    return stage(rows.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "ngram-texts")[0]
+def _verified(pairs: DataFrame, described: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs ``a, b`` whose sets' intersection is at least t of their union."""
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted, wanted_path = stage(sets.join(needed, "node", "left_semi").select("row", "node"), "ngram-wanted")
+    tokens, tokens_path = stage(described.where("n > 1").select("row", "tokens").join(small_or_shuffled(wanted), "row").select("node", "tokens"), "ngram-tokens")
+    x, y = (tokens.select(F.col("node").alias(c), F.col("tokens").alias(f"tokens_{c}")) for c in "ab")
+    both = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    joined = pairs.join(x, "a").join(y, "b").select("a", "b", both.alias("both"), (F.size("tokens_a") + F.size("tokens_b") - both).alias("either"))
+    links, _ = stage(joined.where(F.col("both").cast("long") * t.denominator >= F.col("either").cast("long") * t.numerator).select("a", "b"), "ngram-links")
+    unstage(pairs.sparkSession, wanted_path, tokens_path)
+    return links
 
 
 def near_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, sketch_bits: int = SKETCH_BITS) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: ``doc_id, n_shingles, component_id, set_id``.
+    r"""One row per row of ``docs(doc_id, text)``: ``doc_id, n_shingles, component_id, text_hash``.
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a set holds the
-    distinct ``k``-word shingles, with fewer words the whole sequence as one;
-    no words or null text: empty, linked with nothing. Sets link when
+    Words are ``[^\x20\x09-\x0D]+`` of the whole text with A-Z lower-cased; a set
+    holds the distinct ``k``-word shingles, with fewer words the whole sequence
+    as one; no words or null text: empty, linked with nothing. Sets link when
     intersection over union is at least ``similarity`` (0.6 or more, taken as
     an exact fraction). ``component_id`` is the smallest id reachable by
     links (null ids are passed over). Repeated rows have equal sets and share
-    a component. ``set_id`` is a hash of the set. An empty table gives an empty result; other columns are ignored.
+    a component. ``text_hash`` is Spark's ``xxhash64`` of the text. Ids may be of
+    any type that has an order. An empty table gives an empty result; other
+    columns, whatever their names, are ignored.
 
     Equal sets are one set from the start. In the first round each set is
     verified against the first set of each of its signatures, so groups of
     copies cost one comparison a member. In the second, signatures whose sets
-    still lie in different components give the pairs across these, so no link
-    is lost. A pair is left out where the tokens before the signature show
-    that it cannot be similar: two similar sets pass at the first signature
-    that they share. Tokens and sets are told apart by 64-bit hashes.
+    still lie in different components give pairs across these, so no link is
+    lost: the smaller set's signature must lie early enough for it to be the
+    smaller one of a similar pair, sizes must be within one band, and a pair is
+    left out where the tokens before the signature show that it cannot be
+    similar: two similar sets pass at the first signature that they share.
+    So a passage that many unlike texts share gives no pairs. Tokens are told
+    apart by 64-bit hashes, sets by 128 bits.
     """
     t = Fraction(similarity).limit_denominator(1000)
     if not Fraction(6, 10) <= t <= 1:
         raise ValueError("similarity must be from 0.6 to 1")
     spark = docs.sparkSession
-    described, _ = stage(_describe(docs, k, sketch_bits), "ngram-sets")
-    rows = described.where("part < 0").drop("part", "counts")
-    shared, shared_path = stage(_shared(_emit(docs, k, _sketch(described, sketch_bits), t)), "ngram-signatures")
+    described, described_path = stage(_describe(docs, k, sketch_bits), "ngram-sets")
+    rows = described.where("slice IS NULL").select("doc_id", "text_hash", "n", "sid", "chk", "row")
+    sets = rows.where("n > 0").groupBy("sid", "chk").agg(F.min("doc_id").alias("least_id"), F.min("row").alias("row"))
+    sets, sets_path = stage(sets.withColumn("node", _node("sid", "chk")), "ngram-distinct")
+    shared, shared_path = stage(_shared(_emit(described, _sketch(described, sketch_bits), t)), "ngram-signatures")
 
     p, q = t.numerator, t.denominator
+    big = lambda c: F.col(c).cast("long")
 
-    def possible(n: str, cov: str, o_n: str, o_cov: str):
+    def possible(n: str, cov: str, o_n: str, o_cov: str) -> Column:
         """Sizes allow the similarity, and so does what comes before the signature."""
-        n, cov, o_n, o_cov = (F.col(c).cast("long") for c in (n, cov, o_n, o_cov))
-        overlap = F.least(n - cov, o_n - o_cov) * (p + q) >= (n + o_n) * p
-        return overlap & (F.least(n, o_n) * q >= F.greatest(n, o_n) * p)
+        overlap = F.least(big(n) - big(cov), big(o_n) - big(o_cov)) * (p + q) >= (big(n) + big(o_n)) * p
+        return overlap & (F.least(big(n), big(o_n)) * q >= F.greatest(big(n), big(o_n)) * p)
 
-    def pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
-        return rows.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
+    def pairs(found: DataFrame, a: str | Column, b: str | Column) -> DataFrame:
+        return found.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
 
     # salted groups of one signature, of one set too, meet by their first rows
-    leads = shared.groupBy("sig", "salt").agg(F.first(F.struct("rep_cov", "rep", "rep_n")).alias("lead"))
+    leads = shared.groupBy("sig", "salt").agg(F.first(F.struct("rep_cov", "rep_sid", "rep_chk", "rep_n")).alias("lead"))
     tops = leads.groupBy("sig").agg(F.min("lead").alias("top"), F.count("*").alias("groups")).where("groups > 1")
-    joint = leads.join(tops, "sig").select(
-        F.col("lead.rep").alias("sid"), F.col("lead.rep_n").alias("n"), F.col("lead.rep_cov").alias("cov"), F.col("top.rep").alias("rep"), F.col("top.rep_n").alias("rep_n"), F.col("top.rep_cov").alias("rep_cov")
-    )
+    fields = {"sid": "rep_sid", "chk": "rep_chk", "n": "rep_n", "cov": "rep_cov"}
+    joint = leads.join(tops, "sig").select(*(F.col(f"lead.{c}").alias(name) for name, c in fields.items()), *(F.col(f"top.{c}").alias(c) for c in fields.values()))
     stars = shared.select(*joint.columns).union(joint).where(possible("n", "cov", "rep_n", "rep_cov"))
-    tried, _ = stage(pairs(stars, "sid", "rep"), "ngram-tried")
-    texts = _texts(docs, rows, tried.select(F.col("a").alias("sid")).union(tried.select("b")).distinct(), k)
-    links, _ = stage(_verified(tried, texts, k, t), "ngram-links")
-    hang, _ = stage(components(links), "ngram-hang")
+    tried, tried_path = stage(pairs(stars, _node("sid", "chk"), _node("rep_sid", "rep_chk")), "ngram-tried")
+    links = _verified(tried, described, sets, t)
+    hang, hang_path = stage(components(links), "ngram-hang")
 
-    placed = shared.select("sig", "sid", "n", "cov").distinct().join(hang.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
+    placed = shared.select("sig", _node("sid", "chk").alias("node"), "n", "cov").distinct().join(hang, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     mixed = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("sig")
-    open_sets, _ = stage(placed.join(mixed, "sig", "left_semi"), "ngram-open")
-    unstage(spark, shared_path)
-    other = open_sets.select("sig", *(F.col(c).alias(f"o_{c}") for c in ("sid", "n", "cov", "comp")))
-    across = open_sets.join(other, "sig").where((F.col("comp") < F.col("o_comp")) & possible("n", "cov", "o_n", "o_cov"))
-    rest, _ = stage(pairs(across, "sid", "o_sid").join(tried, ["a", "b"], "left_anti"), "ngram-rest")
-    more = _texts(docs, rows, rest.select(F.col("a").alias("sid")).union(rest.select("b")).distinct(), k)
-    links, _ = stage(links.union(_verified(rest, more, k, t)), "ngram-links")
-    hang = components(links)
+    width = math.log(1 / t) * (1 + 1e-9)
+    band = F.floor(F.log(big("n")) / width).cast("int") if t < 1 else F.col("n")
+    open_sets, open_path = stage(placed.join(mixed, "sig", "left_semi").withColumn("band", band), "ngram-open")
+    smaller = open_sets.where(big("cov") * (q + p) <= big("n") * (q - p)).select("sig", "band", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "cov", "comp")))
+    larger = open_sets.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))) if t < 1 else open_sets
+    across = larger.join(smaller, ["sig", "band"]).where((F.col("n") >= F.col("o_n")) & (F.col("comp") != F.col("o_comp")) & possible("n", "cov", "o_n", "o_cov"))
+    rest, rest_path = stage(pairs(across, "node", "o_node").join(tried, ["a", "b"], "left_anti"), "ngram-rest")
+    unstage(spark, shared_path, hang_path, open_path)
+    more = _verified(rest, described, sets, t)
+    hang, hang_path = stage(components(links.union(more)), "ngram-hang")
 
     # set -> component -> smallest id
-    sets, _ = stage(rows.where("n > 0").groupBy("n", "sid", "check").agg(F.min("doc_id").alias("least_id")), "ngram-distinct")
-    linked, _ = stage(sets.join(hang.withColumnRenamed("node", "sid"), "sid"), "ngram-linked")
+    linked, linked_path = stage(sets.join(hang, "node").select("node", "component", "least_id"), "ngram-linked")
     names = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = linked.join(names, "component").select("n", "sid", "check", F.col("component_id").alias("named"))
-    facts = sets.join(named, ["n", "sid", "check"], "left").select("n", "sid", "check", F.coalesce("named", "least_id").alias("component_id"))
+    named, named_path = stage(linked.join(names, "component").select("node", F.col("component_id").alias("named")), "ngram-named")
+    facts = sets.join(named, "node", "left").select("sid", "chk", F.coalesce("named", "least_id").alias("component_id"))
     facts, _ = stage(facts, "ngram-facts")  # read anew, so that the join below is between plain shuffles and a hot set's rows split
-    full = rows.where("n > 0").join(facts, ["n", "sid", "check"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("sid").alias("set_id"))
-    return full.union(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("sid").alias("set_id")))
+    rows, _ = stage(rows.drop("row"), "ngram-rows")
+    unstage(spark, described_path, sets_path, tried_path, rest_path, hang_path, linked_path, named_path)
+    full = rows.where("n > 0").join(facts, ["sid", "chk"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_hash")
+    return full.union(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_hash"))
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each component: that of the smallest id.
 
-    Rows are addressed by id and set, so that a repeated or null id drops no
-    other text; rows that repeat both stay or go together. Documents without
-    words stay.
+    Rows are addressed by id and a hash of the text, so that a repeated or null
+    id drops no other text; rows that repeat both stay or go together.
+    Documents without words stay. All columns stay as they are.
     """
-
-    @F.pandas_udf("long")
-    def set_id(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            cleaned = (x if isinstance(x, str) else "" for x in texts)
-            yield pd.Series([_set_keys(s)[0] for part in chunks(cleaned) for s in _shingles(part, k)], dtype="int64")
-
     found = near_components(docs.select("doc_id", "text"), k, similarity)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("g_id"), F.col("set_id").alias("g_set")).distinct()
+    g_id, g_hash = unused("g_id", docs.columns), unused("g_hash", docs.columns)
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(g_id), F.col("text_hash").alias(g_hash)).distinct()
     gone, _ = stage(gone, "ngram-gone")
-    return docs.withColumn("_set", set_id("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("_set") == F.col("g_set")), "left_anti").drop("_set")
+    return docs.join(small_or_shuffled(gone), F.col("doc_id").eqNullSafe(F.col(g_id)) & (F.xxhash64("text") == F.col(g_hash)), "left_anti")
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), k=4, similarity=0.85).drop("set_id")
+    return near_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), k=4, similarity=0.85).drop("text_hash")

@@ -92,3 +92,48 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert near_components(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         near_components(docs, 4, 0.3)
+
+
+def test_slices_of_many_tasks_are_added_level_by_level(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame([(i, np.array([i, 1, 2**30], np.int32).tobytes()) for i in range(2000)], "task int, counts binary")
+    slices = frame.select("task", F.explode(F.array(F.lit(0), F.lit(1))).alias("slice"), "counts")
+    got = ngram_join._summed(slices, 2000)
+    assert got.tolist() == [[1999000, 2000, 2**31 - 1]] * 2
+
+
+def test_a_passage_that_many_unlike_texts_share_gives_few_pairs(spark, monkeypatch):
+    """Texts of one long passage and 9 to 14 % of their own share signatures, and link with nothing."""
+    rnd = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(120))
+    rows = [(i, passage + " " + " ".join(f"u{i}x{j}" for j in range(rnd.randrange(13, 21)))) for i in range(150)]
+    rows += [(1000 + i, t + " z") for i, t in rows[:5]]
+    counted = {}
+
+    def counting(df, name, keep=ngram_join.stage):
+        table, path = keep(df, name)
+        counted[name] = max(counted.get(name, 0), table.count()) if name in ("ngram-rest", "ngram-open", "ngram-tried") else 0
+        return table, path
+
+    monkeypatch.setattr(ngram_join, "stage", counting)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r)[:3] for r in near_components(docs, 1, 0.85).collect()), key=repr)
+    assert got == brute(rows, 1, 85, 100)
+    assert counted["ngram-rest"] <= 3 * len(rows)
+
+
+def test_near_copies_are_dropped_by_row(spark):
+    """Repeated ids, repeated rows and extra columns, also of names that the operator uses."""
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, long), (2, long + " x"), (2, "another text of a few words here"), (None, long), (3, "a"), (3, "a"), (4, None), (4, None), (5, "A")]
+    docs = spark.createDataFrame([(*r, i, i) for i, r in enumerate(rows)], "doc_id long, text string, g_id int, _set int")
+    kept = ngram_join.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.g_id for r in kept.collect()) == [0, 2, 4, 5, 6, 7]
+
+
+def test_ids_of_other_types(spark):
+    docs = spark.createDataFrame([("b", "x y z"), ("a", "X y z"), (None, "x y z"), ("c", "")], "doc_id string, text string")
+    assert {(r.doc_id, r.component_id) for r in near_components(docs).collect()} == {("b", "a"), ("a", "a"), (None, "a"), ("c", "c")}
