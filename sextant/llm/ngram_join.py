@@ -65,43 +65,40 @@ def _set_keys(tokens: np.ndarray) -> tuple[int, int]:
     return signed(a), signed(b)
 
 
+def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    return chain.from_iterable(_shingles(part, k) for part in chunks(x or "" for x in texts.to_pylist()))
+
+
 def _slots(tokens: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     mask = np.uint64(width - 1)
     return (tokens & mask).astype(np.int64), ((tokens >> np.uint64(32)) & mask).astype(np.int64)
 
 
 def _describe(docs: DataFrame, k: int, bits: int) -> DataFrame:
-    """Each document's set: size, two digests, sorted tokens, under a number of its
-    own; and each task's share of the sketch, in slices."""
+    """Size and two digests of each document's set, and each task's share of the
+    sketch, in slices."""
     kind = docs.schema["doc_id"].dataType
-    names = "text_hash long, row long, n long, sid long, chk long, tokens array<long>, task int, slice int, counts binary"
-    schema = T.StructType([T.StructField("doc_id", kind), *T._parse_datatype_string(names).fields])
+    rest = T._parse_datatype_string("text_hash long, n long, sid long, chk long, task int, slice int, counts binary").fields
+    schema = T.StructType([T.StructField("doc_id", kind), *rest])
+    names = schema.names
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, task, row = np.zeros((2, 1 << bits), np.int64), TaskContext.get().partitionId(), 0
+        counts, task = np.zeros((2, 1 << bits), np.int64), TaskContext.get().partitionId()
         empty = None
         for batch in batches:
             empty = batch.slice(0, 0)
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            at = 0
-            for part in chunks(texts):
-                sets = list(_shingles(part, k))
-                for tokens in sets:
-                    for line, slots in zip(counts, _slots(tokens, 1 << bits), strict=True):
-                        line[slots] += 1
-                keys = np.array([_set_keys(x) for x in sets], np.int64).reshape(-1, 2)
-                sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-                n = len(sets)
-                nothing = [pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.binary())]
-                numbers = pa.array((np.int64(task) << 33) + row + np.arange(n))
-                columns = [batch.column("doc_id").slice(at, n), batch.column("text_hash").slice(at, n), numbers, pa.array(sizes), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists, *nothing]
-                yield pa.RecordBatch.from_arrays(columns, schema.names)
-                at, row = at + n, row + n
+            found = []
+            for tokens in _sets(batch.column("text"), k):
+                for line, slots in zip(counts, _slots(tokens, 1 << bits), strict=True):
+                    line[slots] += 1
+                found.append((len(tokens), *_set_keys(tokens)))
+            columns = np.array(found, np.int64).reshape(-1, 3).T
+            nothing = [pa.nulls(batch.num_rows, t) for t in (pa.int32(), pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *map(pa.array, columns), *nothing], names)
         if counts.any():
             flat = np.minimum(counts, 2**31 - 1).astype(np.int32).reshape(SLICES, -1)
-            blank = [pa.nulls(SLICES, t) for t in (empty.schema.field("doc_id").type, *[pa.int64()] * 5, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*blank, pa.array([task] * SLICES, pa.int32()), pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in flat], pa.binary())], schema.names)
+            blank = [pa.nulls(SLICES, t) for t in (empty.schema.field("doc_id").type, *[pa.int64()] * 4)]
+            yield pa.RecordBatch.from_arrays([*blank, pa.array([task] * SLICES, pa.int32()), pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in flat], pa.binary())], names)
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(describe, schema)
 
@@ -187,7 +184,7 @@ SIGNATURE = [x.split()[0] for x in SIGNATURE_SCHEMA.split(", ")]
 SHARED_SCHEMA = f"{SIGNATURE_SCHEMA}, rep_sid long, rep_chk long, rep_n int, rep_cov int"
 
 
-def _emit(described: DataFrame, sketch: np.ndarray, t: Fraction) -> DataFrame:
+def _emit(docs: DataFrame, k: int, sketch: np.ndarray, t: Fraction) -> DataFrame:
     """The signatures of all sets. A token in one document only has no partner: the
     sketch never counts too few, so its signatures are left out."""
     usual = 2 * float(sketch[0].mean())
@@ -201,20 +198,17 @@ def _emit(described: DataFrame, sketch: np.ndarray, t: Fraction) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], SIGNATURE)
 
         for batch in batches:
-            lists = batch.column("tokens")
-            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            keys = zip(batch.column("sid").to_pylist(), batch.column("chk").to_pylist(), strict=True)
-            for key, a, b in zip(keys, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                if key in seen:  # a copy met in this task
+            for tokens in _sets(batch.column("text"), k):
+                if len(tokens) < 2 or (key := _set_keys(tokens)) in seen:  # equal sets only; or a copy met in this task
                     continue
                 if len(seen) < 200_000:
                     seen.add(key)
-                signs, counts, covers = _signatures(flat[a:b], sketch, usual + 32, t)
+                signs, counts, covers = _signatures(tokens, sketch, usual + 32, t)
                 some = counts > 1
                 signs, counts, covers = signs[some], np.maximum(0, counts[some] - int(usual)), covers[some]
                 salts = np.where(counts >= 2 * HOT, 1 + (np.int64(key[0]) & 0x7FFFFFFF) % np.maximum(1, counts // HOT), 0)
                 m = len(signs)
-                held.append((signs.view(np.int64), salts.astype(np.int32), np.full(m, key[0]), np.full(m, key[1]), np.full(m, b - a, np.int32), covers.astype(np.int32)))
+                held.append((signs.view(np.int64), salts.astype(np.int32), np.full(m, key[0]), np.full(m, key[1]), np.full(m, len(tokens), np.int32), covers.astype(np.int32)))
                 size += m
                 if size > 200_000:
                     yield batch_of()
@@ -222,7 +216,7 @@ def _emit(described: DataFrame, sketch: np.ndarray, t: Fraction) -> DataFrame:
         if held:
             yield batch_of()
 
-    return described.where("n > 1").select("sid", "chk", "tokens").mapInArrow(emit, SIGNATURE_SCHEMA)
+    return docs.select("text").mapInArrow(emit, SIGNATURE_SCHEMA)
 
 
 def _shared(signatures: DataFrame) -> DataFrame:
@@ -269,16 +263,34 @@ def _node(sid: str, chk: str) -> Column:
     return F.unhex(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in (sid, chk))))
 
 
-def _verified(pairs: DataFrame, described: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs ``a, b`` whose sets' intersection is at least t of their union."""
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, t: Fraction) -> DataFrame:
+    """The pairs ``a, b`` whose sets' intersection is at least t of their union.
+
+    One text stands for each set; texts pack better than their tokens' hashes."""
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            known: dict[bytes, np.ndarray] = {}
+            for column, text in (("a", "text_a"), ("b", "text_b")):
+                new = batch[~batch[column].isin(known.keys())].drop_duplicates(column)
+                known.update(zip(new[column], chain.from_iterable(_shingles(part, k) for part in chunks(new[text])), strict=True))
+            found = []
+            for a, b in zip(batch["a"], batch["b"], strict=True):
+                x, y = known[a], known[b]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if t.denominator * both >= t.numerator * (len(x) + len(y) - both):
+                    found.append((a, b))
+            yield pd.DataFrame(found, columns=["a", "b"], dtype=object)
+
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted, wanted_path = stage(sets.join(needed, "node", "left_semi").select("row", "node"), "ngram-wanted")
-    tokens, tokens_path = stage(described.where("n > 1").select("row", "tokens").join(small_or_shuffled(wanted), "row").select("node", "tokens"), "ngram-tokens")
-    x, y = (tokens.select(F.col("node").alias(c), F.col("tokens").alias(f"tokens_{c}")) for c in "ab")
-    both = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    joined = pairs.join(x, "a").join(y, "b").select("a", "b", both.alias("both"), (F.size("tokens_a") + F.size("tokens_b") - both).alias("either"))
-    links, _ = stage(joined.where(F.col("both").cast("long") * t.denominator >= F.col("either").cast("long") * t.numerator).select("a", "b"), "ngram-links")
-    unstage(pairs.sparkSession, wanted_path, tokens_path)
+    wanted, wanted_path = stage(sets.join(needed, "node", "left_semi").select("node", F.col("rep.doc_id").alias("w_id"), F.col("rep.text_hash").alias("w_hash")), "ngram-wanted")
+    same = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.xxhash64("text") == F.col("w_hash"))
+    texts = docs.select("doc_id", "text").join(small_or_shuffled(wanted), same).select("node", "text").dropDuplicates(["node"])
+    texts, texts_path = stage(texts, "ngram-texts")
+    x, y = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    joined = pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b")
+    links, _ = stage(joined.mapInPandas(verify, "a binary, b binary"), "ngram-links")
+    unstage(pairs.sparkSession, wanted_path, texts_path)
     return links
 
 
@@ -310,11 +322,11 @@ def near_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, sketch
     if not Fraction(6, 10) <= t <= 1:
         raise ValueError("similarity must be from 0.6 to 1")
     spark = docs.sparkSession
-    described, described_path = stage(_describe(docs, k, sketch_bits), "ngram-sets")
-    rows = described.where("slice IS NULL").select("doc_id", "text_hash", "n", "sid", "chk", "row")
-    sets = rows.where("n > 0").groupBy("sid", "chk").agg(F.min("doc_id").alias("least_id"), F.min("row").alias("row"))
+    described, _ = stage(_describe(docs, k, sketch_bits), "ngram-sets")
+    rows = described.where("slice IS NULL").select("doc_id", "text_hash", "n", "sid", "chk")
+    sets = rows.where("n > 0").groupBy("sid", "chk").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("rep"))
     sets, sets_path = stage(sets.withColumn("node", _node("sid", "chk")), "ngram-distinct")
-    shared, shared_path = stage(_shared(_emit(described, _sketch(described, sketch_bits), t)), "ngram-signatures")
+    shared, shared_path = stage(_shared(_emit(docs, k, _sketch(described, sketch_bits), t)), "ngram-signatures")
 
     p, q = t.numerator, t.denominator
     big = lambda c: F.col(c).cast("long")
@@ -334,7 +346,7 @@ def near_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, sketch
     joint = leads.join(tops, "sig").select(*(F.col(f"lead.{c}").alias(name) for name, c in fields.items()), *(F.col(f"top.{c}").alias(c) for c in fields.values()))
     stars = shared.select(*joint.columns).union(joint).where(possible("n", "cov", "rep_n", "rep_cov"))
     tried, tried_path = stage(pairs(stars, _node("sid", "chk"), _node("rep_sid", "rep_chk")), "ngram-tried")
-    links = _verified(tried, described, sets, t)
+    links = _verified(tried, docs, sets, k, t)
     hang, hang_path = stage(components(links), "ngram-hang")
 
     placed = shared.select("sig", _node("sid", "chk").alias("node"), "n", "cov").distinct().join(hang, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
@@ -347,7 +359,7 @@ def near_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, sketch
     across = larger.join(smaller, ["sig", "band"]).where((F.col("n") >= F.col("o_n")) & (F.col("comp") != F.col("o_comp")) & possible("n", "cov", "o_n", "o_cov"))
     rest, rest_path = stage(pairs(across, "node", "o_node").join(tried, ["a", "b"], "left_anti"), "ngram-rest")
     unstage(spark, shared_path, hang_path, open_path)
-    more = _verified(rest, described, sets, t)
+    more = _verified(rest, docs, sets, k, t)
     hang, hang_path = stage(components(links.union(more)), "ngram-hang")
 
     # set -> component -> smallest id
@@ -356,8 +368,7 @@ def near_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, sketch
     named, named_path = stage(linked.join(names, "component").select("node", F.col("component_id").alias("named")), "ngram-named")
     facts = sets.join(named, "node", "left").select("sid", "chk", F.coalesce("named", "least_id").alias("component_id"))
     facts, _ = stage(facts, "ngram-facts")  # read anew, so that the join below is between plain shuffles and a hot set's rows split
-    rows, _ = stage(rows.drop("row"), "ngram-rows")
-    unstage(spark, described_path, sets_path, tried_path, rest_path, hang_path, linked_path, named_path)
+    unstage(spark, sets_path, tried_path, rest_path, hang_path, linked_path, named_path)
     full = rows.where("n > 0").join(facts, ["sid", "chk"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_hash")
     return full.union(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_hash"))
 
