@@ -18,6 +18,7 @@ class Rules:
     excess: float = 0.0025
     excess_moderate: float = 0.0030
     excess_high: float = 0.0040
+    excess_negative: float = -0.0025
     drawdown: float = -0.04
     drawdown_high: float = -0.03
     win: float = 0.60
@@ -64,7 +65,7 @@ def decide(summary: DataFrame, rules: Rules = Rules()) -> DataFrame:
     )
     enough = F.col("ok_sample") & F.col("ok_baseline")
     buy = F.col("ok_excess") & F.col("ok_ci") & (F.col("supports") >= rules.supports)
-    wait = _holds(F.col("excess") <= -rules.excess) & _holds(F.col("ci_high") < 0) & (F.col("against") >= rules.supports)
+    wait = _holds(F.col("excess") <= rules.excess_negative) & _holds(F.col("ci_high") < 0) & (F.col("against") >= rules.supports)
     # fixed values: the action strings
     action = F.when(~enough, "INSUFFICIENT EVIDENCE").when(buy, "BUY GRADUALLY").when(wait, "WAIT ON BUYING").otherwise("HOLD / NO EXTRA BUYING")
     tone = F.when(~enough, "neutral").when(buy, "positive").when(wait, "negative").otherwise("neutral")

@@ -35,17 +35,30 @@ def asof_days(left: DataFrame, right: DataFrame, left_day: str = "day", right_da
     return left.join(spread, on, how).drop("_day", *(f"_{k}" for k in keys))
 
 
-def asof_times(left: DataFrame, right: DataFrame, left_time: str, right_time: str, keys: Sequence[str] = ()) -> DataFrame:
+def asof_times(left: DataFrame, right: DataFrame, left_time: str, right_time: str, keys: Sequence[str] = (), unit: str = "day") -> DataFrame:
     """As ``asof_days`` for timestamps: both sides in one window, right rows first at equal times.
 
-    Needs keys that split the data: one key's rows are ordered in one task.
+    A window holds one ``unit`` of a key, however hot the key; what was last
+    before it comes from a table of one row for each key and unit. Columns that
+    are no times have no units: there a window holds a key.
     """
     payload = [c for c in right.columns if c not in keys]
-    both = left.select("*", F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(F.struct(*payload)).schema[0].dataType).alias("_r")).unionByName(
+    kind = right.select(F.struct(*payload)).schema[0].dataType
+    both = left.select("*", F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_r")).unionByName(
         right.select(*keys, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.struct(*payload).alias("_r")), allowMissingColumns=True
     )
-    window = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("_r", F.last("_r", ignorenulls=True).over(window)).where("_side = 1").select(*left.columns, "_r.*")
+    timed = left.schema[left_time].dataType.typeName() in ("timestamp", "timestamp_ntz", "date")
+    both = both.withColumn("_unit", F.date_trunc(unit, "_t") if timed else F.lit(0))
+    units = both.groupBy(*keys, "_unit").agg(F.max_by("_r", F.when(F.col("_side") == 0, F.col("_t"))).alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_unit").rowsBetween(Window.unboundedPreceding, -1)
+    units = units.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_unit").alias("_u"), F.last("_last", ignorenulls=True).over(before).alias("_before"))
+    within = Window.partitionBy(*keys, "_unit").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_r", F.last("_r", ignorenulls=True).over(within)).where("_side = 1")
+    same = F.col("_unit").eqNullSafe(F.col("_u"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    found = seen.join(units, same, "left").withColumn("_r", F.coalesce("_r", "_before"))
+    return found.select(*left.columns, *(F.col("_r")[c].alias(c) for c in payload))
 
 
 def assert_matched(joined: DataFrame, right_column: str, left_day: str) -> DataFrame:

@@ -30,7 +30,11 @@ def outcome_measures(five: str = "fwd_5", twenty: str = "fwd_20", drawdown: str
     ]
 
 
-def study_specs(levels: Sequence[float] = (15, 20, 25, 30, 35, 40, 50), windows: Sequence[int] = (1, 3, 5), drops: Sequence[float] = (5, 10, 15, 20)) -> list[tuple[int, str, str, float]]:
+#: The study's score levels, the windows of its drops and their sizes.
+LEVELS, WINDOWS, DROPS = (15, 20, 25, 30, 35, 40, 50), (1, 3, 5), (5, 10, 15, 20)
+
+
+def study_specs(levels: Sequence[float] = LEVELS, windows: Sequence[int] = WINDOWS, drops: Sequence[float] = DROPS) -> list[tuple[int, str, str, float]]:
     """Order, label, column and upper bound of each group."""
     rows = [(f"score <= {x:g}", "v", float(x)) for x in levels]
     rows += [(f"{w}-obs drop >= {x:g}", f"chg_{w}", -float(x)) for w in windows for x in drops]
@@ -62,14 +66,18 @@ def bootstrap_means(values: DataFrame, side: str, iterations: int, seed: int) ->
     """Means of resamples: ``iter, mean``. Draws come from md5 of seed, side,
     iteration and position, so every engine and rerun draws the same.
 
-    ``values(x)`` is one small sample (a few dozen events); the draws, iterations
-    times its size, are spread over tasks.
+    ``values(x)`` is one small sample (a few dozen events). An iteration is a row
+    that draws and averages within itself: nothing is exploded or shuffled.
     """
     known = values.where("x IS NOT NULL").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    draws = values.sparkSession.range(iterations).withColumnRenamed("id", "iter").join(F.broadcast(known)).select("iter", "xs", F.explode(F.sequence(F.lit(0), F.size("xs") - 1)).alias("pos"))
-    code = F.md5(F.concat_ws(":", F.lit(seed), F.lit(side), F.col("iter"), F.col("pos")))
-    at = (F.conv(F.substring(code, 1, 8), 16, 10).cast("long") % F.size("xs")).cast("int")
-    return draws.groupBy("iter").agg(F.avg(F.get("xs", at)).alias("mean"))
+    rows = values.sparkSession.range(iterations).withColumnRenamed("id", "iter").join(F.broadcast(known)).where(F.size("xs") > 0)
+
+    def drawn(position: Column) -> Column:
+        code = F.md5(F.concat_ws(":", F.lit(seed), F.lit(side), F.col("iter"), position))
+        return F.get("xs", (F.conv(F.substring(code, 1, 8), 16, 10).cast("long") % F.size("xs")).cast("int"))
+
+    draws = F.transform(F.sequence(F.lit(0), F.size("xs") - 1), drawn)
+    return rows.select("iter", (F.aggregate(draws, F.lit(0.0), lambda total, x: total + x) / F.size("xs")).alias("mean"))
 
 
 def bootstrap_excess(a: DataFrame, b: DataFrame, iterations: int = 5000, seed: int = 42, confidence: float = 0.95) -> DataFrame:

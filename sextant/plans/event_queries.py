@@ -8,15 +8,22 @@ from pyspark.sql import functions as F
 from ..functions import decisions
 from ..operators import selection as sel
 from ..operators import stats
+from ..session import written
+from ..sources.feeds import Settings
 from . import standins as s
 from .registry import query
 from .series_queries import rounded
 
 #: Wide bands, for which the strict and the relaxed branch have events.
 WIDE = sel.AnalogSettings(level=60.0, change=90.0, high=0.5, ret_20=0.5, sma_200=0.5)
-NARROW = sel.AnalogSettings()
-#: Of the queries with SQL, whose text it is part of; the reference, and ``agg09_bootstrap_numpy``, take 5,000.
-ITERATIONS = 200
+NARROW = sel.AnalogSettings()  # the defaults
+OPTIONS = Settings()
+
+
+def daily(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Signals and the current row: daily tables of a few thousand rows, written
+    once for a query, as many branches of its plan read them."""
+    return written(s.signals(spark, sf_dir), "signals"), written(s.current(spark, sf_dir), "current")
 
 
 def _hops(source: str, name: str, days: int = 10, key: str | None = None) -> str:
@@ -54,7 +61,7 @@ FROM specs LEFT JOIN m USING (ord)"""
 )
 def agg10_event_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-04 to AGG-07, AGG-10, AGG-11: nineteen overlapping groups, each with its own cooldown."""
-    return rounded(stats.event_study(s.signals(spark, sf_dir)))
+    return rounded(stats.event_study(daily(spark, sf_dir)[0], OPTIONS.specs(), OPTIONS.cooldown))
 
 
 @query(
@@ -66,9 +73,13 @@ def agg04_outcomes_by_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(s.signals(spark, sf_dir).groupBy("regime").agg(*stats.outcome_measures()))
 
 
-_DISTANCE = " + ".join(
-    f"CASE WHEN now.{c} IS NULL THEN 0.0::DOUBLE ELSE coalesce(abs(e.{c} - now.{c}) / {scale}::DOUBLE, 1.5) * {weight}::DOUBLE END" for c, (scale, weight) in NARROW.scales().items()
-)
+def _distance(settings: sel.AnalogSettings) -> str:
+    return " + ".join(
+        f"CASE WHEN now.{c} IS NULL THEN 0.0::DOUBLE ELSE coalesce(abs(e.{c} - now.{c}) / {scale}::DOUBLE, 1.5) * {weight}::DOUBLE END" for c, (scale, weight) in settings.scales().items()
+    )
+
+
+_DISTANCE = _distance(NARROW)
 _SAME = "same AS (SELECT signals.* FROM signals, now WHERE fwd_5 IS NOT NULL AND signals.regime = now.regime)"
 
 
@@ -109,6 +120,40 @@ def sel02_nearest_analogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sel.nearest_analogs(s.signals(spark, sf_dir), s.current(spark, sf_dir), NARROW), "day", "analog_distance", "fwd_5")
 
 
+def _analogs(settings: sel.AnalogSettings) -> str:
+    """The strict events if there are enough, else the relaxed ones, else the nearest."""
+    banded = lambda name, bands: f"""{name}_in AS MATERIALIZED (SELECT e.day FROM same e, now WHERE {_banded(bands)}), {_hops(f"{name}_in", f"{name}_days")},
+{name} AS (SELECT day FROM {name}_in WHERE day IN (SELECT day FROM {name}_days) ORDER BY day LIMIT {settings.most})"""
+    return f"""{s.CURRENT}, {_SAME}, {banded("strict", settings.strict())}, {banded("relaxed", settings.relaxed())},
+ranked AS (SELECT e.day, e.fwd_5, e.fwd_20, e.max_drawdown_20, {_distance(settings)} AS dist FROM same e, now),
+nearest AS (
+  SELECT unnest(list_reduce(list_prepend([]::DATE[], list_transform(list(day ORDER BY dist, day), lambda d: [d])),
+    lambda k, x: CASE WHEN len(k) < {settings.most} AND len(list_filter(k, lambda y: abs(date_diff('day', y, x[1])) < {settings.cooldown})) = 0 THEN k || x ELSE k END)) AS day
+  FROM ranked WHERE dist <= {settings.cap}),
+method AS (SELECT CASE WHEN (SELECT count(*) FROM strict) >= {settings.least} THEN 'strict' WHEN (SELECT count(*) FROM relaxed) >= {settings.least} THEN 'relaxed' ELSE 'nearest' END AS method),
+analogs AS (SELECT ranked.*, method FROM ranked, method WHERE CASE method WHEN 'strict' THEN day IN (SELECT day FROM strict) WHEN 'relaxed' THEN day IN (SELECT day FROM relaxed) ELSE day IN (SELECT day FROM nearest) END)"""
+
+
+def _found(spark: SparkSession, sf_dir: str, settings: sel.AnalogSettings) -> DataFrame:
+    analogs, method = sel.find_analogs(*daily(spark, sf_dir), settings)
+    return rounded(analogs.withColumn("method", F.lit(method)), "day", "method", "analog_distance", "fwd_5")
+
+
+CHOSEN = "SELECT day, method, CASE WHEN method = 'nearest' THEN round(dist, 6) END AS analog_distance, round(fwd_5, 6) AS fwd_5 FROM analogs"
+
+
+@query(f"WITH RECURSIVE {_analogs(NARROW)} {CHOSEN}")
+def sel04_find_analogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SEL-04, PRJ-12: strict, relaxed or nearest events, whichever are enough; the distance of the nearest only."""
+    return _found(spark, sf_dir, OPTIONS.analogs())
+
+
+@query(f"WITH RECURSIVE {_analogs(WIDE)} {CHOSEN}")
+def sel04_find_analogs_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with bands so wide that the strict events are enough."""
+    return _found(spark, sf_dir, WIDE)
+
+
 BASELINE = f"{_hops('same', 'base_days')}, baseline AS (SELECT * FROM same WHERE day IN (SELECT day FROM base_days))"
 
 
@@ -132,7 +177,7 @@ def agg08_wilson_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _means(source: str, side: str, name: str) -> str:
     return f"""{name}_x AS (SELECT list(fwd_5 ORDER BY fwd_5) AS xs FROM {source} WHERE fwd_5 IS NOT NULL),
 {name} AS (SELECT i AS iter, avg(xs[(('0x' || substr(md5('42:{side}:' || i || ':' || p), 1, 8))::BIGINT % len(xs))::INT + 1]) AS m
-  FROM {name}_x, range({ITERATIONS}) t(i), unnest(range(len(xs))) u(p) GROUP BY i)"""
+  FROM {name}_x, range({OPTIONS.iterations}) t(i), unnest(range(len(xs))) u(p) GROUP BY i)"""
 
 
 BOOTSTRAP = f"""{_means('analogs', 'a', 'boot_a')}, {_means('baseline', 'b', 'boot_b')},
@@ -141,33 +186,41 @@ ci AS (SELECT CASE WHEN (SELECT count(fwd_5) FROM analogs) >= 2 AND (SELECT coun
        FROM boot_a a JOIN boot_b b USING (iter))"""
 
 
-def _interval(analogs: DataFrame, baseline: DataFrame) -> DataFrame:
-    return stats.bootstrap_excess(analogs.select(F.col("fwd_5").alias("x")), baseline.select(F.col("fwd_5").alias("x")), ITERATIONS)
+def _interval(analogs: DataFrame, baseline: DataFrame, settings: Settings = OPTIONS) -> DataFrame:
+    x = F.col("fwd_5").alias("x")
+    return stats.bootstrap_excess(analogs.select(x), baseline.select(x), settings.iterations, settings.seed)
 
 
-@query(f"WITH RECURSIVE {NEAREST}, {BASELINE}, {BOOTSTRAP} SELECT round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM ci")
+@query(f"WITH RECURSIVE {_analogs(NARROW)}, {BASELINE}, {BOOTSTRAP} SELECT round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM ci")
 def agg09_bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-09: interval of the difference of resampled means, draws from md5."""
-    events, now = s.signals(spark, sf_dir), s.current(spark, sf_dir)
-    return rounded(_interval(sel.nearest_analogs(events, now, NARROW), sel.regime_baseline(events, now)))
+    events, now = daily(spark, sf_dir)
+    analogs = written(sel.find_analogs(events, now, OPTIONS.analogs())[0], "analogs")
+    return rounded(_interval(analogs, written(sel.regime_baseline(events, now), "baseline")))
 
 
 def agg09_bootstrap_numpy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events, now = s.signals(spark, sf_dir), s.current(spark, sf_dir)
-    return stats.bootstrap_excess_numpy(sel.nearest_analogs(events, now, NARROW).select(F.col("fwd_5").alias("x")), sel.regime_baseline(events, now).select(F.col("fwd_5").alias("x")))
+    events, now = daily(spark, sf_dir)
+    x = F.col("fwd_5").alias("x")
+    return stats.bootstrap_excess_numpy(sel.nearest_analogs(events, now, NARROW).select(x), sel.regime_baseline(events, now).select(x), OPTIONS.iterations, OPTIONS.seed)
 
 
 query()(agg09_bootstrap_numpy)
 
 
-def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # daily tables of a few thousand rows, read by ten branches of the plan
-    events, now = s.signals(spark, sf_dir).persist(), s.current(spark, sf_dir).persist()
-    analogs, baseline = sel.find_analogs(events, now, NARROW)[0], sel.regime_baseline(events, now)
-    return decisions.decide(stats.verdict_summary(analogs, baseline, now, _interval(analogs, baseline)))
+def decided(events: DataFrame, now: DataFrame, settings: Settings = OPTIONS) -> DataFrame:
+    """The whole decision over signals and the current row, under one set of options."""
+    chosen = settings.analogs()
+    analogs = written(sel.find_analogs(events, now, chosen)[0], "analogs")
+    baseline = written(sel.regime_baseline(events, now, chosen), "baseline")
+    return written(decisions.decide(stats.verdict_summary(analogs, baseline, now, _interval(analogs, baseline, settings)), settings.rules()), "decided")
+
+
+def verdict(spark: SparkSession, sf_dir: str, settings: Settings = OPTIONS) -> DataFrame:
+    return decided(*daily(spark, sf_dir), settings)
 
 
-VERDICT = f"""{NEAREST}, {BASELINE}, {BOOTSTRAP},
+VERDICT = f"""{_analogs(NARROW)}, {BASELINE}, {BOOTSTRAP},
 facts AS (
   SELECT a.*, b.baseline, a.mean5 - b.base5 AS excess, ci_low, ci_high,
          (coalesce(off_high_252 >= -0.01, false)::INT + coalesce(ret_20 >= 0.05, false)::INT + coalesce(vs_sma_50 >= 0.03, false)::INT + coalesce(vs_sma_200 >= 0.12, false)::INT) AS points
@@ -206,14 +259,14 @@ SELECT position, label, round(value, 6) AS value, requirement, coalesce(passed,
 )
 def dec07_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DEC-07, AGG-14: the eight checks as rows."""
-    return rounded(decisions.checks(verdict(spark, sf_dir)))
+    return rounded(decisions.checks(verdict(spark, sf_dir), OPTIONS.rules()))
 
 
-def tiles(events: DataFrame, now: DataFrame, decided: DataFrame) -> DataFrame:
+def tiles(events: DataFrame, now: DataFrame, found: DataFrame) -> DataFrame:
     """DEC-09: figures with a label and a note, as rows of text."""
     from ..functions.scalars import number_text, percent_text, regime_label
 
-    one = decided.join(F.broadcast(now.drop("points", "extension"))).join(F.broadcast(events.agg(F.count("fwd_5").alias("completed"))))
+    one = found.join(F.broadcast(now.drop("points", "extension"))).join(F.broadcast(events.agg(F.count("fwd_5").alias("completed"))))
     cells = [
         ("Score", number_text(F.col("v")), "latest"), ("Change 5 observations", number_text(F.col("chg_5")), "score points"), ("Regime", regime_label(F.col("regime")), "of the market"),
         ("From yearly high", percent_text(F.col("off_high_252")), "close"), ("Against 200-day average", percent_text(F.col("vs_sma_200")), "close"), ("Return 20 sessions", percent_text(F.col("ret_20")), "past"),
@@ -237,7 +290,8 @@ SELECT u.label, u.value, u.note FROM (SELECT unnest([
  {{'label': 'Completed signals', 'value': completed::VARCHAR, 'note': 'all regimes'}}]) AS u FROM one)"""
 )
 def dec09_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiles(s.signals(spark, sf_dir), s.current(spark, sf_dir), verdict(spark, sf_dir))
+    events, now = daily(spark, sf_dir)
+    return tiles(events, now, decided(events, now))
 
 
 @query(
@@ -257,6 +311,41 @@ SELECT warning FROM (SELECT unnest([CASE WHEN gaps > 0 THEN 'Score series has '
 )
 def dec08_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DEC-08."""
+    events, now = daily(spark, sf_dir)
+    return warnings(spark, sf_dir, events, decided(events, now))
+
+
+def warnings(spark: SparkSession, sf_dir: str, events: DataFrame, found: DataFrame) -> DataFrame:
     gaps = stats.gap_count(s.sentiment(spark, sf_dir)).select("gaps")
-    done = s.signals(spark, sf_dir).agg(F.count("fwd_5").alias("completed"))
-    return decisions.warnings(verdict(spark, sf_dir).join(F.broadcast(gaps)).join(F.broadcast(done)))
+    done = events.agg(F.count("fwd_5").alias("completed"))
+    return decisions.warnings(found.join(F.broadcast(gaps)).join(F.broadcast(done)))
+
+
+def report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested report as one JSON text."""
+    from ..sources.sinks import report_json
+
+    events, now = daily(spark, sf_dir)
+    found = decided(events, now)
+    days = s.sentiment(spark, sf_dir)
+    coverage = days.agg(F.min("day").alias("first_date"), F.max("day").alias("last_date"), F.count("*").alias("daily_observations"))
+    coverage = coverage.join(F.broadcast(events.agg(F.count("fwd_5").alias("completed_5d_outcomes")))).join(F.broadcast(stats.gap_count(days).select(F.col("gaps").alias("gaps_over_7_days"))))
+    latest = now.select("day", "d", "v", "chg_5", "regime", "off_high_252", "ret_20", "vs_sma_200", "vol_20")
+    return report_json(coverage, latest, found, warnings(spark, sf_dir, events, found), data_source="tables")
+
+
+@query(
+    f"""WITH RECURSIVE {VERDICT}, g AS (SELECT date_diff('day', lag(day) OVER (ORDER BY day), day) AS gap FROM sentiment)
+SELECT (SELECT min(day)::VARCHAR FROM sentiment) AS first_date, (SELECT count(*) FROM sentiment) AS observations, (SELECT count(fwd_5) FROM signals) AS completed, (SELECT count_if(gap > 7) FROM g)::BIGINT AS gaps,
+ (SELECT day::VARCHAR FROM now) AS latest, (SELECT v FROM now) AS v, (SELECT regime FROM now) AS regime, action, sample, round(ci_low, 6) AS ci_low, round(mean5, 6) AS mean5,
+ ((SELECT count_if(gap > 7) FROM g) > 0)::INT + ((SELECT count(fwd_5) FROM signals) < 100)::INT + (sample < need_sample)::INT + (extension = 'High')::INT AS warnings FROM verdict"""
+)
+def snk05_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-05: the nested report, read back from its JSON."""
+    at = lambda path, kind="string": F.get_json_object("json", f"$.{path}").cast(kind)
+    return report(spark, sf_dir).select(
+        at("coverage.first_date").alias("first_date"), at("coverage.daily_observations", "long").alias("observations"), at("coverage.completed_5d_outcomes", "long").alias("completed"),
+        at("coverage.gaps_over_7_days", "long").alias("gaps"), at("latest.day").alias("latest"), at("latest.v", "double").alias("v"), at("latest.regime").alias("regime"), at("verdict.action").alias("action"),
+        at("verdict.sample", "long").alias("sample"), F.round(at("verdict.ci_low", "double"), 6).alias("ci_low"), F.round(at("verdict.mean5", "double"), 6).alias("mean5"),
+        F.size(F.from_json(at("warnings"), "array<string>")).alias("warnings"),
+    )

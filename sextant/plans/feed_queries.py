@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars as f
+from ..operators import dataset
+from ..operators.refresh import refresh
 from ..operators.upsert import merge, newest
+from ..session import shared_root, written
 from ..sources import delimited, feeds
 from ..streaming import changes as ch
 from . import standins as s
 from .registry import query, table
+from .series_queries import DIGITS, _price_sql
 
 
 def _events_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,21 +64,23 @@ def src12_inferred_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delimited.parse_daily(_events_text(spark, sf_dir).select("event_id", "ts", "value"), order="ts")
 
 
-@query(f"WITH {s.SESSIONS} SELECT d AS date, close AS open, close AS high, close AS low, close FROM sessions")
+@query(f"WITH {s.SESSIONS} SELECT d AS date, CASE WHEN day(d) % 2 = 0 THEN open END AS open, close AS high, close AS low, close FROM sessions WHERE day(d) <> 13")
 def src13_inferred_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-13: missing open, high and low columns are the close."""
-    base = s.sessions(spark, sf_dir).select(F.col("d").cast("string").alias("date"), F.col("close").cast("string").alias("close"))
+    """SRC-13: missing high and low columns are the close; a blank open stays blank, a blank close drops the row."""
+    given = lambda c, test: F.when(test, F.col(c).cast("string")).otherwise(F.lit(" ")).alias(c)
+    base = s.sessions(spark, sf_dir).select(F.col("d").cast("string").alias("date"), given("open", F.day("d") % 2 == 0), given("close", F.day("d") != 13))
     return delimited.parse_prices(base)
 
 
-@query(f"WITH {s.SESSIONS}, {s.SENTIMENT} SELECT 'score' AS kind, day, v AS value FROM sentiment UNION ALL SELECT 'price', d, close FROM sessions")
+@query(f"WITH {s.SESSIONS}, {s.SENTIMENT} SELECT 'score' AS kind, day, v AS value, NULL::DOUBLE AS open FROM sentiment UNION ALL SELECT 'price', d, close, CASE WHEN day(d) % 2 = 0 THEN open END FROM sessions")
 def src14_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-14: one wide table of text split into both series."""
     text = lambda df, **names: df.select(*(F.col(c).cast("string").alias(n) for n, c in names.items()))
     scores = text(s.sentiment(spark, sf_dir), score_date_utc="day", score_value="v")
-    prices = text(s.sessions(spark, sf_dir), price_date="d", price_open="open", price_high="high", price_low="low", price_close="close")
+    sessions = s.sessions(spark, sf_dir).withColumn("open", F.when(F.day("d") % 2 == 0, F.col("open")))
+    prices = text(sessions, price_date="d", price_open="open", price_high="high", price_low="low", price_close="close")
     daily, market = delimited.parse_combined(scores.unionByName(prices, allowMissingColumns=True))
-    return daily.select(F.lit("score").alias("kind"), "day", "value").union(market.select(F.lit("price"), "date", "close"))
+    return daily.select(F.lit("score").alias("kind"), "day", "value", F.lit(None).cast("double").alias("open")).union(market.select(F.lit("price"), "date", "close", "open"))
 
 
 @query(
@@ -88,6 +94,19 @@ def src08_price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delimited.normalise_history(raw, "X", "test")
 
 
+@query(f"WITH {s.SESSIONS} SELECT d AS date, 'X' AS symbol, open, high, NULL::DOUBLE AS low, close, NULL::DOUBLE AS adj_close, 7.0::DOUBLE AS volume, 'test' AS data_source FROM sessions")
+def src06_price_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-06, AGG-02: a cache file read back; unreadable numbers are null, the last row of a date counts."""
+    text = s.sessions(spark, sf_dir).select(
+        F.col("d").cast("string").alias("date"), F.lit("X").alias("symbol"), *(F.col(c).cast("string").alias(c) for c in ("open", "high")), F.lit("none").alias("low"),
+        F.col("close").cast("string").alias("close"), F.lit("").alias("adj_close"), F.lit("7").alias("volume"), F.lit("test").alias("data_source"),
+    )
+    stale = text.withColumns({"close": F.lit("999999"), "open": F.lit("1")})
+    path = f"{shared_root(spark)}/cache-{uuid.uuid4().hex}"
+    stale.withColumn("late", F.lit(0)).unionByName(text.withColumn("late", F.lit(1))).orderBy("late", "date").coalesce(1).drop("late").write.option("header", True).csv(path)
+    return delimited.load_prices(spark, path)
+
+
 @query("SELECT floor(arg_max(value, (ts, event_id)) + 0.5)::INT AS latest FROM events WHERE value IS NOT NULL")
 def src19_latest_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-19, SCA-08: the newest value, rounded half up."""
@@ -110,13 +129,13 @@ def agg03_merge_intraday(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH o AS (SELECT user_id, ts, value, 0 AS prio FROM events WHERE event_id % 2 = 0 UNION ALL SELECT user_id, date_trunc('day', ts), value + 1, 1 FROM events WHERE event_id % 3 = 0)
+    """WITH o AS (SELECT user_id, ts, value, 0 AS prio FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT user_id, date_trunc('day', ts), value + 1, 1 FROM events WHERE event_id % 3 = 0)
 SELECT user_id, arg_max(value, (ts, prio, value)) AS v, max(ts) AS ts FROM o GROUP BY 1"""
 )
 def jon07_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON-07, SET-02: newest source time wins, new rows win ties."""
+    """JON-07, SET-02: newest source time wins, new rows win ties. Both sides together are all events."""
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    old = e.where("event_id % 2 = 0").select("user_id", "ts", F.col("value").alias("v"))
+    old = e.where("event_id % 3 <> 0").select("user_id", "ts", F.col("value").alias("v"))
     new = e.where("event_id % 3 = 0").select("user_id", F.date_trunc("day", "ts").alias("ts"), (F.col("value") + 1).alias("v"))
     last = lambda df: newest(df, ["user_id"], ["ts", "v"])
     return merge(last(old), last(new), ["user_id"], ["ts"]).select("user_id", "v", "ts")
@@ -133,12 +152,7 @@ def _coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(CHANGES)
 def str02_changes_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-02, SNK-10, WIN-22 by series."""
-    return ch.changes(_coarse(spark, sf_dir), ["event_type"], ["ts", "event_id"]).select("event_type", "ts", "event_id", "v")
-
-
-def _shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share, or a temporary one in local mode."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sextant-")).rstrip("/")
+    return ch.changes(_coarse(spark, sf_dir), ["event_type"], ["ts", "event_id"], unit="day").select("event_type", "ts", "event_id", "v")
 
 
 def _run(spark: SparkSession, sf_dir: str, sink, columns: str, build=lambda x: x, mode: str = "append") -> DataFrame:
@@ -146,7 +160,7 @@ def _run(spark: SparkSession, sf_dir: str, sink, columns: str, build=lambda x: x
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     stream = stream.select("event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("v"))
-    path = f"{_shared_root(spark)}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
     running = build(stream).writeStream.foreachBatch(sink(path)).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.read.parquet(f"{path}/rows").select(*columns.split())
@@ -164,7 +178,122 @@ def str03_newest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, ch.newest_sink, "event_type day ts event_id v", ch.newest_stream, "complete")
 
 
-@query()
+#: One row of a series after another, with the state of both alerts before and after it.
+ALERTS = """WITH RECURSIVE e AS (
+  SELECT event_type, ts, event_id, value AS v, CASE WHEN value <= 25 THEN 'low' WHEN value >= 75 THEN 'high' ELSE 'normal' END AS kind,
+         row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events WHERE value IS NOT NULL AND isfinite(value)),
+w AS (
+  SELECT event_type, 0::BIGINT AS rn, NULL::TIMESTAMP AS ts, NULL::BIGINT AS event_id, NULL::DOUBLE AS v, NULL::VARCHAR AS kind, false AS was_low, false AS was_high, false AS notify,
+         false AS low_open, NULL::DATE AS low_day, NULL::DOUBLE AS low_value, false AS high_open, NULL::DATE AS high_day, NULL::DOUBLE AS high_value FROM e WHERE rn = 1
+  UNION ALL
+  SELECT event_type, rn, ts, event_id, v, kind, low_open, high_open, notify,
+         CASE kind WHEN 'low' THEN true WHEN 'normal' THEN false ELSE low_open END, CASE WHEN kind = 'low' AND notify THEN ts::DATE ELSE low_day END, CASE WHEN kind = 'low' AND notify THEN v ELSE low_value END,
+         CASE kind WHEN 'high' THEN true WHEN 'normal' THEN false ELSE high_open END, CASE WHEN kind = 'high' AND notify THEN ts::DATE ELSE high_day END, CASE WHEN kind = 'high' AND notify THEN v ELSE high_value END
+  FROM (SELECT e.*, w.low_open, w.low_day, w.low_value, w.high_open, w.high_day, w.high_value,
+               CASE e.kind WHEN 'low' THEN w.low_day IS NULL OR w.low_day <> e.ts::DATE OR abs(e.v - w.low_value) >= 5
+                           WHEN 'high' THEN w.high_day IS NULL OR w.high_day <> e.ts::DATE OR abs(e.v - w.high_value) >= 5 ELSE false END AS notify
+        FROM w JOIN e ON e.event_type = w.event_type AND e.rn = w.rn + 1) x)
+SELECT event_type, ts, event_id, v, kind, CASE WHEN CASE kind WHEN 'low' THEN was_low ELSE was_high END THEN 'update' ELSE 'open' END AS action, notify FROM w
+WHERE kind IN ('low', 'high') AND (notify OR NOT CASE kind WHEN 'low' THEN was_low ELSE was_high END)
+UNION ALL SELECT event_type, ts, event_id, v, 'low', 'close', false FROM w WHERE kind = 'normal' AND was_low
+UNION ALL SELECT event_type, ts, event_id, v, 'high', 'close', false FROM w WHERE kind = 'normal' AND was_high"""
+
+
+@query(ALERTS)
 def str07_alerts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-07: alerts opened, told again and closed, as a stream with state."""
     return _run(spark, sf_dir, ch.alerts_sink, "event_type ts event_id v kind action notify")
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("v")
+    return s.sentiment(spark, sf_dir).select("day", F.col("day").alias("market_day"), F.col("day").cast("timestamp").alias("source_time"), v.alias("value"), f.rating(v).alias("rating"))
+
+
+def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = (F.lit("X").alias("symbol"), "open", "high", "low", "close", F.col("close").alias("adj_close"), F.lit(None).cast("double").alias("volume"), F.lit("made").alias("data_source"))
+    return s.walk(spark, sf_dir).select(F.col("d").alias("date"), *named)
+
+
+def _dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores from the first session on: earlier ones have none to meet."""
+    prices = written(_prices(spark, sf_dir), "prices")
+    first = prices.agg(F.min("date").alias("first"))
+    scores = _scores(spark, sf_dir).join(F.broadcast(first)).where("day >= first").drop("first")
+    return dataset.combined_dataset(scores, prices)
+
+
+_R = dataset.PRICE_FEATURES | dataset.OUTCOMES
+_DIGITS = {k: DIGITS.get(k, 6) for k in _R}
+_NAMED = ", ".join(
+    [f"{x} AS {n}" for x, n in (("date", "score_date_utc"), ("date", "score_market_date"), ("stamp", "score_source_timestamp_utc"), ("v", "score_value"), ("rating", "score_rating"))]
+    + [f"round({k}, 6) AS score_{n}" for k, n in dataset.SCORE_FEATURES.items()]
+    + ["dayname(date) AS score_day_of_week", "d AS price_date", "date_diff('day', d, date)::INT AS price_match_lag_calendar_days", "d = date AS price_same_trading_day", "dayname(d) AS price_day_of_week", "'X' AS price_symbol"]
+    + [f"{c} AS price_{c}" for c in ("open", "high", "low", "close")]
+    + ["close AS price_adj_close", "NULL::DOUBLE AS price_volume", "'made' AS price_data_source"]
+    + [f"round({k.replace('past_', 'return_')}, {_DIGITS[k]}) AS price_{n}" for k, n in dataset.PRICE_FEATURES.items() if k != "data_source"]
+    + [f"round({k}, 6) AS {n}" for k, n in dataset.OUTCOMES.items()]
+)
+_RATED = "CASE WHEN v <= 24 THEN 'extreme fear' WHEN v <= 44 THEN 'fear' WHEN v <= 55 THEN 'neutral' WHEN v <= 75 THEN 'greed' ELSE 'extreme greed' END AS rating"
+DATASET = f"""{s.WALK}, {_price_sql('walk', 'ORDER BY d')}, {s.SENTIMENT},
+kept AS (SELECT day AS date, v FROM sentiment WHERE day >= (SELECT min(d) FROM walk)),
+scored AS (
+  SELECT date, date::TIMESTAMP AS stamp, v, {_RATED}, v - lag(v, 1) OVER (ORDER BY date) AS change_1, v - lag(v, 5) OVER (ORDER BY date) AS change_5,
+         {s.guarded("avg", "v", 5, order="date")} AS sma_5, {s.guarded("avg", "v", 20, order="date")} AS sma_20x,
+         (v - ({s.guarded("avg", "v", 20, order="date")})) / nullif({s.guarded("stddev_samp", "v", 20, order="date")}, 0) AS z_20 FROM kept)"""
+# sma_20 of the scores and of the prices meet in one row
+DATASET_SQL = f"WITH {DATASET} SELECT {_NAMED.replace('round(sma_20, 6) AS score_sma_20d', 'round(sma_20x, 6) AS score_sma_20d')} FROM scored ASOF JOIN g ON scored.date >= g.d"
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    held = {n: k for k, n in dataset.OUTCOMES.items()} | {f"price_{n}": k for k, n in dataset.PRICE_FEATURES.items()} | {f"score_{n}": k for k, n in dataset.SCORE_FEATURES.items()}
+    prices = {f"price_{n}" for n in dataset.PRICE_FEATURES.values()}
+    return df.select(*(F.round(c, DIGITS.get(held[c], 6) if c in prices else 6).alias(c) if c in held and kind == "double" else F.col(c) for c, kind in df.dtypes))
+
+
+@query(DATASET_SQL)
+def prj02_combined_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-02, PRJ-03, JON-01, JON-03, SCA-23: all 53 columns of the combined dataset."""
+    return _shown(_dataset(spark, sf_dir))
+
+
+@query(
+    f"""WITH {DATASET} SELECT strftime(date, '%Y-%m-%d') AS score_date_utc, strftime(stamp, '%Y-%m-%dT%H:%M:%SZ') AS score_source_timestamp_utc, strftime(d, '%Y-%m-%d') AS price_date, printf('%.6f', v) AS score_value,
+ coalesce(printf('%.6f', round(change_5, 6)), '') AS score_change_5d, rating AS score_rating, printf('%.6f', close) AS price_close, '' AS price_volume, coalesce(printf('%.6f', round(return_20, 6)), '') AS price_return_20d_pct, 53 AS columns
+FROM scored ASOF JOIN g ON scored.date >= g.d"""
+)
+def snk02_dataset_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-02, SRT-02: the dataset as text: dates, six-digit numbers, empty for null."""
+    from ..sources.sinks import text_rows
+
+    rows = text_rows(_shown(_dataset(spark, sf_dir)))
+    columns = ("score_date_utc", "score_source_timestamp_utc", "price_date", "score_value", "score_change_5d", "score_rating", "price_close", "price_volume", "price_return_20d_pct")
+    return rows.select(*columns, F.lit(len(rows.columns)).alias("columns"))
+
+
+@query(
+    f"""WITH {s.WALK}, {s.SENTIMENT}, kept AS (SELECT day FROM sentiment WHERE day BETWEEN (SELECT min(d) FROM walk) AND (SELECT max(d) FROM walk))
+SELECT step, status, fetched, cache_written, output_written, (SELECT count(*) FROM walk) AS cached, (SELECT count(*) FROM kept) AS rows FROM (VALUES
+  (0, 'no_scores', false, false, false), (1, 'ok', true, true, true), (2, 'ok', false, false, false), (3, 'ok', true, false, false), (4, 'ok', true, true, true)) t(step, status, fetched, cache_written, output_written)"""
+)
+def str05_cache_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-04 to STR-06, STR-09, SNK-01: no scores, a first fetch, a current cache, a forced one without news, a revised row."""
+    prices = written(_prices(spark, sf_dir), "prices")
+    first, last = feeds.bounds(prices, "date")
+    scores = written(_scores(spark, sf_dir).where(F.col("day").between(F.lit(first), F.lit(last))), "scores")
+    root = f"{shared_root(spark)}/refresh-{uuid.uuid4().hex}"
+
+    def fetch(start: date, end: date, change: float = 0.0) -> DataFrame:
+        close = F.when(F.col("date") == F.lit(last), F.col("close") + change).otherwise(F.col("close"))
+        return prices.withColumn("close", close).where((F.col("date") >= F.lit(start)) & (F.col("date") < F.lit(end)))
+
+    revised = lambda start, end: fetch(start, end, 1.0)
+    steps = [(scores.limit(0), fetch, {}), (scores, fetch, {}), (scores, fetch, {}), (scores, fetch, {"force": True}), (scores, revised, {"force": True})]
+    done = []
+    for i, (rows, load, more) in enumerate(steps):
+        # context 0: the cache starts at the first session, and no score needs an earlier one; the last score is the day to be current at
+        got = refresh(spark, rows, f"{root}/cache", f"{root}/output", load, min(last, date(1990, 1, 1)), **({"context": 0} | more))
+        done.append((i, got["status"], got["fetched"] is not None, got["cache_written"], got["output_written"]))
+    counts = [spark.read.parquet(f"{root}/{x}").count() for x in ("cache", "output")]
+    told = spark.createDataFrame(done, "step int, status string, fetched boolean, cache_written boolean, output_written boolean")
+    return told.withColumns({"cached": F.lit(counts[0]).cast("long"), "rows": F.lit(counts[1]).cast("long")})

@@ -60,14 +60,14 @@ def sca07_age(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""SELECT event_id, floor(value + 0.5)::INT AS shown, regexp_replace(printf('%.6f', value), '\.?0+$', '') AS text, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS zulu,
- date_trunc('second', ts) AS second, date_trunc('millisecond', ts) AS back, (CASE WHEN value BETWEEN 0 AND 100 THEN value END) AS valid, printf('%.2f%%', value) AS percent FROM events"""
+ date_trunc('second', ts) AS second, date_trunc('millisecond', ts) AS back, (CASE WHEN value BETWEEN 0 AND 100 THEN value END) AS valid, coalesce(printf('%.2f%%', value / 100 * 100), 'N/A') AS percent FROM events"""
 )
 def sca08_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCA-08 to SCA-10, SCA-13, SCA-15, SCA-16, SCA-26, SCA-27."""
     v, ts = F.col("value"), F.col("ts").cast("timestamp")
     return table(spark, sf_dir, "events").select(
         "event_id", f.half_up(v).alias("shown"), f.score_text(v).alias("text"), f.zulu(ts).alias("zulu"), f.to_second(ts).alias("second"), f.from_millis(F.unix_millis(ts)).alias("back"),
-        f.valid_score(v.cast("string")).alias("valid"), F.format_string("%.2f%%", v).alias("percent"),
+        f.valid_score(v.cast("string")).alias("valid"), f.percent_text(v / 100, 2).alias("percent"),
     )
 
 
@@ -98,14 +98,15 @@ def sca14_parse_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT page_id, md5(regexp_replace(html, '<[^>]+>', chr(10), 'g')) AS text_md5, regexp_extract(html, '(?i)(\d+\s+(?:minute|hour|day)s?\s+ago)', 1) AS age,
+    r"""SELECT page_id, md5(regexp_replace(html, '<[^>]+>', chr(10), 'g')) AS text_md5, regexp_extract(html, '(?i)(\b(?:\d+\s+)?(?:minute|hour|day)s?\s+ago\b|a\s+minute\s+ago)', 1) AS age,
+ regexp_extract(html, '(?is)Stock\s*(\d{1,3})\s*[\r\n]+\s*[+\-]?\d+\s*points', 1) AS points,
  regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title FROM pages"""
 )
 def src18_html_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-18, SCA-32, SCA-33."""
     html = F.col("html")
     return table(spark, sf_dir, "pages").select(
-        "page_id", F.md5(f.strip_tags(html)).alias("text_md5"), f.relative_age(html).alias("age"), F.regexp_extract(html, "(?is)<title>(.*?)</title>", 1).alias("title")
+        "page_id", F.md5(f.strip_tags(html)).alias("text_md5"), f.relative_age(html).alias("age"), f.value_before_points(html, "Stock").alias("points"), F.regexp_extract(html, "(?is)<title>(.*?)</title>", 1).alias("title")
     )
 
 
@@ -130,20 +131,28 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(*(F.col(c).cast("string").alias(c) for c in ("event_id", "ts", "event_type", "value", "user_id")))
 
 
-@query(
-    "SELECT round(avg((event_id BETWEEN 0 AND 100)::INT), 6) AS event_id, round(avg((value BETWEEN 0 AND 100)::INT), 6) AS value, round(avg((user_id BETWEEN 0 AND 100)::INT), 6) AS user_id, 0.0::DOUBLE AS event_type, 0.0::DOUBLE AS ts FROM events"
-)
+def _picked(shares: str, least: float) -> str:
+    return f"""SELECT name, round(share, 6) AS share, share >= {least} AND row_number() OVER (ORDER BY share DESC, place) = 1 AS picked FROM (
+  SELECT unnest(['event_id', 'ts', 'event_type', 'value', 'user_id']) AS name, unnest([1, 2, 3, 4, 5]) AS place, unnest({shares}) AS share FROM events)"""
+
+
+def _told(spark: SparkSession, found: dict[str, float], picked: str | None) -> DataFrame:
+    """One row for each column of a table."""
+    return spark.createDataFrame([(c, round(x, 6), c == picked) for c, x in found.items()], "name string, share double, picked boolean")
+
+
+@query(_picked("[avg((event_id BETWEEN 0 AND 100)::INT), 0, 0, avg(coalesce((value BETWEEN 0 AND 100)::INT, 0)), avg((user_id BETWEEN 0 AND 100)::INT)]", 0.75))
 def prj08_numeric_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ-08, AGG-12: the share of values in 0 to 100 by column, one pass."""
+    """PRJ-08, AGG-12: the share of values in 0 to 100 by column, one pass, and the column picked by it."""
     df = _texts(spark, sf_dir)
-    return df.agg(*(F.round(F.avg(F.coalesce(schema.number(F.col(c)).between(0, 100), F.lit(False)).cast("double")), 6).alias(c) for c in df.columns))
+    return _told(spark, schema.shares(df, lambda c: schema.number(c).between(0, 100)), schema.pick_numeric(df, []))
 
 
-@query("SELECT 0.0::DOUBLE AS event_id, 0.0::DOUBLE AS value, 0.0::DOUBLE AS user_id, 0.0::DOUBLE AS event_type, round(avg((ts IS NOT NULL)::INT), 6) AS ts FROM events")
+@query(_picked("[0, avg((ts IS NOT NULL)::INT), 0, 0, 0]", 0.6))
 def prj09_date_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ-09: the share of values that parse as dates by column."""
+    """PRJ-09: the share of values that parse as dates by column, and the column picked by it."""
     df = _texts(spark, sf_dir)
-    return df.agg(*(F.round(F.avg(schema.parse_date(F.col(c)).isNotNull().cast("double")), 6).alias(c) for c in df.columns))
+    return _told(spark, schema.shares(df, lambda c: schema.parse_date(c).isNotNull()), schema.pick_date(df))
 
 
 @query("SELECT event_id, value FROM events WHERE value BETWEEN 0 AND 100 AND event_type IS NOT NULL AND trim(event_type) <> '' AND ts::DATE >= (SELECT min(ts::DATE) + 7 FROM events)")
@@ -171,14 +180,6 @@ def snk01_daily_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_rows(s.sentiment(spark, sf_dir).select("day", F.col("v").alias("value"), f.rating(F.col("v")).alias("rating"), F.col("day").cast("timestamp").alias("source_time")))
 
 
-@query(f"WITH {s.CONTEXT} SELECT strftime(d, '%Y-%m-%d') AS d, printf('%.6f', close) AS close, coalesce(printf('%.6f', off_record), '') AS off_record FROM context")
-def snk02_dataset_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-02: dates and six-digit numbers as text, empty for null."""
-    from ..sources.sinks import text_rows
-
-    return text_rows(s.market(spark, sf_dir).select("d", "close", "off_record"))
-
-
 @query(
     """SELECT month(ts) || '/' || day(ts) || '/' || year(ts) AS date, strftime(ts, '%H:%M:%S') AS time, floor(value + 0.5)::INT AS value, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS place
 FROM events WHERE value BETWEEN 0 AND 100"""
@@ -213,3 +214,30 @@ def snk08_alert_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-08, SCA-11, SCA-12, SCA-35."""
     v = F.col("v")
     return s.sentiment(spark, sf_dir).select("day", f.alert_title(v, f.rating(v), f.alert_type(v)).alias("title"), f.alert_body(v, f.rating(v), F.col("day"), 25, 75).alias("body"))
+
+
+@query(
+    """WITH a AS (SELECT event_id, value, ts, ts + to_seconds(event_id * 977 % 400000) AS checked, greatest(0, event_id * 977 % 400000)::BIGINT // 60 AS m FROM events)
+SELECT event_id, strftime(checked, '%m/%d/%Y') AS date, strftime(checked, '%H:%M:%S') AS time, floor(value + 0.5)::INT AS value, CASE WHEN m < 1 THEN 'a minute ago' WHEN m = 1 THEN '1 minute ago' WHEN m < 60 THEN m || ' minutes ago' WHEN m // 60 = 1 THEN '1 hour ago' WHEN m // 60 < 24 THEN (m // 60) || ' hours ago'
+ WHEN m // 1440 = 1 THEN '1 day ago' ELSE (m // 1440) || ' days ago' END AS updated FROM a"""
+)
+def snk07_sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-07, SNK-10, SRC-20: a sheet's rows under its header."""
+    from ..sources.sinks import sheet_rows
+
+    ts = F.date_trunc("second", F.col("ts").cast("timestamp"))
+    rows = table(spark, sf_dir, "events").select("event_id", ts.alias("ts"), F.col("value").alias("v"), F.timestamp_seconds(F.unix_seconds(ts) + F.col("event_id") * 977 % 400000).alias("checked"))
+    return sheet_rows(rows, "event_id")
+
+
+@query(
+    f"""WITH {s.SENTIMENT}, a AS (SELECT day, v, CASE WHEN v <= 25 THEN 'low' WHEN v >= 75 THEN 'high' ELSE 'normal' END AS kind, {RATING.format(x='v')} AS rating FROM sentiment),
+b AS (SELECT *, array_to_string(list_transform(string_split(rating, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS label, regexp_replace(printf('%.4f', v), '\\.?0+$', '') AS shown FROM a)
+SELECT day, shown || ' (' || label || ', ' || strftime(day, '%Y-%m-%d') || ')' AS line, 'alert_type=' || kind || chr(10) || 'alert_title=t' || chr(10) || 'alert_body<<END' || chr(10) || 'b' || chr(10) || 'END' AS outputs FROM b"""
+)
+def snk09_result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-08, SNK-09: the result as a line of text, and as lines of outputs."""
+    from ..sources.sinks import output_lines
+
+    v = F.col("v")
+    return s.sentiment(spark, sf_dir).select("day", f.result_text(v, f.rating(v), F.col("day")).alias("line"), output_lines(F.lit("t"), F.lit("b"), f.alert_type(v)).alias("outputs"))

@@ -14,9 +14,6 @@ class DataValidationError(RuntimeError):
     """Input that breaks its contract."""
 
 
-READING = T.StructType(
-    [T.StructField("day", T.DateType()), T.StructField("value", T.DoubleType()), T.StructField("rating", T.StringType()), T.StructField("source_time", T.TimestampType())]
-)
 PRICES = T.StructType(
     [T.StructField("date", T.DateType()), T.StructField("symbol", T.StringType())]
     + [T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "adj_close", "volume")]
@@ -24,10 +21,8 @@ PRICES = T.StructType(
 )
 # Fixed value: the header of the daily sentiment file.
 DAILY_HEADER = ["Date", "Value", "Rating", "Source Timestamp UTC"]
-# Fixed value: the header of the intraday file.
-INTRADAY_HEADER = ["Date", "Time", "Value", "Site Updated"]
 
-#: Shares of parsed values that a column needs to pass for its role.
+#: Shares of parsed values that a column needs to pass for its role.
 NUMERIC_SHARE, DATE_SHARE = 0.75, 0.6
 DATE_FORMATS = ("yyyy-MM-dd", "M/d/yyyy", "yyyy/M/d")
 

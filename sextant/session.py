@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_ROOTS: dict[str, str] = {}
 
 
 def build_session(app: str = "sextant", master: str | None = None, **conf: str) -> SparkSession:
@@ -23,3 +28,22 @@ def build_session(app: str = "sextant", master: str | None = None, **conf: str)
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share, ``spark.checkpoint.dir``; only a local
+    master, where driver and executors are one process, may leave it unset."""
+    if root := spark.conf.get("spark.checkpoint.dir", None):
+        return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _ROOTS.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="sextant-"))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: what many branches of a
+    plan read is made once, and survives the loss of executors."""
+    path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as f
+from ..functions.decisions import Rules
+from ..operators.selection import AnalogSettings
+from ..operators.stats import DROPS, LEVELS, WINDOWS, study_specs
 from ..operators.upsert import newest
 from ..schema import DataValidationError
 
@@ -75,19 +78,21 @@ def fetch_window(
 ) -> tuple[date, date] | None:
     """What to fetch, half-open, given the score days wanted and the session days cached.
 
-    Nothing without scores, or if the cache reaches the last weekday needed;
-    all if forced, empty or starting late; else from ``overlap`` days before
-    the cache's end, so that revised rows are read again.
+    Nothing without scores, or if the cache reaches from ``context`` days before
+    the first score to the last weekday that today or the last score needs. All
+    of it if the cache is empty or starts later; else, also if forced, from
+    ``overlap`` days before the cache's end, so that revised rows are read again.
     """
     if wanted is None:
         return None
-    first, last = wanted[0] - timedelta(days=context), min(wanted[1], today)
-    needed = last - timedelta(days=max(0, last.weekday() - 4))
-    if force or cached is None or cached[0] > first + timedelta(days=7):
-        return first, last + timedelta(days=1)
-    if cached[1] >= needed:
-        return None
-    return cached[1] - timedelta(days=overlap), last + timedelta(days=1)
+    weekday = lambda day: day - timedelta(days=max(0, day.weekday() - 4))
+    first, needed = wanted[0] - timedelta(days=context), max(weekday(today), weekday(wanted[1]))
+    end = max(today, needed) + timedelta(days=2)
+    if cached is None or cached[0] > first:
+        return first, end
+    if force or cached[1] < needed:
+        return max(first, cached[1] - timedelta(days=overlap)), end
+    return None
 
 
 def bounds(df: DataFrame, column: str) -> tuple[date, date] | None:
@@ -95,9 +100,20 @@ def bounds(df: DataFrame, column: str) -> tuple[date, date] | None:
     return None if row[0] is None else (row[0], row[1])
 
 
+#: Names that option files use for some of the options below.
+OPTION_NAMES = {
+    "cooldown_calendar_days": "cooldown", "minimum_regime_sample": "least", "minimum_regime_baseline_sample": "baseline", "bootstrap_iterations": "iterations", "bootstrap_seed": "seed",
+    "level_thresholds": "levels", "drop_thresholds": "drops", "analog_level_band": "level_band", "analog_change_band": "change_band", "analog_high_distance_band": "high_band",
+    "analog_return_20d_band": "return_band", "analog_sma_200_band": "average_band", "analog_volatility_band": "volatility_band", "max_analog_distance": "farthest", "maximum_analogs": "most",
+    "normal_minimum_excess_5d": "excess", "moderate_extension_minimum_excess_5d": "excess_moderate", "high_extension_minimum_excess_5d": "excess_high", "negative_excess_5d": "excess_negative",
+    "normal_maximum_average_drawdown_20d": "drawdown", "high_extension_maximum_average_drawdown_20d": "drawdown_high",
+}
+
+
 @dataclass(frozen=True)
 class Settings:
-    """Options of the research run; unknown keys of a file are ignored."""
+    """Options of the research run, the only place of their defaults, which are
+    fixed values that results depend on; unknown keys of a file are ignored."""
 
     cooldown: int = 10
     least: int = 20
@@ -105,9 +121,23 @@ class Settings:
     iterations: int = 5000
     seed: int = 42
     horizons: tuple[int, ...] = (1, 5, 10, 20, 60)
-    levels: tuple[float, ...] = (15, 20, 25, 30, 35, 40, 50)
-    drop_windows: tuple[int, ...] = (1, 3, 5)
-    drops: tuple[float, ...] = (5, 10, 15, 20)
+    levels: tuple[float, ...] = LEVELS
+    drop_windows: tuple[int, ...] = WINDOWS
+    drops: tuple[float, ...] = DROPS
+    level_band: float = AnalogSettings.level
+    change_band: float = AnalogSettings.change
+    high_band: float = AnalogSettings.high
+    return_band: float = AnalogSettings.ret_20
+    average_band: float = AnalogSettings.sma_200
+    volatility_band: float = AnalogSettings.vol
+    farthest: float = AnalogSettings.cap
+    most: int = AnalogSettings.most
+    excess: float = Rules.excess
+    excess_moderate: float = Rules.excess_moderate
+    excess_high: float = Rules.excess_high
+    excess_negative: float = Rules.excess_negative
+    drawdown: float = Rules.drawdown
+    drawdown_high: float = Rules.drawdown_high
 
     def __post_init__(self) -> None:
         if not {5, 20} <= set(self.horizons):
@@ -121,4 +151,19 @@ class Settings:
         if not file.exists():
             return cls()
         known = {x.name for x in fields(cls)}
-        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(file.read_text()).items() if k in known})
+        given = {OPTION_NAMES.get(k, k): v for k, v in json.loads(file.read_text()).items()}
+        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items() if k in known})
+
+    def analogs(self) -> AnalogSettings:
+        return AnalogSettings(
+            self.level_band, self.change_band, self.high_band, self.return_band, self.average_band, self.volatility_band, self.farthest, self.most, self.cooldown, self.least
+        )
+
+    def rules(self) -> Rules:
+        return Rules(
+            sample=self.least, baseline=self.baseline, excess=self.excess, excess_moderate=self.excess_moderate, excess_high=self.excess_high,
+            excess_negative=self.excess_negative, drawdown=self.drawdown, drawdown_high=self.drawdown_high,
+        )
+
+    def specs(self) -> list[tuple[int, str, str, float]]:
+        return study_specs(self.levels, self.drop_windows, self.drops)

@@ -5,18 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import scalars as f
 from ..operators.upsert import merge, newest
 from ..operators.windows import Series
+from ..session import written
 
 
-def changes(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "v") -> DataFrame:
-    """Batch: rows whose value differs from the row before in its series."""
-    return df.withColumn("_c", Series(tuple(order), tuple(keys)).changed(F.col(value))).where("_c").drop("_c")
+def changes(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "v", unit: str | None = None) -> DataFrame:
+    """Batch: rows whose value differs from the row before in its series.
+
+    With ``unit``, ``order`` begins with a time, and a window holds one unit of a
+    key, however hot the key; the last value before it comes from a table of
+    one row for each key and unit."""
+    if unit is None:
+        return df.withColumn("_c", Series(tuple(order), tuple(keys)).changed(F.col(value))).where("_c").drop("_c")
+    rows = df.withColumn("_unit", F.date_trunc(unit, order[0]))
+    units = rows.groupBy(*keys, "_unit").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
+    units = units.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_unit").alias("_u"), Series(("_unit",), tuple(keys)).lag(F.col("_last")).alias("_before"))
+    inside = Series(tuple(order), (*keys, "_unit"))
+    rows = rows.withColumns({"_first": inside.position() == 1, "_lag": inside.lag(F.col(value))})
+    same = F.col("_unit").eqNullSafe(F.col("_u"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    before = F.when(F.col("_first"), F.col("_before")[value]).otherwise(F.col("_lag"))
+    return rows.join(units, same).where(~F.col(value).eqNullSafe(before)).select(*df.columns)
 
 
 def changes_stream(stream: DataFrame, key: str = "event_type", time: str = "ts", tie: str = "event_id", value: str = "v") -> DataFrame:
@@ -180,17 +196,38 @@ def newest_sink(path: str) -> Callable[[DataFrame, int], None]:
     return lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/rows")
 
 
-def upsert_sink(path: str, keys: Sequence[str], order: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: merge a batch into the table at ``path``. Late rows
-    count, repeated batches change nothing, and an unchanged table is not rewritten."""
+#: Parts of a table that is merged into; a batch rewrites those that its keys fall in.
+BUCKETS = 64
+
+
+def upsert_sink(path: str, keys: Sequence[str], order: Sequence[str], buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: merge a batch into the table at ``path``, which lies in
+    parts ``_bucket=N`` by a hash of the keys.
+
+    Only parts with keys of the batch are read, and only those whose rows change
+    are rewritten, each in place once its new rows are there. Late rows count; a
+    repeated batch, or one that ended halfway, gives the same table."""
     from ..sources.delimited import exists
-    from ..sources.sinks import recover, write_if_changed
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        recover(spark, path)
-        new = newest(batch, keys, order)
-        merged = merge(spark.read.schema(batch.schema).parquet(path), new, keys, order) if exists(spark, path) else new
-        write_if_changed(merged, path)
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("_bucket")
+        new = written(newest(batch, keys, order).select("*", bucket), "upsert-batch")
+        schema = new.schema
+        if exists(spark, path):
+            old = spark.read.schema(schema).parquet(path).join(F.broadcast(new.select("_bucket").distinct()), "_bucket", "left_semi").select(*new.columns)
+            merged = merge(old, new, [*keys, "_bucket"], order)
+            told = merged.groupBy("_bucket").agg(_digest(batch.columns).alias("now"))
+            was = old.groupBy("_bucket").agg(_digest(batch.columns).alias("then"))
+            changed = told.join(was, "_bucket", "left").where(~F.col("now").eqNullSafe(F.col("then"))).select("_bucket")
+            new = written(merged.join(F.broadcast(changed), "_bucket", "left_semi").select(*batch.columns, "_bucket"), "upsert-merged")
+        if not new.isEmpty():
+            new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
 
     return write
+
+
+def _digest(columns: Sequence[str]) -> Column:
+    """Of all rows of a group, whatever their order."""
+    sums = (F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(38,0)")) for seed in (0, 7))
+    return F.struct(F.count("*"), *sums)

@@ -118,13 +118,15 @@ def test_feed_keeps_the_newest_and_skips_bad_items(spark):
 
 
 def test_fetch_planner():
+    """The cache must reach the last weekday of today and of the last score, and back to the first score's context."""
     d = D
     assert feeds.fetch_window(None, None, d(2025, 7, 31)) is None
     assert feeds.fetch_window((d(2025, 7, 3), d(2025, 7, 3)), (d(2024, 1, 2), d(2025, 8, 11)), d(2025, 7, 31)) is None
-    assert feeds.fetch_window((d(2025, 7, 3), d(2025, 7, 3)), None, d(2025, 7, 31)) == (d(2024, 4, 9), d(2025, 7, 4))
-    assert feeds.fetch_window((d(2025, 7, 3), d(2025, 7, 30)), (d(2024, 1, 2), d(2025, 7, 10)), d(2025, 7, 31)) == (d(2025, 6, 30), d(2025, 7, 31))
-    assert feeds.fetch_window((d(2025, 7, 5), d(2025, 7, 6)), (d(2024, 1, 2), d(2025, 7, 4)), d(2025, 7, 31)) is None
-    assert feeds.fetch_window((d(2025, 7, 5), d(2025, 7, 6)), (d(2024, 1, 2), d(2025, 7, 4)), d(2025, 7, 31), force=True) is not None
+    assert feeds.fetch_window((d(2025, 7, 3), d(2025, 7, 3)), None, d(2025, 7, 31)) == (d(2024, 4, 9), d(2025, 8, 2))
+    assert feeds.fetch_window((d(2025, 7, 3), d(2025, 7, 30)), (d(2024, 1, 2), d(2025, 7, 10)), d(2025, 7, 31)) == (d(2025, 6, 30), d(2025, 8, 2))
+    assert feeds.fetch_window((d(2025, 7, 5), d(2025, 7, 6)), (d(2024, 1, 2), d(2025, 7, 4)), d(2025, 7, 6)) is None
+    assert feeds.fetch_window((d(2025, 7, 5), d(2025, 7, 6)), (d(2024, 4, 12), d(2025, 7, 4)), d(2025, 7, 6)) == (d(2024, 4, 11), d(2025, 7, 8))
+    assert feeds.fetch_window((d(2025, 7, 5), d(2025, 7, 6)), (d(2024, 1, 2), d(2025, 7, 4)), d(2025, 7, 6), force=True) == (d(2025, 6, 24), d(2025, 7, 8))
 
 
 def test_sources_fall_back(spark):
@@ -243,11 +245,12 @@ def test_bootstrap_query_takes_all_iterations(spark):
     assert event_queries.agg09_bootstrap_numpy(spark, SF).first() == stats.bootstrap_excess_numpy(a, b, 5000).first()
 
 
-def test_verdict_is_over_the_strict_events_where_there_are_enough(spark, monkeypatch):
-    monkeypatch.setattr(event_queries, "NARROW", event_queries.WIDE)
+def test_verdict_is_over_the_strict_events_where_there_are_enough(spark):
+    wide = feeds.Settings(level_band=60.0, change_band=90.0, high_band=0.5, return_band=0.5, average_band=0.5)
+    assert wide.analogs() == event_queries.WIDE
     strict = sel.strict_analogs(standins.signals(spark, SF), standins.current(spark, SF), event_queries.WIDE)
     n, mean = strict.agg(F.count("fwd_5"), F.avg("fwd_5")).first()
-    found = event_queries.verdict(spark, SF).first()
+    found = event_queries.verdict(spark, SF, wide).first()
     assert n >= event_queries.WIDE.least and (found.sample, found.mean5) == (n, pytest.approx(mean))
 
 
@@ -305,3 +308,115 @@ def test_settings_ignore_unknown_keys(tmp_path):
     path.write_text('{"horizons": [1, 5]}')
     with pytest.raises(ValueError):
         feeds.Settings.load(str(path))
+
+
+def test_last_row_of_a_file_counts_and_blanks_stay(spark, tmp_path):
+    (tmp_path / "d.csv").write_text("date,score\n2024-01-05,30\n2024-01-06,1\n2024-01-05,20\n")
+    rows = delimited.read_text(spark, str(tmp_path / "d.csv"), place="place")
+    assert {r.day: r.value for r in delimited.parse_daily(rows, "place").collect()} == {D(2024, 1, 5): 20.0, D(2024, 1, 6): 1.0}
+    (tmp_path / "p.csv").write_text("date,open,close\n2024-01-05,,12\n2024-01-08,1,5\n2024-01-08,,4\n2024-01-09,3,\n")
+    rows = delimited.read_text(spark, str(tmp_path / "p.csv"), place="place")
+    got = {r.date: (r.open, r.high, r.close) for r in delimited.parse_prices(rows, "place").collect()}
+    assert got == {D(2024, 1, 5): (None, 12.0, 12.0), D(2024, 1, 8): (None, 4.0, 4.0)}
+
+
+def test_short_text_is_as_python_formats(spark):
+    values = [39.4285714285714, 51.6, 0.0, 1.0, 100.0, -2.5, 123456.0, 999999.5, 1e6, 1234567.0, 0.0001, 0.000012345678, -3.2e-7, 1e12, 2.5e100, 0.5, 99999.96]
+    rows = frame(spark, [(v,) for v in values], "v double").select("v", f.short_text(F.col("v")).alias("t")).collect()
+    assert {r.v: r.t for r in rows} == {v: f"{v:g}" for v in values}
+
+
+def test_ages_and_points_of_a_page(spark):
+    text = "Stock\nMarket Crypto 52\n +3 points\nupdated a minute ago, 5 hours ago"
+    row = frame(spark, [(text,)], "t string").select(f.relative_age(F.col("t")), f.value_before_points(F.col("t"), r"Market Crypto"), f.value_before_points(F.col("t"), "Bond")).first()
+    assert tuple(row) == ("a minute ago", "52", "")
+
+
+def test_fetch_hook_maps_failures():
+    from sextant.sources import fetch
+
+    def failing(address, timeout):
+        raise OSError("refused")
+
+    assert fetch.fetch_object(lambda a, t: b'{"x": 1}', "a", required="x") == {"x": 1}
+    for get, said in ((failing, "refused"), (lambda a, t: b"{", "JSON"), (lambda a, t: b"[1]", "object"), (lambda a, t: b"{}", "lacks x")):
+        with pytest.raises(RuntimeError, match=said):
+            fetch.fetch_object(get, "a", required="x")
+    for bad in (lambda: fetch.fetch_object(failing, "a", 0), lambda: fetch.check_symbol(" "), lambda: fetch.check_alert(50, 50), lambda: fetch.check_window(369, 1), lambda: fetch.check_window(370, -1)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_fetched_tables_land_and_histories_flatten(spark, tmp_path):
+    from sextant.sources import fetch
+
+    assert fetch.fetch_table(spark, None, "", str(tmp_path)) is None
+    path = fetch.fetch_table(spark, lambda a, t: b"Date\tValue\n7/29/2026\t32\n", "somewhere", str(tmp_path))
+    assert [r.value for r in delimited.load_intraday(spark, path).collect()] == [32.0] and delimited.load_intraday(spark, str(tmp_path / "no")).count() == 0
+    raw = frame(spark, [(dt.datetime(2024, 1, 5), (1.0, 2.0)), (dt.datetime(2024, 1, 8), (None, None))], "ts timestamp, Close struct<A:double,B:double>")
+    flat = delimited.flat_columns(raw)
+    assert flat.columns == ["ts", "Close_A", "Close_B"] and delimited.flat_columns(raw, joined=False).columns == ["ts", "Close"]
+    assert [tuple(r) for r in delimited.parse_download(flat).collect()] == [(D(2024, 1, 5), 1.0, 1.0, 1.0, 1.0)]
+    with pytest.raises(RuntimeError, match="no rows"):
+        fetch.fetch_history(lambda s, a, b: flat.limit(0), "X", D(2024, 1, 1), D(2024, 1, 2))
+
+
+def test_options_reach_every_step(spark, tmp_path):
+    """Names of option files, and that the decision follows the options it is given."""
+    path = tmp_path / "s.json"
+    path.write_text('{"cooldown_calendar_days": 0, "minimum_regime_sample": 1, "minimum_regime_baseline_sample": 100000, "bootstrap_iterations": 7, "analog_level_band": 60, "maximum_analogs": 3}')
+    options = feeds.Settings.load(str(path))
+    assert options.analogs() == sel.AnalogSettings(level=60, most=3, cooldown=0, least=1) and options.rules() == decisions.Rules(sample=1, baseline=100000)
+    assert feeds.Settings().analogs() == sel.AnalogSettings() and feeds.Settings().rules() == decisions.Rules()
+    assert [x[1] for x in feeds.Settings(levels=(10,), drops=()).specs()] == ["score <= 10"]
+    found = event_queries.verdict(spark, SF, options).first()
+    assert found.sample <= 3 and found.action == "INSUFFICIENT EVIDENCE"
+
+
+def test_buckets_carry_the_last_value_over(spark):
+    """Series of one hot key and gaps of days give what one window over the key gives."""
+    from sextant.streaming.changes import changes
+
+    rows = [("a", dt.datetime(2024, 1, 1 + (i * 7) % 20, i % 24), i, [None, 1.0, 2.0][i * i % 3]) for i in range(60)] + [("b", dt.datetime(2024, 1, 3), 99, None), (None, dt.datetime(2024, 1, 3), 98, 1.0)]
+    df = frame(spark, rows, "k string, ts timestamp, id long, v double")
+    plain, bucketed = (sorted(map(tuple, changes(df, ["k"], ["ts", "id"], unit=unit).collect()), key=repr) for unit in (None, "day"))
+    assert plain == bucketed and plain
+    left = df.select("k", "ts", "id").where("id % 3 = 0")
+    right = df.where("id % 3 = 1").groupBy("k", F.col("ts").alias("seen")).agg(F.max("id").alias("last"))
+    days, hours = (sorted(map(tuple, asof_times(left, right, "ts", "seen", ["k"], unit).collect()), key=repr) for unit in ("day", "hour"))
+    want = []
+    for k, ts, i in sorted(map(tuple, left.collect()), key=repr):
+        seen = max(((r.seen, r.last) for r in right.collect() if r.k == k and r.seen <= ts), default=(None, None))
+        want.append((k, ts, i, *seen))
+    assert days == hours == sorted(want, key=repr)
+
+
+def test_dataset_of_420_sessions(spark):
+    """Three scores give three rows of 53 columns; without a session on or before a score it fails."""
+    from sextant.operators.dataset import combined_dataset
+
+    days, day = [], D(2024, 1, 2)
+    while len(days) < 420:
+        if day.weekday() < 5:
+            days.append(day)
+        day += dt.timedelta(1)
+    prices = frame(spark, [(x, "X", 4500.0 + i, 4512.0 + i, 4492.0 + i, 4505.0 + i, 4505.0 + i, 0.0, "t") for i, x in enumerate(days)], "date date, symbol string, open double, high double, low double, close double, adj_close double, volume double, data_source string")
+    scores = frame(spark, [(D(2025, 7, x), D(2025, 7, x), dt.datetime(2025, 7, x, 20), v, "fear") for x, v in ((1, 24.0), (2, 29.0), (3, 35.0))], "day date, market_day date, source_time timestamp, value double, rating string")
+    got = combined_dataset(scores, prices).orderBy("score_market_date").collect()
+    assert len(got) == 3 and len(got[0]) == 53 and got[1].score_change_1d == 5.0 and got[0].price_same_trading_day
+    assert combined_dataset(scores, prices, "s", "p").columns[:2] == ["s_date_utc", "s_market_date"]
+    with pytest.raises(DataValidationError, match="2025-07-01"):
+        combined_dataset(scores, prices.where("date > '2025-07-01'"))
+    with pytest.raises(DataValidationError, match="no prices"):
+        combined_dataset(scores, prices.limit(0))
+
+
+def test_results_are_exported(spark, tmp_path):
+    events, now = event_queries.daily(spark, SF)
+    analogs, _ = sel.find_analogs(events, now)
+    sinks.export_results(str(tmp_path), stats.event_study(events), analogs, events)
+    rows = {x: spark.read.option("header", True).csv(str(tmp_path / x)) for x in ("event_study", "analogs", "full_analysis")}
+    assert rows["event_study"].count() == 19 and rows["full_analysis"].count() == events.count() and "analog_distance" in rows["analogs"].columns
+    days = [r.day for r in rows["analogs"].collect()]
+    assert days == sorted(days)
+    assert sinks.with_header(frame(spark, [("a", "b", 1, "c")], "w string, x string, y int, z string")).columns == sinks.SHEET_HEADER

@@ -46,11 +46,24 @@ def test_alerts_across_batches(spark, tmp_path):
     ]
 
 
-def test_upsert_sink_finishes_an_interrupted_write(spark, tmp_path):
-    write = upsert_sink(str(tmp_path / "t"), ["k"], ["t"])
-    spark.createDataFrame([(1, 5, "a")], "k int, t int, v string").write.parquet(str(tmp_path / "t.new"))
-    write(spark.createDataFrame([(2, 1, "b")], "k int, t int, v string"), 0)
-    assert {r.k: r.v for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {1: "a", 2: "b"}
+def test_upsert_sink_repeats_a_batch_that_ended_halfway_and_leaves_other_parts_alone(spark, tmp_path):
+    write = upsert_sink(str(tmp_path / "t"), ["k"], ["t"], buckets=8)
+    rows = lambda *x: spark.createDataFrame(list(x), "k int, t int, v string")
+    write(rows(*((i, 1, "a") for i in range(40))), 0)
+    files = lambda: {x: x.stat().st_mtime_ns for x in (tmp_path / "t").rglob("*.parquet")}
+    before = files()
+    write(rows((3, 2, "b")), 1)
+    after = files()
+    assert len(set(before) - set(after)) == 1 and len(set(after) - set(before)) == 1  # one part of eight
+    part = next(iter(set(after) - set(before)))
+    part.unlink()  # the batch ended before this part's rows were in place, after another's
+    write(rows((3, 2, "b")), 1)
+    write(rows((3, 2, "b"), (50, 1, "n")), 2)
+    again = files()
+    write(rows((3, 2, "b"), (50, 1, "n")), 2)
+    assert files() == again
+    found = {r.k: r.v for r in spark.read.parquet(str(tmp_path / "t")).collect()}
+    assert found[3] == "b" and found[50] == "n"
 
 
 @pytest.mark.parametrize(("sink", "build"), [(changes_sink, changes_stream), (alerts_sink, alerts_stream)])
@@ -69,6 +82,6 @@ def test_sinks_give_what_the_stateful_streams_give(spark, tmp_path, sink, build)
 
 @pytest.mark.parametrize("query", [feed_queries.str02_changes_stream, feed_queries.str03_newest_stream, feed_queries.str07_alerts_stream])
 def test_stream_queries_write_to_the_shared_folder(spark, tmp_path, monkeypatch, query):
-    monkeypatch.setattr(feed_queries, "_shared_root", lambda spark: f"file://{tmp_path}", raising=False)
+    monkeypatch.setattr(feed_queries, "shared_root", lambda spark: f"file://{tmp_path}")
     files = query(spark, "/root/testdata/sf0.001").inputFiles()
     assert files and all(str(tmp_path) in x for x in files) and list(tmp_path.glob("stream-*/checkpoint/commits"))
