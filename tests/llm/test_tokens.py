@@ -90,3 +90,26 @@ def test_files_keep_order_starts_and_sums(spark, tmp_path):
     assert read_tokens(spark, f"file://{tmp_path}/t", with_ids=False).columns == ["doc_id", "start", "n_tokens"]
     write_tokens(docs.limit(0), f"file://{tmp_path}/e", PATH)
     assert read_tokens(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def test_layout_of_the_files_lets_readers_select(spark, tmp_path):
+    """Delta-coded addresses, dictionary-coded ids, page indexes; and columns of other names are not written."""
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(i, f"some words of text number {i} " * 20, i, "x") for i in range(5000)], "doc_id long, text string, n_tokens int, part string")
+    write_tokens(docs, f"file://{tmp_path}/t", PATH)
+    files = sorted((tmp_path / "t").glob("part-*.parquet"))
+    footers = [pq.ParquetFile(x).metadata for x in files]
+    assert sum(m.num_rows for m in footers) == 5000
+    for m in footers:
+        for g in range(m.num_row_groups):
+            columns = {m.row_group(g).column(i).path_in_schema.split(".")[0]: m.row_group(g).column(i) for i in range(m.num_columns)}
+            assert set(columns) == {"part", "doc_id", "offset", "n_tokens", "ids"}
+            assert all("DELTA_BINARY_PACKED" in columns[c].encodings for c in ("doc_id", "offset", "n_tokens"))
+            assert any("DICTIONARY" in e for e in columns["ids"].encodings)
+            assert all(c.has_column_index and c.has_offset_index for c in columns.values())
+    narrow = read_tokens(spark, f"file://{tmp_path}/t", with_ids=False)
+    plan = narrow._jdf.queryExecution().executedPlan().toString()
+    assert "ids" not in plan.split("ReadSchema")[1].split("\n")[0]
+    picked = read_tokens(spark, f"file://{tmp_path}/t").where("doc_id BETWEEN 40 AND 41")
+    assert "PushedFilters: [IsNotNull(doc_id), GreaterThanOrEqual(doc_id,40)" in picked._jdf.queryExecution().executedPlan().toString() and picked.count() == 2
