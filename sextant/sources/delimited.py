@@ -72,11 +72,16 @@ def _last(rows: DataFrame, key: str, order: str | None, rest: Sequence[str]) ->
     return newest(rows, [key], [*(["_order"] if order else []), *rest]).drop("_order")
 
 
+def _places(df: DataFrame, order: str | None) -> list[str]:
+    """The order column if it is a place in files: it plays no other role."""
+    return [order] if order and df.schema[order].dataType.typeName() == "struct" else []
+
+
 def parse_daily(df: DataFrame, order: str | None = None, date: str | None = None, value: str | None = None, names: Sequence[str] = SCORE_NAMES) -> DataFrame:
     """``day, value`` from any table of text: roles inferred unless named, bad or
     out-of-range rows dropped, the last by ``order`` for each day. A table
     without ``order`` has no last row: then the largest value stays."""
-    skip = [order] if order else []
+    skip = _places(df, order)
     date = date or pick_date(df.drop(*skip))
     if date is None:
         raise DataValidationError("no date column")
@@ -91,7 +96,7 @@ def parse_prices(df: DataFrame, order: str | None = None, names: Sequence[str] =
     """``date, open, high, low, close`` from a table of text; absent open, high
     and low columns are the close; rows without date or close are dropped, other
     blanks stay null; the last for each date counts, as in ``parse_daily``."""
-    skip = [order] if order else []
+    skip = _places(df, order)
     date = pick_date(df.drop(*skip), ("date", "d"))
     close = pick_numeric(df, names, ["close"], 0, 1e12, skip=[*skip, *([date] if date else [])])
     if date is None or close is None:

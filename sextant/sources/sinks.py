@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as f
-from ..operators.upsert import same_rows
 
 
 def daily_rows(readings: DataFrame) -> DataFrame:
@@ -82,18 +81,21 @@ def recover(spark: SparkSession, path: str) -> None:
 def write_if_changed(df: DataFrame, path: str, fmt: str = "parquet", **options: str) -> bool:
     """Overwrite ``path`` unless it holds the same rows. Returns whether it wrote.
 
-    The new rows go to a folder beside it first, so that ``df`` may read ``path``.
-    Should the job end before that folder takes its place, the next write, or
-    ``recover`` before a read, puts it there."""
+    The new rows, computed once, go to a folder beside it first, so that ``df``
+    may read ``path``; digests of both tables are compared. Should the job end
+    before that folder takes its place, the next write, or ``recover`` before a
+    read, puts it there. Between the removal of the old rows and that, readers
+    find no table; ``streaming.upsert_sink`` replaces parts in place."""
     spark = df.sparkSession
     recover(spark, path)
     jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    target, fresh = (jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path}.new"))
     store = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if store.exists(target) and same_rows(df, spark.read.schema(df.schema).options(**options).format(fmt).load(path)):
-        return False
-    fresh = jvm.org.apache.hadoop.fs.Path(f"{path}.new")
     df.write.mode("overwrite").options(**options).format(fmt).save(f"{path}.new")
+    rows = lambda at: spark.read.schema(df.schema).options(**options).format(fmt).load(at)
+    if store.exists(target) and content_digest(rows(path)) == content_digest(rows(f"{path}.new")):
+        store.delete(fresh, True)
+        return False
     store.delete(target, True)
     store.rename(fresh, target)
     return True
