@@ -2,7 +2,8 @@
 
 Every function takes the columns that tell series apart and those that order
 one series; frames count rows, not days. A window over no key puts all rows
-in one task: use it only on series already cut to daily grain.
+in one task: that is for series cut to daily grain. ``ranges.over_blocks`` runs
+the same functions over series of any length.
 """
 
 from __future__ import annotations
@@ -52,8 +53,9 @@ class Series:
         value = aggregate(x).over(frame)
         return F.when(F.count(x).over(frame) == rows, value) if whole else value
 
-    def record(self, x: Column) -> Column:
-        return F.max(x).over(self.base.rowsBetween(Window.unboundedPreceding, 0))
+    def record(self, name: str) -> Column:
+        """The largest value of a column so far."""
+        return F.max(name).over(self.base.rowsBetween(Window.unboundedPreceding, 0))
 
     def position(self) -> Column:
         return F.row_number().over(self.base)
@@ -118,7 +120,7 @@ def market_context(df: DataFrame, series: Series) -> DataFrame:
             "ret_20": series.change(close, 20),
             "off_high_20": off(series.rolling(F.max, close, 20, 5)),
             "off_high_252": off(series.rolling(F.max, close, 252, 60)),
-            "off_record": off(series.record(close)),
+            "off_record": off(series.record("close")),
             "vs_sma_50": off(series.rolling(F.avg, close, 50, 20)),
             "vs_sma_200": off(series.rolling(F.avg, close, 200, 60)),
         }
