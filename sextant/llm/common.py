@@ -2,48 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Measured bytes up to which a side of a join is broadcast; larger ones are shuffled.
-BROADCAST_BYTES = 8 << 20
+from ..session import BROADCAST_BYTES, new_folder, shared_root, small_or_shuffled, temporary, unstage
 
-_ROOTS: dict[str, str] = {}
-_SCOPE: ContextVar[list[str] | None] = ContextVar("staged", default=None)
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
-
-    Only a local master, whose driver and executors are one process, may leave
-    it unset: then a temporary folder of this machine serves. Elsewhere an
-    unset folder is an error, as executors would write to their own disks.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _ROOTS:
-        _ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="sextant-")
-    return _ROOTS[app]
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call uses; within ``temporary``
-    it is deleted at the end."""
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    if (held := _SCOPE.get()) is not None:
-        held.append(path)
-    return path
+__all__ = ["BROADCAST_BYTES", "ascii_lower", "components", "new_folder", "shared_root", "small_or_shuffled", "stage", "temporary", "unstage", "unused"]
 
 
 def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -54,38 +20,6 @@ def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def unstage(spark: SparkSession, *paths: str) -> None:
-    """Delete staged tables that nothing reads any more."""
-    for path in paths:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@contextmanager
-def temporary(spark: SparkSession) -> Iterator[None]:
-    """Deletes, at its end, the tables staged within it. Operators delete what
-    they read themselves; what their lazy results still read stays, so put the
-    call and the writing of its result into this scope."""
-    held: list[str] = []
-    before = _SCOPE.set(held)
-    try:
-        yield
-    finally:
-        _SCOPE.reset(before)
-        unstage(spark, *held)
-
-
-def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A broadcast hint if the staged table ``df`` is measured to hold at most
-    ``limit`` bytes; else the join is left to shuffle, with AQE splitting skew."""
-    lengths = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
-    if any(kind.startswith(("array", "map", "struct")) for _, kind in df.dtypes):
-        return df
-    width = sum(lengths, F.lit(16 * len(df.columns)))
-    size = df.agg(F.sum(width.cast("long"))).first()[0]
-    return F.broadcast(df) if (size or 0) <= limit else df
-
-
 def unused(name: str, *columns: Iterable[str]) -> str:
     """``name``, with underscores before it until no column is called so."""
     taken = {c.lower() for part in columns for c in part}
