@@ -14,6 +14,7 @@ from .langid import op2_langid
 from .manifest import OP12_SQL, op12_manifest
 from .mixing import OP9_SQL, op9_mixing
 from .ngram_join import op5_ngram_join
+from .repair import op11_repair
 from .token_files import op6_token_files
 from .topk import OP13_SQL, op13_topk
 from .toxicity import op3_toxicity
@@ -23,7 +24,7 @@ from .warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_url_filters, op2_langid, op3_toxicity, op4_vector_join, op5_ngram_join, op6_token_files, op7_bpe, op8_warc, op9_mixing, op10_exact_dedup, op12_manifest, op13_topk]
+    found = [op1_url_filters, op2_langid, op3_toxicity, op4_vector_join, op5_ngram_join, op6_token_files, op7_bpe, op8_warc, op9_mixing, op10_exact_dedup, op11_repair, op12_manifest, op13_topk]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
