@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import event_queries, feed_queries, scalar_queries, series_queries  # noqa: F401
+from . import event_queries, feed_queries, long_queries, scalar_queries, series_queries  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 
