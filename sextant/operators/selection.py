@@ -88,8 +88,13 @@ def distance(events: DataFrame, current: DataFrame, settings: AnalogSettings) ->
 def nearest_apart(ranked: DataFrame, settings: AnalogSettings, date: str = "day", by: str = "analog_distance") -> DataFrame:
     """Greedy: nearest first, each at least ``cooldown`` days from all taken, at most ``most``.
 
-    The candidates' dates meet in one row, cut by the distance cap before."""
-    pairs = ranked.where(F.col(by) <= settings.cap).agg(F.array_sort(F.collect_list(F.struct(by, date))).alias("_all"))
+    A taken date rules out itself and ``cooldown`` - 1 dates on either side, so only
+    so many of the nearest dates can matter for ``most``: these, a bounded number,
+    meet in one row. ``spacing.nearest_apart_times`` is for times without that bound."""
+    near = ranked.where(F.col(by) <= settings.cap)
+    if settings.cooldown > 0:
+        near = near.groupBy(date).agg(F.min(by).alias(by)).orderBy(by, date).limit(settings.most * (2 * settings.cooldown - 1))
+    pairs = near.agg(F.array_sort(F.collect_list(F.struct(by, date))).alias("_all"))
     apart = lambda kept, d: F.forall(kept, lambda y: F.abs(F.datediff(d, y)) >= settings.cooldown)
     step = lambda kept, x: F.when((F.size(kept) < settings.most) & apart(kept, x[date]), F.concat(kept, F.array(x[date]))).otherwise(kept)
     kept = pairs.select(F.explode(F.aggregate("_all", F.array().cast("array<date>"), step)).alias(date))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import decisions
+from ..operators import large_stats, stats
 from ..operators import selection as sel
-from ..operators import stats
 from ..session import written
 from ..sources.feeds import Settings
 from . import standins as s
@@ -199,13 +199,13 @@ def agg09_bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_interval(analogs, written(sel.regime_baseline(events, now), "baseline")))
 
 
-def agg09_bootstrap_numpy(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query()
+def agg09_bootstrap_numpy(spark: SparkSession, sf_dir: str, part: int = large_stats.PART) -> DataFrame:
+    """AGG-09 with numpy's draws, a resample dealt to the parts of its sample; other draws than SQL has."""
     events, now = daily(spark, sf_dir)
     x = F.col("fwd_5").alias("x")
-    return stats.bootstrap_excess_numpy(sel.nearest_analogs(events, now, NARROW).select(x), sel.regime_baseline(events, now).select(x), OPTIONS.iterations, OPTIONS.seed)
-
-
-query()(agg09_bootstrap_numpy)
+    analogs = written(sel.find_analogs(events, now, OPTIONS.analogs())[0].select(x), "analogs")
+    return large_stats.resampled_excess(analogs, written(sel.regime_baseline(events, now).select(x), "baseline"), OPTIONS.iterations, OPTIONS.seed, part=part)
 
 
 def decided(events: DataFrame, now: DataFrame, settings: Settings = OPTIONS) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ranges
+from ..operators import large_stats, ranges, spacing
 from ..operators.windows import Series, market_context, next_session_outcomes, price_features, sentiment_features
 from . import standins as s
 from .registry import query, table
@@ -119,3 +119,74 @@ def agg13_gaps_long(spark: SparkSession, sf_dir: str, rows: int = ranges.BLOCK_R
     return found.groupBy("event_type").agg(F.count_if(F.col("gap") > 3_600_000_000).alias("gaps"), F.max("gap").alias("longest"))
 
 
+
+
+HOUR = 3_600_000_000
+
+
+def _kept(source: str, name: str, step: str, key: str | None = None) -> str:
+    """SQL of the greedy cooldown: from a kept time to the first at least ``step`` later."""
+    k, on, group, from_key = (f"{key}, ", f"x.{key} = h.{key} AND ", f" GROUP BY {key}", f"h.{key}, ") if key else ("", "", "", "")
+    return f"""{name} AS (
+  SELECT {k}min(ts) AS ts FROM {source}{group}
+  UNION ALL
+  SELECT {from_key}(SELECT min(x.ts) FROM {source} x WHERE {on}x.ts >= h.ts + INTERVAL {step}) FROM {name} h WHERE h.ts IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {_kept('events', 'kept', '2 hours', 'event_type')} SELECT event_id, event_type, ts FROM events WHERE (event_type, ts) IN (SELECT (event_type, ts) FROM kept WHERE ts IS NOT NULL)")
+def sel01_cooldown_times(spark: SparkSession, sf_dir: str, rows: int = ranges.BLOCK_ROWS, parts: int | None = None) -> DataFrame:
+    """SEL-01 at timestamp grain: each type's readings at least two hours apart, by pointer doubling."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "ts")
+    return spacing.cooldown_times(events, 2 * HOUR, "ts", ["event_type"], rows, parts)
+
+
+@query(f"WITH RECURSIVE {_kept('events', 'kept', '90 minutes')} SELECT event_id, ts FROM events WHERE ts IN (SELECT ts FROM kept WHERE ts IS NOT NULL)")
+def sel01_cooldown_times_one_series(spark: SparkSession, sf_dir: str, rows: int = ranges.BLOCK_ROWS, parts: int | None = None) -> DataFrame:
+    """SEL-01 over all readings as one series, an hour and a half apart."""
+    return spacing.cooldown_times(table(spark, sf_dir, "events").select("event_id", "ts"), 3 * HOUR // 2, "ts", (), rows, parts)
+
+
+@query(
+    """WITH c AS (SELECT epoch_us(ts) AS t, min(abs(value - 60)) AS dist FROM events GROUP BY ts),
+chosen AS (
+  SELECT unnest(list_reduce(list_prepend([]::BIGINT[], list_transform(list(t ORDER BY dist, t), lambda t: [t])),
+    lambda k, x: CASE WHEN len(k) < 50 AND len(list_filter(k, lambda y: abs(y - x[1]) < 21600000000)) = 0 THEN k || x ELSE k END)) AS t FROM c)
+SELECT event_id, ts, round(abs(value - 60), 6) AS distance FROM events WHERE epoch_us(ts) IN (SELECT t FROM chosen)"""
+)
+def sel02_nearest_times(spark: SparkSession, sf_dir: str, span: int | None = None) -> DataFrame:
+    """SEL-02 at timestamp grain: values nearest to 60, six hours apart, at most fifty, in parallel rounds."""
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", F.abs(F.col("value") - 60).alias("distance"))
+    found = spacing.nearest_apart_times(rows, 6 * HOUR, 50, span=span)
+    return found.select("event_id", "ts", F.round("distance", ROUND).alias("distance"))
+
+
+@query(
+    """SELECT l_returnflag, l_linestatus, round(median(l_extendedprice), 6) AS median, round(quantile_cont(l_extendedprice, 0.025), 6) AS low, round(quantile_cont(l_extendedprice, 0.975), 6) AS high
+FROM lineitem GROUP BY ALL"""
+)
+def agg05_median_large(spark: SparkSession, sf_dir: str, bits: int = large_stats.BITS) -> DataFrame:
+    """AGG-05, quantiles of AGG-09: exact, for groups of any size, by histograms of ordered bits."""
+    items = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice")
+    found = large_stats.quantiles(items, "l_extendedprice", (0.5, 0.025, 0.975), ["l_returnflag", "l_linestatus"], bits)
+    return found.select("l_returnflag", "l_linestatus", *(F.round(q, ROUND).alias(c) for q, c in (("q0", "median"), ("q1", "low"), ("q2", "high"))))
+
+
+RESAMPLES = 400
+
+
+@query(
+    f"""SELECT count(l_extendedprice) AS n, {RESAMPLES}::BIGINT AS resamples, count(l_extendedprice) AS least, count(l_extendedprice) AS most, round(avg(l_extendedprice), 2) AS mean,
+       true AS centred, true AS spread FROM lineitem"""
+)
+def agg09_bootstrap_large(spark: SparkSession, sf_dir: str, part: int = large_stats.PART) -> DataFrame:
+    """AGG-09 over a sample of any size: every resample as large as the sample, its means
+    centred within five standard errors of theirs, and spread as the standard error says, within a fifth."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("x"))
+    means = large_stats.resampled_means(items, RESAMPLES, 42, part=part).agg(
+        F.count("*").alias("resamples"), F.min("size").alias("least"), F.max("size").alias("most"), F.avg("mean").alias("m"), F.stddev_samp("mean").alias("s")
+    )
+    facts = items.agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"))
+    error = F.col("sd") / F.sqrt("n")
+    return facts.join(F.broadcast(means)).select(
+        "n", "resamples", "least", "most", F.round("mean", 2).alias("mean"), (F.abs(F.col("m") - F.col("mean")) < 5 * error / F.sqrt("resamples")).alias("centred"), F.col("s").between(0.8 * error, 1.2 * error).alias("spread")
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sextant.functions import decisions
 from sextant.functions import scalars as f
 from sextant.operators import selection as sel
-from sextant.operators import stats
+from sextant.operators import large_stats, stats
 from sextant.operators.asof import asof_days, asof_times, assert_matched, with_lag
 from sextant.operators.upsert import merge, newest, same_rows
 from sextant.operators.windows import Series, future_stat, next_session_outcomes, price_features, sentiment_features
@@ -236,13 +236,15 @@ def test_wilson_and_bootstrap(spark):
     a, b = frame(spark, [(1.0,), (1.0,), (None,)], "x double"), frame(spark, [(0.5,), (0.5,)], "x double")
     assert tuple(stats.bootstrap_excess(a, b, 20).first()) == (0.5, 0.5)
     assert tuple(stats.bootstrap_excess(a.limit(1), b, 20).first()) == (None, None)
-    assert tuple(stats.bootstrap_excess_numpy(a.dropna(), b, 20).first()) == (0.5, 0.5)
+    assert tuple(large_stats.resampled_excess(a, b, 20).first()) == (0.5, 0.5)
+    assert tuple(large_stats.resampled_excess(a.limit(1), b, 20).first()) == (None, None)
 
 
 def test_bootstrap_query_takes_all_iterations(spark):
-    events, now = standins.signals(spark, SF), standins.current(spark, SF)
-    a, b = (x.select(F.col("fwd_5").alias("x")) for x in (sel.nearest_analogs(events, now, sel.AnalogSettings()), sel.regime_baseline(events, now)))
-    assert event_queries.agg09_bootstrap_numpy(spark, SF).first() == stats.bootstrap_excess_numpy(a, b, 5000).first()
+    want, got = event_queries.agg09_bootstrap_interval(spark, SF).first(), event_queries.agg09_bootstrap_numpy(spark, SF).first()
+    width = want.ci_high - want.ci_low
+    assert abs(got.ci_low - want.ci_low) < 0.1 * width and abs(got.ci_high - want.ci_high) < 0.1 * width
+    assert got == event_queries.agg09_bootstrap_numpy(spark, SF).first()
 
 
 def test_verdict_is_over_the_strict_events_where_there_are_enough(spark):
