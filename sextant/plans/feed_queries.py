@@ -14,6 +14,8 @@ from ..operators.refresh import refresh
 from ..operators.upsert import merge, newest
 from ..session import shared_root, written
 from ..sources import delimited, feeds
+from ..sources.snapshots import read_snapshot
+from ..streaming import alerts as al
 from ..streaming import changes as ch
 from . import standins as s
 from .registry import query, table
@@ -155,15 +157,15 @@ def str02_changes_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.changes(_coarse(spark, sf_dir), ["event_type"], ["ts", "event_id"], unit="day").select("event_type", "ts", "event_id", "v")
 
 
-def _run(spark: SparkSession, sf_dir: str, sink, columns: str, build=lambda x: x, mode: str = "append") -> DataFrame:
+def _run(spark: SparkSession, sf_dir: str, sink, columns: str, build=lambda x: x, read=None) -> DataFrame:
     """Run a stream over the events file to its end; checkpoint and results lie in the shared folder."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     stream = stream.select("event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("v"))
     path = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
-    running = build(stream).writeStream.foreachBatch(sink(path)).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    running = build(stream).writeStream.foreachBatch(sink(path)).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.read.parquet(f"{path}/rows").select(*columns.split())
+    return (read or (lambda spark, at: spark.read.parquet(at)))(spark, f"{path}/rows").select(*columns.split())
 
 
 @query(CHANGES)
@@ -174,8 +176,8 @@ def str02_changes_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, ts::DATE AS day, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS v FROM events GROUP BY 1, 2")
 def str03_newest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-03: newest for each key and day, late rows included."""
-    return _run(spark, sf_dir, ch.newest_sink, "event_type day ts event_id v", ch.newest_stream, "complete")
+    """STR-03: newest for each key and day, merged into a table of versions; rows may be late by any time."""
+    return _run(spark, sf_dir, ch.newest_sink, "event_type day ts event_id v", read=read_snapshot)
 
 
 #: One row of a series after another, with the state of both alerts before and after it.
@@ -202,7 +204,14 @@ UNION ALL SELECT event_type, ts, event_id, v, 'high', 'close', false FROM w WHER
 @query(ALERTS)
 def str07_alerts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-07: alerts opened, told again and closed, as a stream with state."""
-    return _run(spark, sf_dir, ch.alerts_sink, "event_type ts event_id v kind action notify")
+    return _run(spark, sf_dir, al.alerts_sink, "event_type ts event_id v kind action notify")
+
+
+@query(ALERTS)
+def str07_alerts_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-07 over all readings at once: each day of a series is a task's work."""
+    e = table(spark, sf_dir, "events")
+    return al.alerts(e.select("event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("v")))[0]
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,16 +280,33 @@ def snk02_dataset_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*columns, F.lit(len(rows.columns)).alias("columns"))
 
 
+#: The first score is one whose context of 450 days begins at a session; the cache reaches from there to the last score's session.
+REFRESH = f"""{s.WALK}, {s.SENTIMENT},
+kept AS (SELECT day FROM sentiment WHERE day BETWEEN (SELECT min(day) FROM sentiment JOIN walk ON day - 450 = d) AND (SELECT max(d) FROM walk)),
+ends AS (SELECT min(day) - 450 AS first, max(day) AS last, max(day) - greatest(0, isodow(max(day)) - 5)::INT AS needed FROM kept),
+cached AS (SELECT walk.* FROM walk, ends WHERE d >= first AND d < needed + 2),
+revised AS (SELECT d, open, high, low, CASE WHEN d = (SELECT max(d) FROM cached) THEN close + 1 ELSE close END AS close FROM cached),
+news AS (SELECT d FROM (SELECT * FROM revised EXCEPT SELECT * FROM cached)),
+told AS (SELECT (SELECT count(*) FROM cached) AS cached, (SELECT count(*) FROM kept) AS rows, (SELECT count(DISTINCT year(d)) FROM cached) AS years, (SELECT count(DISTINCT year(d)) FROM news) AS new_years,
+                (SELECT max(d) FROM cached) < (SELECT needed FROM ends) AS behind, EXISTS (SELECT * FROM kept WHERE day >= (SELECT min(d) FROM news)) AS met)"""
+
+
 @query(
-    f"""WITH {s.WALK}, {s.SENTIMENT}, kept AS (SELECT day FROM sentiment WHERE day BETWEEN (SELECT min(d) FROM walk) AND (SELECT max(d) FROM walk))
-SELECT step, status, fetched, cache_written, output_written, (SELECT count(*) FROM walk) AS cached, (SELECT count(*) FROM kept) AS rows FROM (VALUES
-  (0, 'no_scores', false, false, false), (1, 'ok', true, true, true), (2, 'ok', false, false, false), (3, 'ok', true, false, false), (4, 'ok', true, true, true)) t(step, status, fetched, cache_written, output_written)"""
+    f"""WITH {REFRESH}
+SELECT 0 AS step, 'no_scores' AS status, false AS fetched, false AS cache_written, false AS output_written, 0::BIGINT AS cache_years, cached, rows FROM told
+UNION ALL SELECT 1, 'ok', rows > 0, cached > 0, rows > 0, years, cached, rows FROM told
+UNION ALL SELECT 2, 'ok', behind, false, false, 0, cached, rows FROM told
+UNION ALL SELECT 3, 'ok', true, false, false, 0, cached, rows FROM told
+UNION ALL SELECT 4, 'ok', true, new_years > 0, met, new_years, cached, rows FROM told"""
 )
 def str05_cache_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-04 to STR-06, STR-09, SNK-01: no scores, a first fetch, a current cache, a forced one without news, a revised row."""
+    """STR-04 to STR-06, STR-09, SNK-01, SET-05: no scores, a first fetch, a current cache, a forced one without news, a revised row that costs one year."""
     prices = written(_prices(spark, sf_dir), "prices")
-    first, last = feeds.bounds(prices, "date")
-    scores = written(_scores(spark, sf_dir).where(F.col("day").between(F.lit(first), F.lit(last))), "scores")
+    days = _scores(spark, sf_dir)
+    start = days.join(prices, F.date_sub("day", 450) == F.col("date")).agg(F.min("day").alias("start"))
+    end = feeds.bounds(prices, "date")[1]
+    scores = written(days.join(F.broadcast(start)).where((F.col("day") >= F.col("start")) & (F.col("day") <= F.lit(end))).drop("start"), "scores")
+    last = prices.where(F.col("date") <= F.lit(feeds.bounds(scores, "day")[1])).agg(F.max("date")).first()[0]
     root = f"{shared_root(spark)}/refresh-{uuid.uuid4().hex}"
 
     def fetch(start: date, end: date, change: float = 0.0) -> DataFrame:
@@ -288,12 +314,11 @@ def str05_cache_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
         return prices.withColumn("close", close).where((F.col("date") >= F.lit(start)) & (F.col("date") < F.lit(end)))
 
     revised = lambda start, end: fetch(start, end, 1.0)
-    steps = [(scores.limit(0), fetch, {}), (scores, fetch, {}), (scores, fetch, {}), (scores, fetch, {"force": True}), (scores, revised, {"force": True})]
+    steps = [(scores.limit(0), fetch, False), (scores, fetch, False), (scores, fetch, False), (scores, fetch, True), (scores, revised, True)]
     done = []
-    for i, (rows, load, more) in enumerate(steps):
-        # context 0: the cache starts at the first session, and no score needs an earlier one; the last score is the day to be current at
-        got = refresh(spark, rows, f"{root}/cache", f"{root}/output", load, min(last, date(1990, 1, 1)), **({"context": 0} | more))
-        done.append((i, got["status"], got["fetched"] is not None, got["cache_written"], got["output_written"]))
-    counts = [spark.read.parquet(f"{root}/{x}").count() for x in ("cache", "output")]
-    told = spark.createDataFrame(done, "step int, status string, fetched boolean, cache_written boolean, output_written boolean")
+    for i, (rows, load, force) in enumerate(steps):
+        got = refresh(spark, rows, f"{root}/cache", f"{root}/output", load, min(last, date(1990, 1, 1)), force=force)  # the last score is the day to be current at
+        done.append((i, got["status"], got["fetched"] is not None, got["cache_written"], got["output_written"], len(got["cache_years"])))
+    counts = [read_snapshot(spark, f"{root}/{x}").count() for x in ("cache", "output")]
+    told = spark.createDataFrame(done, "step int, status string, fetched boolean, cache_written boolean, output_written boolean, cache_years long")
     return told.withColumns({"cached": F.lit(counts[0]).cast("long"), "rows": F.lit(counts[1]).cast("long")})

@@ -1,233 +1,91 @@
-"""Streams of readings: append on change, alerts, newest for each day, merge on arrival."""
+"""Streams of readings: append on change, newest for each day, merge on arrival."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions import scalars as f
-from ..operators.upsert import merge, newest
 from ..operators.windows import Series
-from ..session import written
+from ..session import unstage
+from ..sources.snapshots import upsert_snapshot
 
 
-def changes(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "v", unit: str | None = None) -> DataFrame:
-    """Batch: rows whose value differs from the row before in its series.
+def changes(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "v", unit: str | None = None, before: DataFrame | None = None) -> DataFrame:
+    """Rows whose value differs from the row before in its series.
 
     With ``unit``, ``order`` begins with a time, and a window holds one unit of a
     key, however hot the key; the last value before it comes from a table of
-    one row for each key and unit."""
+    one row for each key and unit. ``before``, one row of ``keys`` and ``value`` for each
+    key, comes before all of ``df`` (with ``unit`` only)."""
     if unit is None:
         return df.withColumn("_c", Series(tuple(order), tuple(keys)).changed(F.col(value))).where("_c").drop("_c")
     rows = df.withColumn("_unit", F.date_trunc(unit, order[0]))
     units = rows.groupBy(*keys, "_unit").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
     units = units.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_unit").alias("_u"), Series(("_unit",), tuple(keys)).lag(F.col("_last")).alias("_before"))
+    if before is not None:
+        old = before.select(*(F.col(k).alias(f"_o_{k}") for k in keys), F.struct(value).alias("_old"))
+        match = F.lit(True)
+        for k in keys:
+            match = match & F.col(f"_k_{k}").eqNullSafe(F.col(f"_o_{k}"))
+        units = units.join(old, match, "left").withColumn("_before", F.coalesce("_before", "_old")).drop("_old", *(f"_o_{k}" for k in keys))
     inside = Series(tuple(order), (*keys, "_unit"))
     rows = rows.withColumns({"_first": inside.position() == 1, "_lag": inside.lag(F.col(value))})
     same = F.col("_unit").eqNullSafe(F.col("_u"))
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    before = F.when(F.col("_first"), F.col("_before")[value]).otherwise(F.col("_lag"))
-    return rows.join(units, same).where(~F.col(value).eqNullSafe(before)).select(*df.columns)
+    earlier = F.when(F.col("_first"), F.col("_before")[value]).otherwise(F.col("_lag"))
+    return rows.join(units, same).where(~F.col(value).eqNullSafe(earlier)).select(*df.columns)
 
 
-def changes_stream(stream: DataFrame, key: str = "event_type", time: str = "ts", tie: str = "event_id", value: str = "v") -> DataFrame:
-    """Stream: the same, one remembered value for each key.
+def changes_sink(path: str, key: str = "event_type", time: str = "ts", tie: str = "event_id", value: str = "v", unit: str = "day") -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: rows that differ from the one before, into ``path/rows/batch=N``.
 
-    Rows of a key are compared in time order within a micro-batch, and batches
-    in the order of arrival. A key's rows of a micro-batch are held in one
-    frame; ``changes_sink`` holds none."""
-    fields = [key, time, tie, value]
-
-    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values([time, tie])
-        last = pd.Series([state.get[0] if state.exists else None], dtype="float64")
-        before = pd.concat([last, rows[value].iloc[:-1]]).to_numpy()
-        now = rows[value].to_numpy()
-        differs = ~((now == before) | (pd.isna(now) & pd.isna(before)))
-        state.update((None if pd.isna(now[-1]) else float(now[-1]),))
-        yield rows[differs][fields]
-
-    schema = stream.select(*fields).schema
-    return stream.select(*fields).groupBy(key).applyInPandasWithState(step, schema, "last double", "append", GroupStateTimeout.NoTimeout)
-
-
-#: Of each kind: whether its alert is open; day and value last told.
-HELD_SCHEMA = "low_open boolean, low_day long, low_value double, high_open boolean, high_day long, high_value double"
-HELD = [x.split()[0] for x in HELD_SCHEMA.split(", ")]
-SILENT = [False, 0, 0.0] * 2
-KINDS = ("low", "high")
-
-
-def _rated(rows: DataFrame, fields: Sequence[str], value: str, low: float, high: float) -> DataFrame:
-    return rows.select(*fields, f.alert_type(f.finite(F.col(value)), low, high).alias("kind")).where(f.finite(F.col(value)).isNotNull())
-
-
-def _told(held: list, when: pd.Timestamp, v: float, kind: str, move: float) -> list[tuple[str, str, bool]]:
-    """What one reading makes of a series' alerts; ``held`` is brought up to date."""
-    if kind not in KINDS:
-        closed = [i for i in range(len(KINDS)) if held[3 * i]]
-        for i in closed:
-            held[3 * i] = False
-        return [(KINDS[i], "close", False) for i in closed]
-    i = 3 * KINDS.index(kind)
-    is_open, day, told = held[i : i + 3]
-    notify = when.toordinal() != day or abs(v - told) >= move
-    if notify:
-        held[i + 1 : i + 3] = when.toordinal(), float(v)
-    if not notify and is_open:
-        return []
-    held[i] = True
-    return [(kind, "update" if is_open else "open", notify)]
-
-
-def alerts_stream(
-    stream: DataFrame, key: str = "event_type", time: str = "ts", tie: str = "event_id", value: str = "v", low: float = 25, high: float = 75, move: float = 5
-) -> DataFrame:
-    """Stream: what becomes of each series' low and high alert, as ``kind, action, notify``.
-
-    A reading in an alert range opens that alert (``open``); readings while it
-    is open give a row (``update``) only if they notify; a normal reading closes
-    both alerts (``close``). It notifies on the first alert of a day, else once
-    the value has moved by ``move`` or more since the last notification of that
-    alert, closed meanwhile or not. Readings that are null or not finite are
-    passed over. Rows are taken as in ``changes_stream``."""
-    fields = [key, time, tie, value]
-
-    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values([time, tie])
-        held = list(state.get) if state.exists else list(SILENT)
-        found = []
-        for at, (when, v, kind) in enumerate(zip(rows[time], rows[value], rows["kind"], strict=True)):
-            found.extend((at, *x) for x in _told(held, when, v, kind, move))
-        state.update(tuple(held))
-        said = pd.DataFrame(found, columns=["at", "kind", "action", "notify"])
-        yield rows.iloc[said["at"].astype("int64")][fields].reset_index(drop=True).join(said[["kind", "action", "notify"]])
-
-    read = _rated(stream, fields, value, low, high)
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in stream.select(*fields).dtypes) + ", kind string, action string, notify boolean"
-    return read.groupBy(key).applyInPandasWithState(step, schema, HELD_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-
-
-def newest_stream(stream: DataFrame, key: str = "event_type", time: str = "ts", tie: str = "event_id", value: str = "v", late: str = "3650 days") -> DataFrame:
-    """Stream: the newest value for each key and day, updated as rows come; ``late`` bounds the state."""
-    day = F.window(time, "1 day")
-    return (
-        stream.withWatermark(time, late).groupBy(key, day).agg(F.max_by(F.struct(time, tie, value), F.struct(time, tie)).alias("_r")).select(key, F.to_date("window.start").alias("day"), "_r.*")
-    )
-
-
-def changes_sink(path: str, key: str = "event_type", time: str = "ts", tie: str = "event_id", value: str = "v") -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: as ``changes_stream``, into ``path/rows/batch=N``.
-
-    A batch is compared in Spark, after the row of each key remembered from
-    the batch before (``path/state/N``); a repeated batch writes the same."""
+    Rows of a batch are compared in time order, a ``unit`` of a key in one window; the
+    first of a key with its last row of the batches before (``path/state/N``, of which
+    the last two stay). A repeated batch writes the same."""
     fields = [key, time, tie, value]
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = batch.select(*fields, F.lit(1).alias("_place"))
-        if number:
-            before = batch.sparkSession.read.schema(batch.select(*fields).schema).parquet(f"{path}/state/{number - 1}")
-            rows = before.select(*fields, F.lit(0).alias("_place")).unionByName(rows)
-        order = ("_place", time, tie)
-        found = changes(rows, [key], order, value).where("_place = 1").select(*fields)
-        found.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
-        last = rows.groupBy(key).agg(F.max_by(F.struct(time, tie, value), F.struct(*order)).alias("_r")).select(key, "_r.*")
+        rows = batch.select(*fields)
+        before = batch.sparkSession.read.schema(rows.schema).parquet(f"{path}/state/{number - 1}") if number else None
+        changes(rows, [key], (time, tie), value, unit, before).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        both = rows.withColumn("_place", F.lit(1))
+        both = both if before is None else both.unionByName(before.withColumn("_place", F.lit(0)))
+        last = both.groupBy(key).agg(F.max_by(F.struct(time, tie, value), F.struct("_place", time, tie)).alias("_r")).select(key, "_r.*")
         last.write.mode("overwrite").parquet(f"{path}/state/{number}")
+        if number > 1:
+            unstage(batch.sparkSession, f"{path}/state/{number - 2}")
 
     return write
 
 
-def alerts_sink(
-    path: str, key: str = "event_type", time: str = "ts", tie: str = "event_id", value: str = "v", low: float = 25, high: float = 75, move: float = 5
-) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: as ``alerts_stream``, into ``path/rows/batch=N``.
-
-    Sorted rows of a batch stream through a task, after the state of each key
-    from the batch before; nothing but the open key's state is held. What was
-    told and the states are written together to ``path/walked/N``."""
-    fields = [key, time, tie, value]
+def newest_sink(path: str, key: str = "event_type", time: str = "ts", tie: str = "event_id", value: str = "v") -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch`` of a stream of readings: the newest of each key and day in the
+    table of versions ``path/rows``. A batch is merged into the days that it has rows of, and no
+    others are read or written; the table is all the state there is, so a row may be late by any time."""
 
-    def write(batch: DataFrame, number: int) -> None:
-        read = _rated(batch, fields, value, low, high)
-        plain = ", ".join(f"`{c}` {kind}" for c, kind in read.select(*fields).dtypes)
-        schema = f"{plain}, kind string, action string, notify boolean, {HELD_SCHEMA}, _state boolean"
-        nothing = {x.split()[0]: F.lit(None).cast(x.split()[1]) for x in HELD_SCHEMA.split(", ")}
-        rows = read.withColumns({**nothing, "_place": F.lit(1)})
-        if number:
-            before = batch.sparkSession.read.schema(schema).parquet(f"{path}/walked/{number - 1}").where("_state")
-            rows = before.select(*fields, "kind", *HELD, F.lit(0).alias("_place")).unionByName(rows)
-        names = [*fields, "kind", "action", "notify", *HELD, "_state"]
-
-        def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            open_key: tuple | None = None
-            held = list(SILENT)
-            state = lambda: (open_key[0], None, None, None, None, None, None, *held, True)
-            for part in batches:
-                found = []
-                for k, when, t, v, kind, place, *old in zip(*(part[c] for c in (*fields, "kind", "_place", *HELD)), strict=True):
-                    k = None if pd.isna(k) else k
-                    if open_key != (k,):
-                        if open_key is not None:
-                            found.append(state())
-                        open_key, held = (k,), list(SILENT)
-                    if place == 0:
-                        held = [bool(old[0]), int(old[1]), float(old[2]), bool(old[3]), int(old[4]), float(old[5])]
-                        continue
-                    found.extend((k, when, t, v, *x, *([None] * len(HELD)), False) for x in _told(held, when, v, kind, move))
-                yield pd.DataFrame(found, columns=names, dtype=object)
-            if open_key is not None:
-                yield pd.DataFrame([state()], columns=names, dtype=object)
-
-        dealt = rows.repartition(key).sortWithinPartitions(key, "_place", time, tie)
-        dealt.mapInPandas(walk, schema).write.mode("overwrite").parquet(f"{path}/walked/{number}")
-        walked = batch.sparkSession.read.schema(schema).parquet(f"{path}/walked/{number}")
-        walked.where("NOT _state").select(*fields, "kind", "action", "notify").write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+    def write(batch: DataFrame, _: int) -> None:
+        rows = batch.select(key, F.to_date(time).alias("day"), time, tie, value)
+        upsert_snapshot(rows, f"{path}/rows", [key, "day"], [time, tie], F.col("day"))
 
     return write
 
 
-def newest_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch`` of a stream in complete mode: the newest result stays in ``path/rows``."""
-    return lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/rows")
-
-
-#: Parts of a table that is merged into; a batch rewrites those that its keys fall in.
+#: Parts of a table that is merged into, unless a column tells them apart.
 BUCKETS = 64
 
 
-def upsert_sink(path: str, keys: Sequence[str], order: Sequence[str], buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: merge a batch into the table at ``path``, which lies in
-    parts ``_bucket=N`` by a hash of the keys.
+def upsert_sink(path: str, keys: Sequence[str], order: Sequence[str], buckets: int = BUCKETS, part: Column | None = None) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: merge a batch into the table of versions at ``path``.
 
-    Only parts with keys of the batch are read, and only those whose rows change
-    are rewritten, each in place once its new rows are there. Late rows count; a
-    repeated batch, or one that ended halfway, gives the same table."""
-    from ..sources.delimited import exists
+    Its parts are ``part``, which must follow from the keys, such as a day; else a hash
+    of the keys. Only parts with keys of the batch are read, only those whose
+    rows change are written, and readers see all of a batch or nothing. Late rows
+    count; a repeated batch, or one that ended halfway, gives the same table."""
 
     def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("_bucket")
-        new = written(newest(batch, keys, order).select("*", bucket), "upsert-batch")
-        schema = new.schema
-        if exists(spark, path):
-            old = spark.read.schema(schema).parquet(path).join(F.broadcast(new.select("_bucket").distinct()), "_bucket", "left_semi").select(*new.columns)
-            merged = merge(old, new, [*keys, "_bucket"], order)
-            told = merged.groupBy("_bucket").agg(_digest(batch.columns).alias("now"))
-            was = old.groupBy("_bucket").agg(_digest(batch.columns).alias("then"))
-            changed = told.join(was, "_bucket", "left").where(~F.col("now").eqNullSafe(F.col("then"))).select("_bucket")
-            new = written(merged.join(F.broadcast(changed), "_bucket", "left_semi").select(*batch.columns, "_bucket"), "upsert-merged")
-        if not new.isEmpty():
-            new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
+        upsert_snapshot(batch, path, keys, order, F.pmod(F.xxhash64(*keys), F.lit(buckets)) if part is None else part)
 
     return write
-
-
-def _digest(columns: Sequence[str]) -> Column:
-    """Of all rows of a group, whatever their order."""
-    sums = (F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(38,0)")) for seed in (0, 7))
-    return F.struct(F.count("*"), *sums)

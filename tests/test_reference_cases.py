@@ -15,6 +15,7 @@ from sextant.operators.windows import Series, future_stat, next_session_outcomes
 from sextant.plans import event_queries, standins
 from sextant.schema import DataValidationError, pick_date, pick_numeric, require, resolve, slug
 from sextant.sources import delimited, feeds, sinks
+from sextant.sources.snapshots import read_snapshot, write_snapshot
 
 D = dt.date
 SF = "/root/testdata/sf0.001"
@@ -295,8 +296,8 @@ def test_upsert_is_idempotent_and_new_rows_win_ties(spark):
 def test_write_only_on_change(spark, tmp_path):
     df = frame(spark, [(1, "a"), (2, None)], "k int, x string")
     path = str(tmp_path / "t")
-    assert sinks.write_if_changed(df, path) and not sinks.write_if_changed(df, path)
-    assert sinks.write_if_changed(spark.read.parquet(path).union(df.limit(1)), path) and spark.read.parquet(path).count() == 3
+    assert write_snapshot(df, path) and not write_snapshot(df, path)
+    assert write_snapshot(read_snapshot(spark, path).union(df.limit(1)), path) and read_snapshot(spark, path).count() == 3
     assert sinks.content_digest(df) == sinks.content_digest(df.orderBy(F.desc("k"))) != sinks.content_digest(df.limit(1))
     sinks.write_text(df, str(tmp_path / "x"), "\t", ["k"])
     assert spark.read.text(str(tmp_path / "x")).count() == 3
