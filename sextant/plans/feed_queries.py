@@ -14,6 +14,7 @@ from ..operators.refresh import refresh
 from ..operators.upsert import merge, newest
 from ..session import shared_root, written
 from ..sources import delimited, feeds
+from ..sources.formats import infer_formats
 from ..sources.snapshots import read_snapshot
 from ..streaming import alerts as al
 from ..streaming import changes as ch
@@ -322,3 +323,36 @@ def str05_cache_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [read_snapshot(spark, f"{root}/{x}").count() for x in ("cache", "output")]
     told = spark.createDataFrame(done, "step int, status string, fetched boolean, cache_written boolean, output_written boolean, cache_years long")
     return told.withColumns({"cached": F.lit(counts[0]).cast("long"), "rows": F.lit(counts[1]).cast("long")})
+
+
+_DATE_COLUMNS = {
+    "iso": "yyyy-MM-dd", "slashed": "yyyy/M/d", "packed": "yyyyMMdd", "month_first": "M/d/yyyy", "day_first": "d/M/yyyy", "dotted": "d.M.yyyy", "named": "d MMM yyyy", "dashed": "dd-MM-yyyy",
+}
+_FOUND = {"iso": "yyyy-M-d", "dashed": "d-M-yyyy"}
+_FORMATS = "\nUNION ALL ".join(
+    [f"SELECT '{c}' AS name, 'date' AS kind, '{_FOUND.get(c, p)}' AS format, count(*) AS parsed, 0::BIGINT AS conflicts, true AS decided FROM events" for c, p in _DATE_COLUMNS.items()]
+    + [
+        "SELECT 'mixed', 'date', 'M/d/yyyy', count_if(event_id % 4 <> 0 OR day(ts) <= 12), count_if(event_id % 4 = 0 AND day(ts) > 12), count_if(event_id % 4 <> 0 AND day(ts) > 12) <> count_if(event_id % 4 = 0 AND day(ts) > 12) FROM events",
+        "SELECT 'early', 'date', 'M/d/yyyy', count_if(day(ts) <= 12), 0, false FROM events",
+        "SELECT 'plain', 'number', '1234.5', count(value), 0, true FROM events",
+        "SELECT 'comma', 'number', '1.234,5', count(value), 0, true FROM events",
+        "SELECT 'type', 'text', NULL, 0, 0, true FROM events LIMIT 1",
+    ]
+).replace("UNION ALL SELECT 'type', 'text', NULL, 0, 0, true FROM events LIMIT 1", "UNION ALL (SELECT 'type', 'text', NULL, 0, 0, true FROM events LIMIT 1)")
+
+
+@query(_FORMATS)
+def prj09_inferred_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-09, SRC-10, SCA-26: formats of dates and numbers found from all values, conflicts counted, day or month first by evidence."""
+    e = table(spark, sf_dir, "events")
+    shown = lambda pattern: F.date_format("ts", pattern)
+    texts = {c: shown(p) for c, p in _DATE_COLUMNS.items()} | {
+        "mixed": F.when(F.col("event_id") % 4 == 0, shown("d/M/yyyy")).otherwise(shown("M/d/yyyy")),
+        "early": F.when(F.day("ts") <= 12, shown("M/d/yyyy")),
+        "plain": F.format_string("%.2f", "value"),
+        "comma": F.translate(F.format_number(F.col("value") + 1000, 2), ",.", ".,"),
+        "type": F.col("event_type"),
+    }
+    found = infer_formats(e.select(*(x.alias(c) for c, x in texts.items())))
+    rows = [(c, x.kind, x.format, x.parsed, x.conflicts, x.decided) for c, x in found.items()]
+    return spark.createDataFrame(rows, "name string, kind string, format string, parsed long, conflicts long, decided boolean")
