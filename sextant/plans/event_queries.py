@@ -321,7 +321,7 @@ def warnings(spark: SparkSession, sf_dir: str, events: DataFrame, found: DataFra
     return decisions.warnings(found.join(F.broadcast(gaps)).join(F.broadcast(done)))
 
 
-def report(spark: SparkSession, sf_dir: str) -> DataFrame:
+def report(spark: SparkSession, sf_dir: str, build: str = "local") -> DataFrame:
     """The nested report as one JSON text."""
     from ..sources.sinks import report_json
 
@@ -330,22 +330,25 @@ def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = s.sentiment(spark, sf_dir)
     coverage = days.agg(F.min("day").alias("first_date"), F.max("day").alias("last_date"), F.count("*").alias("daily_observations"))
     coverage = coverage.join(F.broadcast(events.agg(F.count("fwd_5").alias("completed_5d_outcomes")))).join(F.broadcast(stats.gap_count(days).select(F.col("gaps").alias("gaps_over_7_days"))))
-    latest = now.select("day", "d", "v", "chg_5", "regime", "off_high_252", "ret_20", "vs_sma_200", "vol_20")
-    return report_json(coverage, latest, found, warnings(spark, sf_dir, events, found), data_source="tables")
+    latest = now.select("day", "d", "v", "chg_5", "regime", "off_high_252", "ret_20", "vs_sma_200", "vol_20").join(F.broadcast(found.select("extension")))
+    return report_json(coverage, latest, found, warnings(spark, sf_dir, events, found), data_source="tables", build_id=build)
 
 
 @query(
     f"""WITH RECURSIVE {VERDICT}, g AS (SELECT date_diff('day', lag(day) OVER (ORDER BY day), day) AS gap FROM sentiment)
 SELECT (SELECT min(day)::VARCHAR FROM sentiment) AS first_date, (SELECT count(*) FROM sentiment) AS observations, (SELECT count(fwd_5) FROM signals) AS completed, (SELECT count_if(gap > 7) FROM g)::BIGINT AS gaps,
- (SELECT day::VARCHAR FROM now) AS latest, (SELECT v FROM now) AS v, (SELECT regime FROM now) AS regime, action, sample, round(ci_low, 6) AS ci_low, round(mean5, 6) AS mean5,
+ (SELECT day::VARCHAR FROM now) AS latest, (SELECT v FROM now) AS v, (SELECT regime FROM now) AS regime, action, sample, round(ci_low, 6) AS ci_low, round(mean5, 6) AS mean5, extension, 'local' AS build, '{chr(123)}"generated_at":"now","build_id":"local"{chr(125)}' AS version,
  ((SELECT count_if(gap > 7) FROM g) > 0)::INT + ((SELECT count(fwd_5) FROM signals) < 100)::INT + (sample < need_sample)::INT + (extension = 'High')::INT AS warnings FROM verdict"""
 )
 def snk05_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-05: the nested report, read back from its JSON."""
+    """SNK-05: the nested report, read back from its JSON, and the version document."""
+    from ..sources.sinks import version_json
+
     at = lambda path, kind="string": F.get_json_object("json", f"$.{path}").cast(kind)
     return report(spark, sf_dir).select(
         at("coverage.first_date").alias("first_date"), at("coverage.daily_observations", "long").alias("observations"), at("coverage.completed_5d_outcomes", "long").alias("completed"),
         at("coverage.gaps_over_7_days", "long").alias("gaps"), at("latest.day").alias("latest"), at("latest.v", "double").alias("v"), at("latest.regime").alias("regime"), at("verdict.action").alias("action"),
         at("verdict.sample", "long").alias("sample"), F.round(at("verdict.ci_low", "double"), 6).alias("ci_low"), F.round(at("verdict.mean5", "double"), 6).alias("mean5"),
-        F.size(F.from_json(at("warnings"), "array<string>")).alias("warnings"),
+        F.size(F.from_json(at("warnings"), "array<string>")).alias("warnings"), at("latest.extension").alias("extension"), at("build_id").alias("build"),
+        F.regexp_replace(F.lit(version_json("now", "local")), r"\s", "").alias("version"),
     )

@@ -13,7 +13,7 @@ from ..operators import dataset
 from ..operators.refresh import refresh
 from ..operators.upsert import merge, newest
 from ..session import shared_root, written
-from ..sources import delimited, feeds
+from ..sources import chain, delimited, feeds
 from ..sources.formats import infer_formats
 from ..sources.snapshots import read_snapshot
 from ..streaming import alerts as al
@@ -267,18 +267,57 @@ def prj02_combined_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(_dataset(spark, sf_dir))
 
 
-@query(
-    f"""WITH {DATASET} SELECT strftime(date, '%Y-%m-%d') AS score_date_utc, strftime(stamp, '%Y-%m-%dT%H:%M:%SZ') AS score_source_timestamp_utc, strftime(d, '%Y-%m-%d') AS price_date, printf('%.6f', v) AS score_value,
- coalesce(printf('%.6f', round(change_5, 6)), '') AS score_change_5d, rating AS score_rating, printf('%.6f', close) AS price_close, '' AS price_volume, coalesce(printf('%.6f', round(return_20, 6)), '') AS price_return_20d_pct, 53 AS columns
-FROM scored ASOF JOIN g ON scored.date >= g.d"""
+_TEXT = {"score_date_utc": "strftime({}, '%Y-%m-%d')", "score_market_date": "strftime({}, '%Y-%m-%d')", "price_date": "strftime({}, '%Y-%m-%d')", "score_source_timestamp_utc": "strftime({}, '%Y-%m-%dT%H:%M:%SZ')"} | dict.fromkeys(
+    ("score_rating", "score_day_of_week", "price_day_of_week", "price_symbol", "price_data_source", "price_match_lag_calendar_days", "price_same_trading_day"), "{}::VARCHAR"
 )
+_NAMES = [
+    *(f"score_{n}" for n in ("date_utc", "market_date", "source_timestamp_utc", "value", "rating", *dataset.SCORE_FEATURES.values(), "day_of_week")),
+    *(f"price_{n}" for n in ("date", "match_lag_calendar_days", "same_trading_day", "day_of_week", "symbol", "open", "high", "low", "close", "adj_close", "volume", "data_source")),
+    *(f"price_{n}" for k, n in dataset.PRICE_FEATURES.items() if k != "data_source"),
+    *dataset.OUTCOMES.values(),
+]
+# averages have up to nine digits: less than their last digit is added, so that no half is left to rounding
+_TIED = tuple(f"price_{n}" for k, n in dataset.PRICE_FEATURES.items() if k.startswith("sma_"))
+_AS_TEXT = ", ".join(f"coalesce({_TEXT.get(n, 'printf(' + chr(39) + '%.6f' + chr(39) + ', {})').format(f'({n} + 2e-10)' if n in _TIED else n)}, '') AS {n}" for n in _NAMES)
+
+
+@query(f"SELECT {_AS_TEXT} FROM ({DATASET_SQL})")
 def snk02_dataset_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-02, SRT-02: the dataset as text: dates, six-digit numbers, empty for null."""
+    """SNK-02, SRT-02: the dataset as text, all 53 columns: dates, six-digit numbers, empty for null."""
     from ..sources.sinks import text_rows
 
-    rows = text_rows(_shown(_dataset(spark, sf_dir)))
-    columns = ("score_date_utc", "score_source_timestamp_utc", "price_date", "score_value", "score_change_5d", "score_rating", "price_close", "price_volume", "price_return_20d_pct")
-    return rows.select(*columns, F.lit(len(rows.columns)).alias("columns"))
+    shown = _shown(_dataset(spark, sf_dir))
+    return text_rows(shown.withColumns({c: F.col(c) + 2e-10 for c in _TIED}))
+
+
+SERIES = f"""{s.SESSIONS}, {s.SENTIMENT}, facts AS (SELECT (SELECT count(*) FROM sentiment) AS days, (SELECT min(day) FROM sentiment) AS first_day, (SELECT arg_max(v, day) FROM sentiment) AS last_value)"""
+
+
+@query(
+    f"""WITH {SERIES}
+SELECT 'separate' AS case_, 'scores.csv + prices.csv' AS source, facts.*, (SELECT count(*) FROM sessions) AS sessions, (SELECT arg_max(close, d) FROM sessions) AS last_close FROM facts
+UNION ALL SELECT 'combined', 'combined.csv', facts.*, (SELECT count(*) FROM sessions), (SELECT arg_max(close, d) FROM sessions) FROM facts
+UNION ALL SELECT 'download', 'scores.csv + download', facts.*, (SELECT count(*) FROM sessions WHERE d >= first_day - 450 AND d <= DATE '1995-06-30'), (SELECT arg_max(close, d) FROM sessions WHERE d <= DATE '1995-06-30') FROM facts"""
+)
+def src15_source_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-15, SRC-09: both series from separate files, from a combined one where prices cannot be read, from a download where there are none."""
+    days, sessions = written(s.sentiment(spark, sf_dir), "days"), written(s.sessions(spark, sf_dir), "sessions")
+    root = f"{shared_root(spark)}/chain-{uuid.uuid4().hex}"
+    put = lambda df, path: df.write.option("header", True).csv(f"{root}/{path}")
+    wide = days.select(F.col("day").alias("score_date_utc"), F.col("v").alias("score_value")).unionByName(sessions.select(F.col("d").alias("price_date"), *(F.col(c).alias(f"price_{c}") for c in ("open", "high", "low", "close"))), allowMissingColumns=True)
+    for case in ("separate", "combined", "download"):
+        put(days.select("day", F.col("v").alias("value")), f"{case}/scores.csv")
+    put(sessions.withColumnRenamed("d", "date"), "separate/prices.csv")
+    put(sessions.select("d", F.lit("n/a").alias("close")), "combined/prices.csv")
+    put(wide, "combined/combined.csv")
+    history = lambda start, end: sessions.where((F.col("d") >= F.lit(start)) & (F.col("d") < F.lit(end))).select(F.col("d").cast("timestamp").alias("ts"), *(F.col(c).alias(f"{c}_X") for c in ("open", "high", "low", "close")))
+    found = []
+    for case in ("separate", "combined", "download"):
+        daily, market, label = chain.load_series(spark, f"{root}/{case}", date(1995, 6, 30), download=history)
+        one = daily.agg(F.count("*").alias("days"), F.min("day").alias("first_day"), F.max_by("value", "day").alias("last_value"))
+        two = market.agg(F.count("*").alias("sessions"), F.max_by("close", "date").alias("last_close"))
+        found.append(one.join(F.broadcast(two)).select(F.lit(case).alias("case_"), F.lit(label).alias("source"), "*"))
+    return found[0].union(found[1]).union(found[2])
 
 
 #: The first score is one whose context of 450 days begins at a session; the cache reaches from there to the last score's session.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -100,3 +101,8 @@ def report_json(coverage: DataFrame, latest: DataFrame, decided: DataFrame, warn
         one = one.join(F.broadcast(clean(df).select(F.struct("*").alias(name))))
     parts = [*(F.lit(v).alias(k) for k, v in facts.items()), "coverage", "latest", "verdict", "warnings"]
     return one.select(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def version_json(generated: str, build: str) -> str:
+    """The small document by which readers see that there is a new report."""
+    return json.dumps({"generated_at": generated, "build_id": build}, indent=2)

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as f
 from ..operators.ranges import same
-from ..session import small_or_shuffled, temporary, written
+from ..session import small_or_shuffled, temporary, unstage, written
+from ..sources.fetch import check_alert
 
 KINDS = ("low", "high")
 
@@ -53,6 +54,7 @@ def alerts(
     moved by ``move`` or more since that alert's last notification. Readings that are
     null or not finite are passed over. ``state``, one row for each key and kind
     (``key, kind, open, day, told``), is what came before."""
+    check_alert(low, high)
     fields = [key, time, tie, value]
     rated = readings.select(*fields, f.alert_type(f.finite(F.col(value)), low, high).alias("kind"), F.to_date(time).alias("day")).where(f.finite(F.col(value)).isNotNull())
     types = dict(rated.dtypes)
@@ -101,8 +103,6 @@ def alerts_sink(
     """For ``foreachBatch``: ``alerts`` of a batch into ``path/rows/batch=N``, after the state
     of the batch before, ``path/state/N``; a repeated batch writes the same. States of
     batches before the last one are deleted."""
-    from ..session import unstage
-
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         kinds = dict(batch.dtypes)

@@ -83,3 +83,34 @@ def test_parsers_take_tables_of_any_format(spark):
     rows = spark.createDataFrame([("25.12.2024", "1.234,5"), ("26.12.2024", "1.300,25")], "date string, close string")
     got = {r.date: r.close for r in delimited.parse_prices(normalised(rows)).collect()}
     assert got == {D(2024, 12, 25): 1234.5, D(2024, 12, 26): 1300.25}
+
+
+def test_chain_of_sources(spark, tmp_path):
+    from sextant.schema import DataValidationError
+    from sextant.sources.chain import load_series
+
+    asked = []
+
+    def download(start, end):
+        asked.append((start, end))
+        return spark.createDataFrame([(dt.datetime(2024, 1, 2), 5.0)], "ts timestamp, close_X double")
+
+    load = lambda **more: load_series(spark, str(tmp_path), D(2024, 3, 1), **more)
+    with pytest.raises(DataValidationError, match="not there"):
+        load()
+    (tmp_path / "scores.csv").write_text("date,value\n2024-01-02,40\n2024-01-03,50\n")
+    with pytest.raises(DataValidationError, match="scores.csv \\+ download: not there"):
+        load()
+    daily, market, label = load(download=download)
+    assert label == "scores.csv + download" and daily.count() == 2 and market.first().open == 5.0 and asked == [(D(2024, 1, 2) - dt.timedelta(450), D(2024, 3, 2))]
+    (tmp_path / "combined.csv").write_text("score_date_utc,score_value,price_date,price_open,price_high,price_low,price_close\n2024-01-02,40,2024-01-02,1,2,0.5,1.5\n")
+    (tmp_path / "prices.csv").write_text("date,close\n2024-01-02,?\n")
+    assert load(download=download)[2] == "combined.csv"
+    (tmp_path / "prices.csv").write_text("date,close\n2024-01-02,7\n")
+    assert load()[2] == "scores.csv + prices.csv"
+    (tmp_path / "combined.csv").write_text("x,y\n")
+    (tmp_path / "prices.csv").write_text("date,close\n")
+    with pytest.raises(DataValidationError, match="missing columns"):
+        load()
+    with pytest.raises(ValueError, match="context"):
+        load(context=300)
