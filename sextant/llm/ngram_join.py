@@ -26,7 +26,8 @@ from pyspark.sql import types as T
 from .common import components, small_or_shuffled, stage, unstage, unused
 from .spans import SEPARATOR, chunks, code_points, hashes
 
-#: Width of the frequency sketch (two rows); its size never grows with the data.
+#: Width of the frequency sketch (two rows). Every task holds it, so it must not grow with
+#: the data; what does is its noise, the singletons in every slot, which ``_noise`` measures.
 SKETCH_BITS = 20
 #: Slices of the sketch, and how many tasks' slices are added at once.
 SLICES, FAN_IN = 64, 64
@@ -126,6 +127,16 @@ def _sketch(described: DataFrame, bits: int) -> np.ndarray:
     return np.zeros((2, 1 << bits), np.int32) if last is None else _summed(slices, max(2, last + 1)).reshape(2, -1)
 
 
+def _noise(sketch: np.ndarray) -> tuple[float, float]:
+    """What rare tokens alone load a slot with: usually, and hardly ever more than.
+
+    Half of the slots hold no frequent token, so their median is that load; sums of many
+    rare tokens spread as its square root. As data grow the load grows with them,
+    but a token in a given share of sets rises above it ever more clearly."""
+    usual = float(np.median(sketch[0]))
+    return usual, usual + 6 * math.sqrt(usual) + 32
+
+
 def _pair_hash(level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = (a * np.uint64(0x9E3779B97F4A7C15) ^ (b + np.uint64(level))) * np.uint64(0xC2B2AE3D27D4EB4F)
     return x ^ (x >> np.uint64(31))
@@ -187,7 +198,7 @@ SHARED_SCHEMA = f"{SIGNATURE_SCHEMA}, rep_sid long, rep_chk long, rep_n int, rep
 def _emit(docs: DataFrame, k: int, sketch: np.ndarray, t: Fraction) -> DataFrame:
     """The signatures of all sets. A token in one document only has no partner: the
     sketch never counts too few, so its signatures are left out."""
-    usual = 2 * float(sketch[0].mean())
+    usual, frequent = _noise(sketch)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -203,7 +214,7 @@ def _emit(docs: DataFrame, k: int, sketch: np.ndarray, t: Fraction) -> DataFrame
                     continue
                 if len(seen) < 200_000:
                     seen.add(key)
-                signs, counts, covers = _signatures(tokens, sketch, usual + 32, t)
+                signs, counts, covers = _signatures(tokens, sketch, frequent, t)
                 some = counts > 1
                 signs, counts, covers = signs[some], np.maximum(0, counts[some] - int(usual)), covers[some]
                 salts = np.where(counts >= 2 * HOT, 1 + (np.int64(key[0]) & 0x7FFFFFFF) % np.maximum(1, counts // HOT), 0)
@@ -340,7 +351,8 @@ def near_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, sketch
         return found.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
 
     # salted groups of one signature, of one set too, meet by their first rows
-    leads = shared.groupBy("sig", "salt").agg(F.first(F.struct("rep_cov", "rep_sid", "rep_chk", "rep_n")).alias("lead"))
+    own = (F.col("salt") > 0) & (F.col("sid") == F.col("rep_sid")) & (F.col("chk") == F.col("rep_chk"))
+    leads = shared.where(own).select("sig", F.struct("rep_cov", "rep_sid", "rep_chk", "rep_n").alias("lead"))
     tops = leads.groupBy("sig").agg(F.min("lead").alias("top"), F.count("*").alias("groups")).where("groups > 1")
     fields = {"sid": "rep_sid", "chk": "rep_chk", "n": "rep_n", "cov": "rep_cov"}
     joint = leads.join(tops, "sig").select(*(F.col(f"lead.{c}").alias(name) for name, c in fields.items()), *(F.col(f"top.{c}").alias(c) for c in fields.values()))
@@ -349,7 +361,7 @@ def near_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, sketch
     links = _verified(tried, docs, sets, k, t)
     hang, hang_path = stage(components(links), "ngram-hang")
 
-    placed = shared.select("sig", _node("sid", "chk").alias("node"), "n", "cov").distinct().join(hang, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    placed = shared.select("sig", _node("sid", "chk").alias("node"), "n", "cov").join(hang, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     mixed = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("sig")
     width = math.log(1 / t) * (1 + 1e-9)
     band = F.floor(F.log(big("n")) / width).cast("int") if t < 1 else F.col("n")

@@ -137,3 +137,22 @@ def test_near_copies_are_dropped_by_row(spark):
 def test_ids_of_other_types(spark):
     docs = spark.createDataFrame([("b", "x y z"), ("a", "X y z"), (None, "x y z"), ("c", "")], "doc_id string, text string")
     assert {(r.doc_id, r.component_id) for r in near_components(docs).collect()} == {("b", "a"), ("a", "a"), (None, "a"), ("c", "c")}
+
+
+@pytest.mark.parametrize("load", [1, 64, 4096, 2**20])
+def test_frequent_tokens_stand_out_however_loaded_the_sketch_is(load):
+    """Tokens in a hundredth of the sets and more are frequent at any size, single ones are not."""
+    import numpy as np
+
+    draw = np.random.default_rng(load)
+    sets, width = 4000 * load, 1 << 14
+    sketch = draw.poisson(0.5 * load, (2, width)).astype(np.int64)
+    tokens = draw.integers(0, 2**63, 3000, dtype=np.uint64)
+    shares = draw.uniform(0.01, 0.2, 200)
+    for line, slots in zip(sketch, ngram_join._slots(tokens, width), strict=True):
+        np.add.at(line, slots[:200], (shares * sets).astype(np.int64))
+        np.add.at(line, slots[200:], 1)
+    _, frequent = ngram_join._noise(sketch)
+    one, two = ngram_join._slots(tokens, width)
+    often = np.minimum(sketch[0][one], sketch[1][two]) > frequent
+    assert often[:200].all() and often[200:].mean() < 0.01
