@@ -87,8 +87,9 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """
     g_id, g_sha = unused("g_id", docs.columns), unused("g_sha", docs.columns)
     gone = exact_groups(docs).where("NOT kept").select(F.col("doc_id").alias(g_id), F.col("text_sha256").alias(g_sha)).distinct()
+    gone, _ = stage(gone, "radix-gone")  # read anew, so that a hot text's rows split in the join below
     address = F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256)
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(g_id)) & (address == F.col(g_sha)), "left_anti")
+    return docs.join(small_or_shuffled(gone), F.col("doc_id").eqNullSafe(F.col(g_id)) & (address == F.col(g_sha)), "left_anti")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,8 +42,8 @@ WORDS = {
     INSULT: "idiot idiots moron morons stupid dumb fool loser losers scum trash garbage clown clowns pathetic worthless disgusting vermin "
     "imbecile imbécile crétin abruti connard ordure dummkopf trottel arschloch abschaum versager estúpido imbécil basura escoria inútil",
     THREAT: "kill hurt destroy punch stab shoot burn beat tuer frapper détruire töten schlagen vernichten umbringen matar golpear destruir",
-    TARGET: "you your yours u he she they them him her this that these those tu toi vous ils elle elles il du dich dir ihr sie er usted ustedes ellos ella él",
-    NEGATION: "not no never don doesn didn isn aren wasn cannot without pas jamais ne nicht kein keine nie nunca jamás sin ni",
+    TARGET: "you your yours u he she they them him her tu toi te vous ils elle elles il du dich dir ihr sie er usted ustedes ellos ella él",
+    NEGATION: "not no never don doesn didn isn aren wasn weren won couldn wouldn shouldn mustn needn haven hasn hadn ain dont doesnt didnt isnt arent wont cant couldnt wouldnt shouldnt cannot without pas jamais ne nicht kein keine nie nunca jamás sin ni",
     REPORT: "said says say called calls wrote writes claimed according quoted reported dit disait selon sagte sagt laut schrieb dijo dice según escribió",
 }
 #: What ends a line, a sentence or a clause, and what opens or closes a quotation.
@@ -51,6 +51,8 @@ MARKS = {LINE: "\n", SENTENCE: ".!?", CLAUSE: ";:", QUOTE: "\"“”„«»"}
 ENDS = (CLAUSE, SENTENCE, LINE)
 #: Words over which a negation, a target and a reporting word reach what follows (left) or precedes (right) them.
 LEFT_REACH = {TARGET: 6, NEGATION: 3}
+#: A threat is aimed at its object: a target right before it, or soon after it.
+OBJECT_REACH = 1
 RIGHT_REACH = {TARGET: 3, NEGATION: 2, REPORT: 3}
 
 #: Outputs of the composed machines, with the weight that each has unless labels say otherwise.
@@ -105,9 +107,10 @@ def _inside(mark: int) -> Transducer:
 
 
 def from_left() -> Transducer:
-    """Outputs: the symbol; whether a target, a negation and a reporting word precede it; whether it is quoted."""
+    """Outputs: the symbol; whether a target, a negation and a reporting word precede it; whether it
+    is quoted; whether an object stands right before it."""
     attack = Transducer(1, {(0, x): (0, (x,)) for x in SYMBOLS})
-    return reduce(Transducer.compose, [attack, *(_within(x, n) for x, n in LEFT_REACH.items()), _since(REPORT), _inside(QUOTE)])
+    return reduce(Transducer.compose, [attack, *(_within(x, n) for x, n in LEFT_REACH.items()), _since(REPORT), _inside(QUOTE), _within(TARGET, OBJECT_REACH)])
 
 
 def from_right() -> Transducer:
@@ -118,11 +121,11 @@ def from_right() -> Transducer:
 def _joined(left: tuple[int, ...], right: tuple[int, ...]) -> int:
     """The output of both machines at one symbol, or -1 if it is no attack. A
     negation that follows counts for threats only."""
-    kind, target, negation, report, quoted = left
+    kind, target, negation, report, quoted, before = left
     target_after, negation_after, report_after = right
     if kind not in (INSULT, THREAT):
         return -1
-    return OUTPUTS.index((kind, target | target_after, negation | (negation_after & (kind == THREAT)), report | quoted | report_after))
+    return OUTPUTS.index((kind, (before if kind == THREAT else target) | target_after, negation | (negation_after & (kind == THREAT)), report | quoted | report_after))
 
 
 @cache

@@ -169,7 +169,8 @@ def walked(text, forms=None):
             reported = any(x == toxicity.REPORT for x, _ in left[:sentence]) or sum(x == toxicity.QUOTE for x, _ in left) % 2
             reported = reported or near(toxicity.REPORT, toxicity.RIGHT_REACH[toxicity.REPORT], right, (toxicity.SENTENCE,))
             negated = left_of(toxicity.NEGATION) or (k == toxicity.THREAT and near(toxicity.NEGATION, toxicity.RIGHT_REACH[toxicity.NEGATION], right))
-            aimed = left_of(toxicity.TARGET) or near(toxicity.TARGET, toxicity.RIGHT_REACH[toxicity.TARGET], right)
+            aimed = left_of(toxicity.TARGET) if k == toxicity.INSULT else near(toxicity.TARGET, toxicity.OBJECT_REACH, left)
+            aimed = aimed or near(toxicity.TARGET, toxicity.RIGHT_REACH[toxicity.TARGET], right)
             found[toxicity.OUTPUTS.index((k, int(aimed), int(negated), int(reported)))] += arc
     return found
 
@@ -192,6 +193,8 @@ def test_machines_read_as_the_grammar_says():
     score = dict(zip(texts, model.scores(texts), strict=True))
     assert score["You are an idiot."] > max(score["IDIOT"], score["you are not an idiot"], score["He said you are an idiot"]) > score[""]
     assert score["I will kill you."] >= 0.5 > score["hurt"] == score[""] and score["Idiot, you"] >= 0.5
+    tame = ["This garbage collector is fast", "these trash cans", "you should kill the process", "I won't hurt you", "They wouldn't hurt you"]
+    assert max(model.scores(tame)) < 0.5 <= min(model.scores(["I will kill you", "Ich werde dich umbringen", "you garbage"]))
     assert max(score["He said: you idiot"], score['"You idiot," he said']) < 0.5
 
 
