@@ -333,6 +333,10 @@ def test_ages_and_points_of_a_page(spark):
     text = "Stock\nMarket Crypto 52\n +3 points\nupdated a minute ago, 5 hours ago"
     row = frame(spark, [(text,)], "t string").select(f.relative_age(F.col("t")), f.value_before_points(F.col("t"), r"Market Crypto"), f.value_before_points(F.col("t"), "Bond")).first()
     assert tuple(row) == ("a minute ago", "52", "")
+    for text, age, points in [("", "", ""), ("ago", "", ""), ("12 Hours\n ago.", "12 Hours ago", ""), ("an hour ago", "hour ago", ""), ("5 minutes, ago; 2 days ago!", "2 days ago", ""), ("x\nStock\n\n7\n\n-12points", "", "7"),
+                              ("Stock 1234\n3 points", "", ""), ("Stock 12\nno\n3 points", "", ""), ("3 points", "", ""), ("stock12\r\n+3 points", "", "12")]:
+        row = frame(spark, [(text,)], "t string").select(f.relative_age(F.col("t")), f.value_before_points(F.col("t"), "Stock")).first()
+        assert tuple(row) == (age, points), text
 
 
 def test_fetch_hook_maps_failures():
