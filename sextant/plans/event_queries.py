@@ -352,3 +352,19 @@ def snk05_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(F.from_json(at("warnings"), "array<string>")).alias("warnings"), at("latest.extension").alias("extension"), at("build_id").alias("build"),
         F.regexp_replace(F.lit(version_json("now", "local")), r"\s", "").alias("version"),
     )
+
+
+@query(
+    f"""WITH RECURSIVE {_analogs(NARROW)}
+SELECT 'event_study' AS file, {len(stats.study_specs())}::BIGINT AS rows, 10 AS columns UNION ALL SELECT 'analogs', (SELECT count(*) FROM analogs), 20 UNION ALL SELECT 'full_analysis', (SELECT count(*) FROM signals), 29"""
+)
+def snk04_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-04, PRJ-12: the three result files, written and read back."""
+    from ..session import new_folder
+    from ..sources.sinks import export_results
+
+    events, now = daily(spark, sf_dir)
+    folder = new_folder(spark, "exports")
+    export_results(folder, stats.event_study(events, OPTIONS.specs(), OPTIONS.cooldown), sel.find_analogs(events, now, OPTIONS.analogs())[0], events)
+    read = [(name, spark.read.option("header", True).csv(f"{folder}/{name}")) for name in ("event_study", "analogs", "full_analysis")]
+    return spark.createDataFrame([(name, df.count(), len(df.columns)) for name, df in read], "file string, rows long, columns int")

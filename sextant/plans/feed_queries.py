@@ -12,6 +12,7 @@ from ..functions import scalars as f
 from ..operators import dataset
 from ..operators.refresh import refresh
 from ..operators.upsert import merge, newest
+from ..schema import DAILY_HEADER
 from ..session import shared_root, written
 from ..sources import chain, delimited, feeds
 from ..sources.formats import infer_formats
@@ -29,12 +30,12 @@ def _events_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A feed payload for each event type and day, as JSON text."""
+    """A feed payload for each event type and hour, as JSON text: the hours of a hot day are rows of their own."""
     e = table(spark, sf_dir, "events")
     item = F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("x"), F.col("value").alias("y"), F.lit("Extreme_Fear").alias("rating"))
-    days = e.groupBy("event_type", F.to_date("ts")).agg(F.collect_list(item).alias("data"))
+    hours = e.groupBy("event_type", F.date_trunc("hour", "ts")).agg(F.collect_list(item).alias("data"))
     current = F.struct(F.lit("abc").alias("score"), F.lit("").alias("rating"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"))
-    return days.select("event_type", F.to_json(F.struct(current.alias("current"), F.struct("data").alias("history"))).alias("payload"))
+    return hours.select("event_type", F.to_json(F.struct(current.alias("current"), F.struct("data").alias("history"))).alias("payload"))
 
 
 @query(
@@ -88,12 +89,12 @@ def src14_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH h AS (SELECT CAST(timezone('America/New_York', timezone('UTC', o_orderdate + to_hours((o_orderkey % 24)::INT))) AS DATE) AS date, o_totalprice AS p, (o_orderdate + to_hours((o_orderkey % 24)::INT)) AS ts FROM orders)
-SELECT date, 'X' AS symbol, arg_max(p, (ts, p)) AS open, arg_max(p, (ts, p)) AS high, arg_max(p, (ts, p)) AS low, arg_max(p, (ts, p)) AS close, arg_max(p, (ts, p)) AS adj_close, NULL::DOUBLE AS volume, 'test' AS data_source FROM h GROUP BY 1"""
+SELECT date, 'X' AS symbol, arg_max(p, (ts, p)) + 2 AS open, arg_max(p, (ts, p)) + 4 AS high, arg_max(p, (ts, p)) - 8 AS low, arg_max(p, (ts, p)) AS close, arg_max(p, (ts, p)) AS adj_close, NULL::DOUBLE AS volume, 'test' AS data_source FROM h GROUP BY 1"""
 )
 def src08_price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-08, PRJ-04: defaults for missing columns, market-zone dates, last for each date."""
     ts = F.timestamp_seconds(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 24 * 3600)
-    raw = table(spark, sf_dir, "orders").select(ts.alias("ts"), *(F.col("o_totalprice").alias(c) for c in ("Open", "High", "Low", "Close")))
+    raw = table(spark, sf_dir, "orders").select(ts.alias("ts"), *((F.col("o_totalprice") + more).alias(c) for c, more in (("Open", 2), ("High", 4), ("Low", -8), ("Close", 0))))
     return delimited.normalise_history(raw, "X", "test")
 
 
@@ -395,3 +396,46 @@ def prj09_inferred_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = infer_formats(e.select(*(x.alias(c) for c, x in texts.items())))
     rows = [(c, x.kind, x.format, x.parsed, x.conflicts, x.decided) for c, x in found.items()]
     return spark.createDataFrame(rows, "name string, kind string, format string, parsed long, conflicts long, decided boolean")
+
+
+@query(
+    """SELECT ts::DATE AS day, arg_max(value, (date_trunc('second', ts), value)) AS value, max(date_trunc('second', ts)) AS source_time FROM events WHERE value BETWEEN 0 AND 100 GROUP BY 1"""
+)
+def src04_daily_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-04: the strict daily file, written and read back."""
+    e = table(spark, sf_dir, "events").where("value BETWEEN 0 AND 100")
+    rows = e.select(F.date_format("ts", "yyyy-MM-dd"), F.col("value").cast("string"), F.lit(""), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).toDF(*DAILY_HEADER)
+    path = f"{shared_root(spark)}/daily-{uuid.uuid4().hex}"
+    rows.write.option("header", True).csv(path)
+    return delimited.load_daily(spark, path).select("day", "value", "source_time")
+
+
+@query("\nUNION ALL ".join(f"SELECT '{name}' AS name, '{name}' AS sep, count(*) AS rows, max(value) AS most, 0::BIGINT AS absent FROM events WHERE value BETWEEN 0 AND 100" for name in ("comma", "tab", "semicolon")))
+def src10_sniffed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-10, SRC-11, SRC-22, PRJ-07: tables under other headers and separators, sniffed; an absent file is an empty table."""
+    from ..session import new_folder
+
+    names, found = {",": "comma", "\t": "tab", ";": "semicolon"}, []
+    e = table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("Day"), F.date_format("ts", "HH:mm:ss").alias("Hour"), F.col("value").alias("Score"))
+    for sep, name in names.items():
+        path = new_folder(spark, f"sniffed-{name}")
+        absent = delimited.load_intraday(spark, path).count()
+        e.write.option("header", True).option("sep", sep).csv(path)
+        facts = delimited.load_intraday(spark, path).agg(F.count("*").alias("rows"), F.max("value").alias("most"))
+        found.append(facts.select(F.lit(name).alias("name"), F.lit(names[delimited.sniff(spark, path)]).alias("sep"), "rows", "most", F.lit(absent).cast("long").alias("absent")))
+    return found[0].union(found[1]).union(found[2])
+
+
+@query(
+    """WITH a AS (SELECT value, ts, ts + to_seconds(event_id * 977 % 400000) AS checked, greatest(0, event_id * 977 % 400000)::BIGINT // 60 AS m FROM events)
+SELECT strftime(checked, '%m/%d/%Y') AS "Date", strftime(checked, '%H:%M:%S') AS "Time", floor(value + 0.5)::INT AS "Value",
+ CASE WHEN m < 1 THEN 'a minute ago' WHEN m = 1 THEN '1 minute ago' WHEN m < 60 THEN m || ' minutes ago' WHEN m // 60 = 1 THEN '1 hour ago' WHEN m // 60 < 24 THEN (m // 60) || ' hours ago'
+ WHEN m // 1440 = 1 THEN '1 day ago' ELSE (m // 1440) || ' days ago' END AS "Site Updated" FROM a"""
+)
+def src20_sheet_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-20: the sheet's rows under the expected header."""
+    from ..sources.sinks import sheet_rows, with_header
+
+    ts = F.date_trunc("second", F.col("ts").cast("timestamp"))
+    rows = table(spark, sf_dir, "events").select(ts.alias("ts"), F.col("value").alias("v"), F.timestamp_seconds(F.unix_seconds(ts) + F.col("event_id") * 977 % 400000).alias("checked"))
+    return with_header(sheet_rows(rows))
