@@ -14,7 +14,7 @@ from .langid import op2_langid
 from .manifest import OP12_SQL, op12_manifest
 from .mixing import OP9_SQL, op9_mixing
 from .ngram_join import op5_ngram_join
-from .repair import op11_repair
+from .repair import OP11_SQL, op11_repair
 from .token_files import op6_token_files
 from .topk import OP13_SQL, op13_topk
 from .toxicity import op3_toxicity
@@ -29,5 +29,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op1_url_filters": OP1_SQL, "op4_vector_join": OP4_SQL, "op8_warc": OP8_SQL, "op9_mixing": OP9_SQL, "op10_exact_dedup": OP10_SQL, "op12_manifest": OP12_SQL, "op13_topk": OP13_SQL}
+    found = {"op1_url_filters": OP1_SQL, "op4_vector_join": OP4_SQL, "op8_warc": OP8_SQL, "op9_mixing": OP9_SQL, "op10_exact_dedup": OP10_SQL, "op11_repair": OP11_SQL, "op12_manifest": OP12_SQL, "op13_topk": OP13_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

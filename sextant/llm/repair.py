@@ -399,3 +399,57 @@ def damage(conversations: DataFrame) -> DataFrame:
 def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conversations``, damaged and repaired: one row each."""
     return repair_summary(damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")), F.col("lost"))
+
+
+def _moves_sql() -> str:
+    """Every way from state to state over one row: its cost, edits, the initial it needs, whether it deletes."""
+    rows = []
+    for state in STATES:
+        here = state
+        for inserts in ("", "I", "II"):
+            ways = [(here, 3, "D", ""), (NEXT[here], 2, "R", "")] + [(to, 0, "K", initial) for (at, initial), to in KEPT.items() if at == here]
+            rows += [f"({state}, {to}, {cost + 2 * len(inserts)}, '{inserts}{edit}', '{need}', {edit == 'D'})" for to, cost, edit, need in ways]
+            here = NEXT[here]
+    return ", ".join(rows)
+
+
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+OP11_SQL = f"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t),
+d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT),
+                         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 20 AS kind
+  FROM conversations, crc_table),
+r AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM d, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) c(copy) WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(role), encode(text)) AS n, trim(text, {_SPACES}) AS s FROM r),
+p AS (SELECT *, s = '' AS blank, s <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again, left(role, 1) AS i, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM o),
+f AS (SELECT *, blank OR again AS must, NOT blank AND NOT again AND right(s, 1) NOT IN ('.', '!', '?') AS cut FROM p),
+facts AS (
+  SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate, count(*) FILTER (cut) AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal, list({{'r': role, 't': text}} ORDER BY n) AS turns FROM f GROUP BY conv_id),
+moves(src, dst, cost, edits, need, del) AS (VALUES {_moves_sql()}),
+w AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS n, 0 AS state, {{'c': 0, 'a': ''}} AS best FROM conversations
+  UNION ALL
+  SELECT w.conv_id, f.n, m.dst, min({{'c': w.best.c + m.cost + CASE WHEN m.del THEN 0 ELSE f.cut::INT END, 'a': w.best.a || m.edits}})
+  FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.n = w.n + 1 JOIN moves m ON m.src = w.state AND (m.del OR (NOT f.must AND (m.need = '' OR m.need = f.i)))
+  GROUP BY w.conv_id, f.n, m.dst),
+ends(state, inserts) AS (VALUES {", ".join(f"({state}, '{inserts}')" for state, inserts in ENDS.items())}),
+best AS (
+  SELECT w.conv_id, min({{'c': best.c + 2 * length(inserts), 'a': best.a || inserts}}) AS b FROM w JOIN ends USING (state) LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM w.conv_id
+  WHERE w.n = coalesce(facts.rows, 0) GROUP BY w.conv_id),
+told AS (
+  SELECT best.conv_id, b, facts.* EXCLUDE (conv_id), list_reduce(
+    list_prepend({{'e': '', 'k': 0::BIGINT, 'prev': '', 'out': ''}}, list_transform(list_filter(string_split(b.a, ''), lambda e: e <> ''), lambda e: {{'e': e, 'k': 0::BIGINT, 'prev': '', 'out': ''}})),
+    lambda a, x: {{'e': x.e, 'k': a.k + CASE x.e WHEN 'I' THEN 0 ELSE 1 END,
+      'prev': CASE x.e WHEN 'D' THEN a.prev WHEN 'K' THEN turns[a.k + 1].r ELSE CASE WHEN left(a.prev, 1) = 'u' THEN 'assistant' ELSE 'user' END END,
+      'out': CASE x.e WHEN 'D' THEN a.out ELSE a.out || CASE a.prev WHEN '' THEN '' ELSE chr(10) END
+        || CASE x.e WHEN 'K' THEN turns[a.k + 1].r ELSE CASE WHEN left(a.prev, 1) = 'u' THEN 'assistant' ELSE 'user' END END || ':' || CASE x.e WHEN 'I' THEN '' ELSE turns[a.k + 1].t END END}}) AS made
+  FROM best LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM best.conv_id)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       b.c::BIGINT AS cost, b.a AS audit, sha256(made.out) AS repaired_sha256 FROM told
+"""

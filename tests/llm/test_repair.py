@@ -10,8 +10,9 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from test_sql_operators import check
 
-from sextant.llm.repair import Survivors, damage, op11_repair, repair_summary, repaired_turns
+from sextant.llm.repair import OP11_SQL, Survivors, damage, op11_repair, repair_summary, repaired_turns
 
 LONG = "A long text. " * 20_000
 SPACES = " \t\n\x0b\x0c\r"
@@ -133,6 +134,10 @@ def test_all_audits_tried(spark, tmp_path, rows):
     assert got == expected(rows, lambda there: cheapest(there) if len(there) < 5 else walked(there)) and df.columns == ["conv_id", *COLUMNS]
 
 
+def test_same_as_sql(spark, tmp_path):
+    check(spark, tmp_path, op11_repair, OP11_SQL, conversations=table(drawn([None, *range(60)], 9, 5)))
+
+
 def test_whole_table(spark):
     folder = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
