@@ -28,14 +28,14 @@ def documents(n, sources=("b", "a", None, "", "ä", "Z"), ids=None):
 
 @pytest.mark.parametrize(
     "table",
-    [documents(0), documents(1), documents(16), documents(17, ("a",)), documents(700), documents(300, ids=[None if i % 50 == 0 else i // 4 for i in range(300)]), documents(60, tuple(map(str, range(40))))],
-    ids=["empty", "one", "run", "run_and_one", "many", "null_and_repeated_ids", "many_sources"],
+    [documents(0), documents(17, ("a",)), documents(300, (*"bcdefghijklmnopqrs", None, "ä"), [None if i % 50 == 0 else i // 4 for i in range(300)])],
+    ids=["empty", "run_and_one", "null_and_repeated_ids"],
 )
 def test_same_as_sql(spark, tmp_path, table):
     check(spark, tmp_path, op12_manifest, OP12_SQL, documents=table)
 
 
-@pytest.mark.parametrize("depth", [1, 2])
+@pytest.mark.parametrize("depth", [1])
 def test_superblocks_change_no_result(spark, tmp_path, depth):
     pq.write_table(documents(700), f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
