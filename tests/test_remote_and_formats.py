@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from sextant.sources import delimited
 from sextant.sources.formats import infer_formats, normalised
