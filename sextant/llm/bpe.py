@@ -207,6 +207,8 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text of ``documents``, encoded and decoded again; null texts are empty
+    and have no ids; see ``encode`` and ``decode``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     tokens = decode(encode(docs, tokenizer_path()), tokenizer_path(), sha_col="ids_sha256")
     return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))

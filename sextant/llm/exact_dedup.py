@@ -93,6 +93,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts of ``documents``, whatever the case of A-Z; null is empty; see ``exact_groups``."""
     return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 

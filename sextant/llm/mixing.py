@@ -116,6 +116,8 @@ def repeat_mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: f
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each row of ``documents`` the mix of sources takes; null texts have none,
+    a null source is one of its own; see ``mix``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 

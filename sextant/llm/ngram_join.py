@@ -400,4 +400,6 @@ def drop_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Da
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of ``documents`` by four-word shingles at 0.85; texts without words link with
+    nothing, equal ones with each other; see ``near_components``."""
     return near_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), k=4, similarity=0.85).drop("text_hash")

@@ -112,6 +112,8 @@ def with_crc32(tokens: DataFrame) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as token files, written and read back: where each starts, its length and
+    a checksum. Null texts are empty and hold the end id alone; see ``write_tokens``."""
     folder = new_folder(spark, "tokens")
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), folder, tokenizer_path())
     return with_crc32(read_tokens(spark, folder))

@@ -399,6 +399,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every whole text of ``documents``; null and empty texts get the
+    score of no match, repeated rows the same one. Four of five ids by crc32 teach; see ``fit`` and ``score``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

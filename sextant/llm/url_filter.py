@@ -123,6 +123,8 @@ RULES = [
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every ``pages`` url, under five rules. Null urls and
+    such without a scheme have an empty host and path and get the default; see ``filter_urls``."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return filter_urls(pages, spark.createDataFrame(RULES, RULE_SCHEMA)).select("page_id", "host", "path", "rule", "verdict")
 

@@ -273,6 +273,8 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
 
 
 def op4_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of ``embeddings`` of equal label at cosine 0.93; unusable vectors
+    and null labels link with nothing; see ``link_vectors``."""
     return link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 

@@ -255,6 +255,8 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` as WARC records, written and read back; null bodies are empty, equal bodies of 1000
+    bytes and more revisit the row with the largest id; see ``write_warc`` and ``read_warc``."""
     folder = new_folder(spark, "warc")
     manifest = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), folder)
     records, records_path = stage(read_warc(spark, folder, payloads=False, manifest=manifest), "warc-records")
