@@ -36,6 +36,8 @@ STATES = range(4)
 NEXT = {START: USER, SYSTEM: USER, USER: ASSISTANT, ASSISTANT: USER}
 NAMES = {USER: "user", ASSISTANT: "assistant"}
 KEPT = {(START, "s"): SYSTEM, (START, "u"): USER, (SYSTEM, "u"): USER, (USER, "a"): ASSISTANT, (ASSISTANT, "u"): USER}
+#: Initials that a kept turn may have; all others are alike.
+LETTERS = tuple({initial for _, initial in KEPT})
 #: Inserts that end a conversation in each state.
 ENDS = {START: "", SYSTEM: "II", USER: "I", ASSISTANT: ""}
 #: What going on from one state costs more than from another at most: by inserts before,
@@ -94,7 +96,7 @@ class Survivors:
         self.alive: dict[int, tuple[int, int, _Node]] = {state: (0, 0, self.root)}  # cost, rank, leaf
 
     def push(self, initial: str, must: bool, truncated: bool) -> list[str]:
-        step = moves(initial, must, truncated)
+        step = moves(initial if initial in LETTERS else "", must, truncated)
         best: dict[int, tuple[int, int, str, _Node]] = {}
         for state, (cost, rank, leaf) in self.alive.items():
             for to, more, edits in step[state]:
@@ -283,7 +285,8 @@ def _pieces(rows: DataFrame) -> DataFrame:
     def crossed(group: pa.Table) -> pa.Table:
         costs = np.where(np.eye(4, dtype=bool), 0, FAR)
         for flags in _flags(group):
-            costs = _shortest(costs, _steps(*flags))
+            initial, must, truncated = flags
+            costs = _shortest(costs, _steps(initial if initial in LETTERS else "", must, truncated))
         return group.slice(0, 1).select(key).append_column("costs", pa.array([costs.ravel().tolist()], pa.list_(pa.int64())))
 
     def added(group: pa.Table) -> pa.Table:
