@@ -8,7 +8,6 @@ goes on in all buckets of time at once, in rounds.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from collections.abc import Sequence
 
 import numpy as np
@@ -105,11 +104,41 @@ def cooldown_times(events: DataFrame, gap: int, time: str = "ts", keys: Sequence
     return known.join(small_or_shuffled(kept), same([F.col(k) for k in keys], [F.col(f"_j_{k}") for k in keys]) & (micros(time) == F.col("_t")), "left_semi")
 
 
+def _thinned(times: DataFrame, kept: DataFrame, gap: int, most: int | None) -> tuple[DataFrame, DataFrame]:
+    """One step of the greedy choice that holds no rows: the times left open, and those kept.
+
+    Time is cut into cells of one gap, of which each keeps one time at most. A kept
+    time reaches three cells: the nearest ``3 * most`` of the cells' nearest hold
+    ``most`` kept ones, where those already kept count whole, and what is farther goes.
+    A cell's nearest is kept if those of the cells beside it are farther; what lies
+    within a gap of it goes.
+    """
+    t, low = F.col("_t"), F.col("_low")
+    cell = t - F.pmod(t, F.lit(gap))
+    beside = lambda c: F.explode(F.array(*(F.col(c) + i * gap for i in (-1, 0, 1)))).alias("_near")
+    cells = written(times.groupBy(cell.alias("_cell")).agg(F.min(F.struct("_by", "_t")).alias("_low")), "cells")
+    if most:
+        counted = cells.select("_low", F.lit(1).alias("_n")).unionByName(kept.select(F.struct("_by", "_t").alias("_low"), F.lit(3).alias("_n")))
+        before = Window.orderBy("_low").rowsBetween(Window.unboundedPreceding, 0)  # over 3 * most rows
+        last = counted.orderBy("_low").limit(3 * most).withColumn("_sum", F.sum("_n").over(before)).where(F.col("_sum") >= 3 * most).agg(F.min("_low")).first()[0]
+        if last is not None:
+            upto = lambda by, at: (F.col(by) < last["_by"]) | ((F.col(by) == last["_by"]) & (F.col(at) <= last["_t"]))
+            times, kept, cells = times.where(upto("_by", "_t")), kept.where(upto("_by", "_t")), cells.where(upto("_low._by", "_low._t"))
+    around = cells.select(beside("_cell"), "_cell", "_low").groupBy("_near").agg(F.min("_low").alias("_least"), F.min(F.when(F.col("_near") == F.col("_cell"), low)).alias("_low"))
+    sure = around.where(low == F.col("_least")).select(F.col("_near").alias("_cell"), "_low._by", "_low._t").select(beside("_cell"), "_cell", "_by", "_t")
+    side = lambda i, c: F.max(F.when(F.col("_cell") == F.col("_near") + i * gap, F.col(c)))
+    reach = written(sure.groupBy("_near").agg(side(-1, "_t").alias("_left"), side(1, "_t").alias("_right"), side(0, "_t").alias("_own"), side(0, "_by").alias("_own_by")), "reach")
+    clear = lambda c: F.col(c).isNull() | (F.abs(t - F.col(c)) >= gap)
+    rest = times.join(small_or_shuffled(reach), cell == F.col("_near"), "left").where(F.col("_own").isNull() & clear("_left") & clear("_right"))
+    return written(rest.select("_t", "_by"), "open"), kept.unionByName(reach.where("_own IS NOT NULL").select(F.col("_own").alias("_t"), F.col("_own_by").alias("_by")))
+
+
 def nearest_apart_times(ranked: DataFrame, gap: int, most: int | None, time: str = "ts", by: str = "distance", span: int | None = None, rows: int = BLOCK_ROWS) -> DataFrame:
     """Greedy: nearest first, each at least ``gap`` microseconds from all taken, at most ``most``.
 
     Equal distances go by time; rows of one time stand or fall together. Rows
-    without time or distance take no part. In a round every bucket of time, with
+    without time or distance take no part. More than ``rows`` candidates are first
+    thinned, as long as that takes half of them. In a round every bucket of time, with
     a margin of one gap around it, takes its candidates by distance: one is kept
     if no nearer one within the gap is open, and goes if one is kept there. What
     hangs on a candidate beyond the margin stays open for the next round; each
@@ -125,28 +154,44 @@ def nearest_apart_times(ranked: DataFrame, gap: int, most: int | None, time: str
 
     def settle(group: pa.Table) -> pa.Table:
         group = group.sort_by([("_by", "ascending"), ("_t", "ascending")])
-        kept: list[int] = []
-        opened: list[int] = []
-        clear = lambda times, t: (i := bisect_left(times, t - gap + 1)) == len(times) or times[i] >= t + gap
+        kept: dict[int, tuple[int, int]] = {}  # first and last time by cell of one gap
+        opened: dict[int, tuple[int, int]] = {}
+
+        def clear(cells: dict[int, tuple[int, int]], t: int) -> bool:
+            at = t // gap
+            return at not in cells and (at - 1 not in cells or cells[at - 1][1] <= t - gap) and (at + 1 not in cells or cells[at + 1][0] >= t + gap)
+
+        def add(cells: dict[int, tuple[int, int]], t: int) -> None:
+            first, last = cells.get(t // gap, (t, t))
+            cells[t // gap] = min(first, t), max(last, t)
+
         states = []
         for t, home, was_kept in zip(*(group[c].to_pylist() for c in ("_t", "_home", "_kept")), strict=True):
             if was_kept:
-                insort(kept, t)
+                add(kept, t)
             elif not clear(kept, t):
                 states.append("gone")
                 continue
             elif home and clear(opened, t):
-                insort(kept, t)
+                add(kept, t)
                 was_kept = True
             else:
-                insort(opened, t)
+                add(opened, t)
             states.append("kept" if was_kept else "open")
         stay = np.array([s != "gone" for s in states]) & group["_home"].to_numpy(zero_copy_only=False).astype(bool)
         found = group.select(["_t", "_by"]).append_column("_kept", pa.array([s == "kept" for s in states]))
         return found.filter(pa.array(stay))
 
     with temporary(spark):
-        found = written(known.groupBy(micros(time).alias("_t")).agg(F.min(F.col(by).cast("double")).alias("_by")).withColumn("_kept", F.lit(False)), "nearest")
+        times = written(known.select(micros(time).alias("_t"), F.col(by).cast("double").alias("_by")), "times")
+        sure, n = times.limit(0), times.count()
+        while n > rows:
+            times, sure = _thinned(times, sure, gap, most)
+            before, n = n, times.count()
+            if n > before // 2:
+                break
+        each = times.groupBy("_t").agg(F.min("_by").alias("_by")).withColumn("_kept", F.lit(False))
+        found = written(each.unionByName(sure.withColumn("_kept", F.lit(True))), "nearest")
         if span is None:
             n, first, last = found.agg(F.count("*"), F.min("_t"), F.max("_t")).first()
             span = max(1, min(SPAN, (last - first) * rows // (gap * n))) if n else 1

@@ -73,6 +73,25 @@ def test_greedy_of_a_monotone_series_and_of_nothing(spark):
     assert spacing.nearest_apart_times(df.limit(0), 10, 5).count() == 0
 
 
+@pytest.mark.parametrize(("most", "reach", "least"), [(None, 6_000, 0), (4, 6_000, 0), (15, 1_000_000, 0), (None, 60_000, 0), (40, 60_000, 11)])
+def test_greedy_thins_many_rows_before_it_holds_them(spark, monkeypatch, most, reach, least):
+    n, gap, held = 20_000, 100, []
+    write = spacing.written
+    monkeypatch.setattr(spacing, "written", lambda df, name: (made := write(df, name), held.append(made.count()) if name == "nearest" else None)[0])
+    draw = random.Random(reach)
+    rows = [(draw.randrange(-reach, reach), float(draw.randrange(least, 400))) for _ in range(n)]
+    df = spark.createDataFrame(rows, "s long, distance double").withColumn("ts", F.timestamp_micros("s"))
+    assert {r.s for r in spacing.nearest_apart_times(df, gap, most, rows=2_000).collect()} == nearest(rows, gap, most)
+    assert held and held[0] < n // 8
+
+
+def test_greedy_of_a_steep_series_that_cannot_be_thinned(spark):
+    rows = [(i // 2, float(i // 3)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "s long, distance double").withColumn("ts", F.timestamp_micros("s"))
+    for most in (None, 7):
+        assert {r.s for r in spacing.nearest_apart_times(df, 150, most, rows=100).collect()} == nearest(rows, 150, most)
+
+
 def test_queries_do_not_depend_on_block_size(spark):
     for run, small in ((long_queries.sel01_cooldown_times, {"rows": 20, "parts": 5}), (long_queries.sel01_cooldown_times_one_series, {"rows": 33, "parts": 3}), (long_queries.sel02_nearest_times, {"span": 1})):
         assert sorted(map(repr, run(spark, SF).collect())) == sorted(map(repr, run(spark, SF, **small).collect()))
